@@ -64,34 +64,30 @@ def kpi_summary(sales: DataFrame) -> DataFrame:
 
     ``revenue, orders, customers, average_order_value, repeat_customer_pct``.
     An empty slice gives NULL revenue and AOV, zero counts and 0 % repeat.
-    The invoice-level and customer-level halves are stacked and folded by a
-    single global aggregate (no cross join).
+
+    Plan: the (invoice, customer) rollup is aggregated once more with
+    ``GROUPING SETS ((invoice_no), (customer_id))`` — one Expand over the
+    small rollup and one exchange — and a final one-row aggregate folds the
+    invoice rows (revenue, orders) and customer rows (customers, repeaters).
+    No cross join and no second pass over the lines.
     """
     rollup = invoice_rollup(sales)
-    invoices = rollup.groupBy("invoice_no").agg(F.sum("revenue_cents").alias("revenue_cents"))
-    customers = (
-        rollup.where(known_customer())
-        .groupBy("customer_id")
-        .agg(F.count("invoice_no").alias("order_count"))
-    )
-    stacked = invoices.select(
-        F.lit(True).alias("is_invoice"),
-        "invoice_no",
-        "revenue_cents",
-        F.lit(None).cast("bigint").alias("order_count"),
-    ).unionByName(
-        customers.select(
-            F.lit(False).alias("is_invoice"),
-            F.lit(None).cast("string").alias("invoice_no"),
-            F.lit(None).cast("bigint").alias("revenue_cents"),
-            "order_count",
-        )
+    sets = rollup.groupingSets(
+        [["invoice_no"], ["customer_id"]], "invoice_no", "customer_id"
+    ).agg(
+        F.sum("revenue_cents").alias("revenue_cents"),
+        F.count("invoice_no").alias("order_count"),
+        F.grouping_id().alias("gid"),
     )
-    totals = stacked.agg(
-        (F.sum("revenue_cents").cast("double") / F.lit(100.0)).alias("revenue"),
-        F.count("invoice_no").alias("orders"),
-        F.count_if(~F.col("is_invoice")).alias("customers"),
-        F.count_if(~F.col("is_invoice") & (F.col("order_count") > 1)).alias("repeaters"),
+    invoice_row = F.col("gid") == F.lit(1)  # customer_id rolled up
+    customer_row = (F.col("gid") == F.lit(2)) & F.col("customer_id").isNotNull()
+    totals = sets.agg(
+        (F.sum(F.when(invoice_row, F.col("revenue_cents"))).cast("double") / F.lit(100.0)).alias(
+            "revenue"
+        ),
+        F.count_if(invoice_row & F.col("invoice_no").isNotNull()).alias("orders"),
+        F.count_if(customer_row).alias("customers"),
+        F.count_if(customer_row & (F.col("order_count") > 1)).alias("repeaters"),
     )
     return totals.select(
         "revenue",
