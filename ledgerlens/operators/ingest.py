@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions import normalise as N
 from ..functions.curation import CURATED_SCHEMA, with_sale_flags
 from ..functions.numeric import cents
-from .ranking import row_number_by
+from .ranking import row_number_by_position
 
 # Fixed landing header → curated column names.
 HEADER_MAP = {
@@ -35,6 +35,7 @@ HEADER_MAP = {
     "Country": "country",
 }
 RAW_HEADERS = list(HEADER_MAP)
+NUMBER_HEADERS = ["Quantity", "Price", "Customer ID"]
 ORDINAL = "source_ordinal"  # optional: position of the period among the inputs
 
 
@@ -76,13 +77,18 @@ def normalise(raw: DataFrame) -> Normalised:
         "source_row",
         *[_cell(h).alias(h) for h in RAW_HEADERS],
         *[N.strip_text(_cell(h)).alias(f"_s{idx[h]}") for h in RAW_HEADERS],
+        *[N.strip_number_text(_cell(h)).alias(f"_n{idx[h]}") for h in NUMBER_HEADERS],
     ).withColumn("_iso", N.iso_parts(stripped("InvoiceDate")))
+
+    def number_text(header: str):
+        return F.col(f"_n{idx[header]}")
+
     # (B) parsed numbers and date parts
     parsed = prepared.withColumns(
         {
-            **N.number_fields(stripped("Quantity"), "_q"),
-            **N.number_fields(stripped("Price"), "_p"),
-            **N.number_fields(stripped("Customer ID"), "_c"),
+            **N.number_fields(number_text("Quantity"), "_q"),
+            **N.number_fields(number_text("Price"), "_p"),
+            **N.number_fields(number_text("Customer ID"), "_c"),
             **N.timestamp_fields(stripped("InvoiceDate"), F.col("_iso"), "_t"),
         }
     )
@@ -128,22 +134,29 @@ def normalise(raw: DataFrame) -> Normalised:
         F.count_if(ok).alias("staged_rows"),
         F.count_if(~ok).alias("quarantined_rows"),
     )
+    staged, quarantine = split_checked(checked)
+    return Normalised(checked, staged, quarantine, counters)
+
+
+def split_checked(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Staged rows (no error) and quarantine rows of a checked DataFrame."""
     staged = checked.where(F.col("error").isNull()).drop("error", "raw_values")
     quarantine = checked.where(F.col("error").isNotNull()).select(
         "source_period", F.col("source_row").cast("bigint").alias("source_row"), "error", "raw_values"
     )
-    return Normalised(checked, staged, quarantine, counters)
+    return staged, quarantine
 
 
 def curate(staged: DataFrame) -> DataFrame:
     """Typed, flagged curated lines with a dense id in source order (P1–P4).
 
     Source order is (period ordinal if present, else period name; source
-    row).  The id comes from the distributed ``row_number_by`` — never a
-    global single-partition window.
+    row).  ``source_row`` is unique within a period, so the id comes from
+    value buckets of source rows (``row_number_by_position``) — never a
+    global single-partition window, no sampling, no extra write.
     """
-    order = [ORDINAL if ORDINAL in staged.columns else "source_period", "source_row"]
-    numbered = row_number_by(staged, order, name="transaction_line_id")
+    group = ORDINAL if ORDINAL in staged.columns else "source_period"
+    numbered = row_number_by_position(staged, group, "source_row", name="transaction_line_id")
     flagged = with_sale_flags(numbered)
     return flagged.select(*[f.name for f in CURATED_SCHEMA.fields])
 

@@ -276,3 +276,52 @@ def row_number_by(
         F.col("_rn_before") + (F.col("_rn_id") - F.col("_rn_first")) + F.lit(start)
     ).cast("bigint")
     return joined.select(*df.columns, number.alias(name))
+
+
+def row_number_by_position(
+    df: DataFrame,
+    group: str | Column,
+    position: str,
+    name: str = "row_number",
+    rows_per_bucket: int = 1 << 22,
+    start: int = 1,
+) -> DataFrame:
+    """``row_number() OVER (ORDER BY group, position)`` for integer positions.
+
+    ``position`` must be unique within a group (a physical row number is).
+    Rows are bucketed by value, ``bucket = position div rows_per_bucket``, so
+    a bucket never holds more than ``rows_per_bucket`` rows of a group — the
+    bound follows from uniqueness, with no sampling and no materialised
+    intermediate; re-running a task recomputes the same bucket.  One
+    window per (group, bucket) ranks rows inside it; a table with one row per
+    non-empty bucket gives the offsets (AQE broadcasts it when its runtime
+    size allows, otherwise it is a shuffle join on the same keys as the
+    window, so the data is not exchanged twice).
+    """
+    g = F.col(group) if isinstance(group, str) else group
+    keyed = df.withColumns(
+        {
+            "_rp_group": g,
+            "_rp_bucket": F.floor(F.col(position) / F.lit(rows_per_bucket)).cast("bigint"),
+        }
+    )
+    ranked = keyed.withColumn(
+        "_rp_rank",
+        F.row_number().over(Window.partitionBy("_rp_group", "_rp_bucket").orderBy(position)),
+    )
+    earlier = Window.orderBy("_rp_group", "_rp_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        keyed.groupBy("_rp_group", "_rp_bucket")
+        .agg(F.count(F.lit(1)).alias("_rp_rows"))
+        .select(
+            F.col("_rp_group").alias("_rp_g"),
+            F.col("_rp_bucket").alias("_rp_b"),
+            F.coalesce(F.sum("_rp_rows").over(earlier), F.lit(0)).alias("_rp_before"),
+        )
+    )
+    joined = ranked.join(
+        offsets,
+        (F.col("_rp_group").eqNullSafe(F.col("_rp_g"))) & (F.col("_rp_bucket") == F.col("_rp_b")),
+    )
+    number = (F.col("_rp_before") + F.col("_rp_rank") + F.lit(start - 1)).cast("bigint")
+    return joined.select(*df.columns, number.alias(name))
