@@ -43,34 +43,69 @@ def _read_period(spark: SparkSession, path: str, fmt: str, options: Mapping[str,
     raise ValueError(f"unsupported landing format: {fmt!r}")
 
 
-def number_rows(df: DataFrame, start: int = FIRST_DATA_ROW, name: str = "source_row") -> DataFrame:
-    """Append the physical row number of each row within its files.
+def tag_splits(df: DataFrame) -> DataFrame:
+    """Add the split key (file path, block start); directly on a file scan.
 
-    Files are ordered by path, splits by their start offset.  Requires a
-    plain file scan underneath (``_metadata`` columns).
+    Allowed on a streaming file source as well.
     """
-    tagged = df.select(
+    return df.select(
         "*",
         F.col("_metadata.file_path").alias("_ln_file"),
         F.col("_metadata.file_block_start").alias("_ln_block"),
-        F.monotonically_increasing_id().alias("_ln_id"),
     )
+
+
+def tag_sequence(df: DataFrame) -> DataFrame:
+    """Add the in-split sequence id (rows of a split are read in file order)."""
+    return df.withColumn("_ln_id", F.monotonically_increasing_id())
+
+
+def tag_rows(df: DataFrame) -> DataFrame:
+    """Split key and in-split sequence id of a (batch) file scan."""
+    return tag_sequence(tag_splits(df))
+
+
+def number_tagged(
+    tagged: DataFrame,
+    start: int = FIRST_DATA_ROW,
+    name: str = "source_row",
+    per_file: bool = False,
+) -> DataFrame:
+    """Physical row numbers from the tags of ``tag_rows``.
+
+    Splits are ordered by (file path, block start); numbering runs across
+    all files (files of one period continue one another, like the rows of
+    one sheet) or restarts per file with ``per_file``.  Keeps ``_ln_file``.
+    """
     splits = tagged.groupBy("_ln_file", "_ln_block").agg(
         F.min("_ln_id").alias("_ln_first"), F.count(F.lit(1)).alias("_ln_rows")
     )
     # one row per input split: size bounded by input bytes / split size
-    earlier = Window.orderBy("_ln_file", "_ln_block").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("_ln_file").orderBy("_ln_block") if per_file else Window.orderBy(
+        "_ln_file", "_ln_block"
+    )
     offsets = splits.select(
         F.col("_ln_file").alias("_ln_f"),
         F.col("_ln_block").alias("_ln_b"),
         "_ln_first",
-        F.coalesce(F.sum("_ln_rows").over(earlier), F.lit(0)).alias("_ln_before"),
+        F.coalesce(
+            F.sum("_ln_rows").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+        ).alias("_ln_before"),
     )
     joined = tagged.join(
         offsets, (F.col("_ln_file") == F.col("_ln_f")) & (F.col("_ln_block") == F.col("_ln_b"))
     )
     row = F.col("_ln_before") + (F.col("_ln_id") - F.col("_ln_first")) + F.lit(start)
-    return joined.select(*df.columns, row.cast("bigint").alias(name))
+    keep = [c for c in tagged.columns if c not in ("_ln_block", "_ln_id")]
+    return joined.select(*keep, row.cast("bigint").alias(name))
+
+
+def number_rows(df: DataFrame, start: int = FIRST_DATA_ROW, name: str = "source_row") -> DataFrame:
+    """Append the physical row number of each row within its period's files.
+
+    Requires a plain file scan underneath.
+    """
+    return number_tagged(tag_rows(df), start=start, name=name).drop("_ln_file")
 
 
 def read_landing(
