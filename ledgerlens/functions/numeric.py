@@ -53,3 +53,13 @@ def percentage(part: Column, whole: Column, digits: int = 2) -> Column:
     return round_half_away(
         F.try_divide(F.lit(100.0) * part.cast("double"), whole.cast("double")), digits
     )
+
+
+def format_integer(c: Column | str) -> Column:
+    """Thousands-separated whole number of the truncated value ("1,234")."""
+    return F.format_number(_col(c).cast("bigint"), 0)
+
+
+def format_currency(c: Column | str, currency: str = "GBP") -> Column:
+    """``"GBP 1,235"``: rounded half to even, thousands separated."""
+    return F.concat(F.lit(f"{currency} "), F.format_number(_col(c), 0))
