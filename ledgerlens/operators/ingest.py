@@ -37,6 +37,7 @@ HEADER_MAP = {
 RAW_HEADERS = list(HEADER_MAP)
 NUMBER_HEADERS = ["Quantity", "Price", "Customer ID"]
 ORDINAL = "source_ordinal"  # optional: position of the period among the inputs
+RAW_PREFIX = "_raw_"  # original landing cells kept beside the typed values
 
 
 class Normalised(NamedTuple):
@@ -118,9 +119,9 @@ def normalise(raw: DataFrame) -> Normalised:
         F.coalesce(
             quantity_err, price_err, ts_err, F.when(~blank_customer, customer_err)
         ).alias("error"),
-        F.to_json(
-            F.struct(*[_cell(h).alias(h) for h in RAW_HEADERS]), {"ignoreNullFields": "false"}
-        ).alias("raw_values"),
+        # original cells ride along; ``raw_values`` is built for quarantined
+        # rows only (the observation node below keeps every column alive)
+        *[_cell(h).alias(f"{RAW_PREFIX}{h}") for h in RAW_HEADERS],
     )
     # Run counters ride along with the first action over ``checked``.  The
     # observation node is also where Catalyst stops pushing the staged /
@@ -140,9 +141,17 @@ def normalise(raw: DataFrame) -> Normalised:
 
 def split_checked(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Staged rows (no error) and quarantine rows of a checked DataFrame."""
-    staged = checked.where(F.col("error").isNull()).drop("error", "raw_values")
+    raw_cols = [f"{RAW_PREFIX}{h}" for h in RAW_HEADERS]
+    staged = checked.where(F.col("error").isNull()).drop("error", *raw_cols)
+    raw_values = F.to_json(
+        F.struct(*[F.col(f"`{RAW_PREFIX}{h}`").alias(h) for h in RAW_HEADERS]),
+        {"ignoreNullFields": "false"},
+    )
     quarantine = checked.where(F.col("error").isNotNull()).select(
-        "source_period", F.col("source_row").cast("bigint").alias("source_row"), "error", "raw_values"
+        "source_period",
+        F.col("source_row").cast("bigint").alias("source_row"),
+        "error",
+        raw_values.alias("raw_values"),
     )
     return staged, quarantine
 
@@ -174,7 +183,7 @@ def ingest_report(raw: DataFrame) -> DataFrame:
     Run counters (source/staged/quarantined rows) plus the nine quality
     measures of the curated table, computed from the same projection.
     """
-    checked = with_sale_flags(normalise(raw).checked)
+    checked = with_sale_flags(normalise(raw).checked)  # raw cells pruned by the aggregate
     ok = F.col("error").isNull()
     return checked.agg(
         F.count(F.lit(1)).alias("source_rows"),

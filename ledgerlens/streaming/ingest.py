@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.curation import CURATED_SCHEMA, with_sale_flags
-from ..operators.ingest import ORDINAL, RAW_HEADERS, normalise
+from ..operators.ingest import ORDINAL, RAW_HEADERS, normalise, split_checked
 from ..operators.ranking import row_number_by_position
 from ..sources.landing import number_tagged, tag_sequence, tag_splits
 
@@ -65,7 +65,7 @@ def process_batch(
             *[F.col(f"`{h}`") for h in RAW_HEADERS],
         )
         checked = normalise(raw).checked.persist()
-        staged = checked.where(F.col("error").isNull())
+        staged, quarantined = split_checked(checked)
         offset = _staged_before(spark, f"{output}_counts", epoch)
         ids = row_number_by_position(
             staged, ORDINAL, "source_row", name="transaction_line_id", start=offset + 1
@@ -76,9 +76,7 @@ def process_batch(
         curated.sortWithinPartitions("invoice_timestamp").write.mode("overwrite").options(
             **overwrite
         ).partitionBy("batch_id").option("compression", "zstd").parquet(output)
-        bad = checked.where(F.col("error").isNotNull()).select(
-            "source_period", "source_row", "error", "raw_values", F.lit(epoch).alias("batch_id")
-        )
+        bad = quarantined.withColumn("batch_id", F.lit(epoch))
         bad.write.mode("overwrite").options(**overwrite).partitionBy("batch_id").option(
             "header", "true"
         ).csv(quarantine)
