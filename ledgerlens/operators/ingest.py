@@ -79,7 +79,8 @@ def normalise(raw: DataFrame) -> Normalised:
         *[_cell(h).alias(h) for h in RAW_HEADERS],
         *[N.strip_text(_cell(h)).alias(f"_s{idx[h]}") for h in RAW_HEADERS],
         *[N.strip_number_text(_cell(h)).alias(f"_n{idx[h]}") for h in NUMBER_HEADERS],
-    ).withColumn("_iso", N.iso_parts(stripped("InvoiceDate")))
+        N.is_common_timestamp(N.strip_text(_cell("InvoiceDate"))).alias("_tcommon"),
+    ).withColumn("_iso", N.iso_parts(stripped("InvoiceDate"), F.col("_tcommon")))
 
     def number_text(header: str):
         return F.col(f"_n{idx[header]}")
@@ -90,7 +91,7 @@ def normalise(raw: DataFrame) -> Normalised:
             **N.number_fields(number_text("Quantity"), "_q"),
             **N.number_fields(number_text("Price"), "_p"),
             **N.number_fields(number_text("Customer ID"), "_c"),
-            **N.timestamp_fields(stripped("InvoiceDate"), F.col("_iso"), "_t"),
+            **N.timestamp_fields(stripped("InvoiceDate"), F.col("_iso"), "_t", F.col("_tcommon")),
         }
     )
     # (C) values and the first error in the order Quantity, Price, date, customer

@@ -44,6 +44,20 @@ def output_paths(output: str) -> dict[str, str]:
     }
 
 
+def stage_landing(raw: DataFrame) -> tuple[DataFrame, DataFrame, dict]:
+    """Validate landing rows once; return (staged, quarantine, run counters).
+
+    The checked rows are written to the shared checkpoint folder in one
+    pass (which also fills the observed counters), so the staged rows, the
+    quarantine and the id offsets all read that table instead of re-running
+    the validation.
+    """
+    checked_rows = normalise(raw)
+    checked = materialize(checked_rows.checked, "checked")
+    staged, quarantine = split_checked(checked)
+    return staged, quarantine, checked_rows.counters.get
+
+
 def build_dataset(
     spark: SparkSession,
     sources: Mapping[str, str] | Iterable[tuple[str, str]],
@@ -60,10 +74,7 @@ def build_dataset(
     items = list(sources.items()) if isinstance(sources, Mapping) else list(sources)
     paths = output_paths(output)
     raw = read_landing(spark, items, fmt, options)
-    checked_rows = normalise(raw)
-    checked = materialize(checked_rows.checked, "checked")  # pass 1, fills counters
-    counters = checked_rows.counters.get
-    staged, quarantine = split_checked(checked)
+    staged, quarantine, counters = stage_landing(raw)  # pass 1
 
     write_curated(curate(staged), paths["curated"])  # pass 2
     if counters.get("quarantined_rows", 0) > 0:  # pass 3
