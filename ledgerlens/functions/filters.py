@@ -39,8 +39,9 @@ def in_date_range(ts: Column | str, start: DateLike, end: DateLike | None = None
     column = F.col(ts) if isinstance(ts, str) else ts
     lower = dt.datetime.combine(first, dt.time.min)
     upper = dt.datetime.combine(last + dt.timedelta(days=1), dt.time.min)
-    return (column >= F.lit(lower).cast("timestamp_ntz")) & (
-        column < F.lit(upper).cast("timestamp_ntz")
+    # text literals: the cast to TIMESTAMP_NTZ involves no time zone
+    return (column >= F.lit(lower.isoformat(sep=" ")).cast("timestamp_ntz")) & (
+        column < F.lit(upper.isoformat(sep=" ")).cast("timestamp_ntz")
     )
 
 

@@ -37,8 +37,8 @@ def sales_filter_sql(
     """
     first, last = date_range(start, end)
     args: dict[str, Any] = {
-        "start_ts": dt.datetime.combine(first, dt.time.min),
-        "end_ts": dt.datetime.combine(last + dt.timedelta(days=1), dt.time.min),
+        "start_ts": dt.datetime.combine(first, dt.time.min).isoformat(sep=" "),
+        "end_ts": dt.datetime.combine(last + dt.timedelta(days=1), dt.time.min).isoformat(sep=" "),
     }
     parts = [
         "invoice_timestamp >= CAST(:start_ts AS TIMESTAMP_NTZ)",
