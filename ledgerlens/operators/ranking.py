@@ -81,22 +81,62 @@ def _percent_rank_score(less: Column, total: Column, levels: int) -> Column:
     return F.least(F.lit(levels), F.floor(pr * F.lit(float(levels))).cast("int") + 1)
 
 
+def bucket_count(spark, buckets: int | None = None) -> int:
+    """Number of value buckets K (bounded; scales with the shuffle width)."""
+    return buckets or max(1, min(MAX_BUCKETS, 2 * shuffle_partitions(spark)))
+
+
+def bucket_probabilities(k: int) -> list[float]:
+    return [i / k for i in range(1, k)]
+
+
+def bound_metrics(columns: Sequence[str], k: int) -> list[Column]:
+    """Aggregates giving, per column, its non-null count and K-quantile bounds.
+
+    Usable as observed metrics of a write that happens anyway (see
+    ``operators.rfm.rfm_scores``), which saves the statistics job of
+    ``score_breaks``.  Bounds of the raw values keep every bucket near
+    N / K histogram rows: a value repeated many times is one histogram row.
+    """
+    probs = bucket_probabilities(k)
+    out = []
+    for i, c in enumerate(columns):
+        out.append(F.count(c).alias(f"_n{i}"))
+        if probs:
+            out.append(F.percentile_approx(F.col(c).cast("double"), probs, 10_000).alias(f"_b{i}"))
+    return out
+
+
+def stats_from_metrics(
+    columns: Sequence[str], metrics: dict
+) -> dict[int, tuple[int, list[float]]]:
+    """``{column index: (total, bounds)}`` from ``bound_metrics`` results."""
+    out = {}
+    for i, _ in enumerate(columns):
+        total = int(metrics.get(f"_n{i}") or 0)
+        if total:
+            out[i] = (total, [float(b) for b in (metrics.get(f"_b{i}") or [])])
+    return out
+
+
 def score_breaks(
     df: DataFrame,
     columns: Sequence[str],
     levels: int = SCORE_LEVELS,
     buckets: int | None = None,
+    stats: dict[int, tuple[int, list[float]]] | None = None,
 ) -> dict[str, list[tuple[float, int]]]:
     """Exact break values of the tie-aware ``levels``-quantile score.
 
     Returns, per column, ``[(min value, score), …]`` ascending.  Two small
     actions run: one aggregate of the distinct-value histogram (returns
-    ``len(columns)`` rows of at most ``buckets`` bounds) and the final
-    ``≤ levels × len(columns)``-row collect.  Pass a materialised ``df`` when
-    it is expensive to recompute.
+    ``len(columns)`` rows of at most ``buckets`` bounds) — skipped when
+    ``stats`` (totals and bounds, e.g. observed while materialising ``df``)
+    are given — and the final ``≤ levels × len(columns)``-row collect.  Pass
+    a materialised ``df`` when it is expensive to recompute.
     """
     spark = df.sparkSession
-    k = buckets or max(1, min(MAX_BUCKETS, 2 * shuffle_partitions(spark)))
+    k = bucket_count(spark, buckets)
     pairs = F.explode(
         F.array(
             *[
@@ -113,20 +153,24 @@ def score_breaks(
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
-    probs = [i / k for i in range(1, k)]
-    stats_cols = [F.sum("n").alias("total")]
-    if probs:
-        stats_cols.append(F.percentile_approx("x", probs, 10_000).alias("bounds"))
-    stats = {row["m"]: row for row in hist.groupBy("m").agg(*stats_cols).collect()}
+    if stats is None:
+        probs = bucket_probabilities(k)
+        stats_cols = [F.sum("n").alias("total")]
+        if probs:
+            stats_cols.append(F.percentile_approx("x", probs, 10_000).alias("bounds"))
+        stats = {
+            row["m"]: (int(row["total"]), list(row["bounds"] or []) if probs else [])
+            for row in hist.groupBy("m").agg(*stats_cols).collect()
+        }
     if not stats:
         return {c: [] for c in columns}
 
     bucket_expr = None
     total_expr = None
-    for m, row in stats.items():
-        bounds = sorted(set(row["bounds"] or [])) if probs else []
+    for m, (total, raw_bounds) in stats.items():
+        bounds = sorted(set(raw_bounds))
         b = _bucket_of(F.col("x"), bounds)
-        t = F.lit(int(row["total"]))
+        t = F.lit(total)
         bucket_expr = F.when(F.col("m") == m, b) if bucket_expr is None else bucket_expr.when(
             F.col("m") == m, b
         )
@@ -188,6 +232,7 @@ def quantile_scores(
     inverted: Sequence[bool] | None = None,
     levels: int = SCORE_LEVELS,
     buckets: int | None = None,
+    stats: dict[int, tuple[int, list[float]]] | None = None,
 ) -> DataFrame:
     """Append tie-aware 1..``levels`` scores for ``columns`` as ``names``.
 
@@ -195,7 +240,7 @@ def quantile_scores(
     recency does).
     """
     inverted = list(inverted or [False] * len(columns))
-    breaks = score_breaks(df, columns, levels=levels, buckets=buckets)
+    breaks = score_breaks(df, columns, levels=levels, buckets=buckets, stats=stats)
     new_cols = {}
     for c, name, inv in zip(columns, names, inverted):
         s = score_from_breaks(c, breaks[c])

@@ -15,7 +15,17 @@ from pyspark.sql import functions as F
 from ..functions.filters import DateLike, as_date, known_customer
 from ..functions.numeric import cents
 from ..session import materialize
-from .ranking import quantile_scores, window_quantile_scores
+import uuid
+
+from pyspark.sql import Observation
+
+from .ranking import (
+    bound_metrics,
+    bucket_count,
+    quantile_scores,
+    stats_from_metrics,
+    window_quantile_scores,
+)
 from .sales import invoice_rollup
 
 METRIC_COLUMNS = ["recency_days", "frequency", "monetary"]
@@ -62,8 +72,17 @@ def rfm_scores(
     """
     if method == "window":
         return window_quantile_scores(metrics, METRIC_COLUMNS, SCORE_COLUMNS, SCORE_INVERTED)
-    source = materialize(metrics, "customer-metrics") if materialize_input else metrics
-    return quantile_scores(source, METRIC_COLUMNS, SCORE_COLUMNS, SCORE_INVERTED)
+    if not materialize_input:
+        return quantile_scores(metrics, METRIC_COLUMNS, SCORE_COLUMNS, SCORE_INVERTED)
+    # the bucket bounds are observed while the metrics are written, so the
+    # scoring needs one more small job only (the break values)
+    observed = Observation(f"rfm_{uuid.uuid4().hex[:12]}")
+    k = bucket_count(metrics.sparkSession)
+    source = materialize(
+        metrics.observe(observed, *bound_metrics(METRIC_COLUMNS, k)), "customer-metrics"
+    )
+    stats = stats_from_metrics(METRIC_COLUMNS, observed.get)
+    return quantile_scores(source, METRIC_COLUMNS, SCORE_COLUMNS, SCORE_INVERTED, buckets=k, stats=stats)
 
 
 def segment_of(r: Column, f: Column) -> Column:

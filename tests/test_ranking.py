@@ -67,3 +67,15 @@ def test_row_number_by_position_matches_window(spark):
     got = row_number_by_position(df, "period", "pos", name="rn", rows_per_bucket=64)
     want = df.withColumn("rn", F.row_number().over(Window.orderBy("period", "pos")).cast("bigint"))
     assert got.exceptAll(want).count() == 0 and got.count() == len(rows)
+
+
+@pytest.mark.parametrize("seed,hot", [(21, 0.0), (22, 0.34)])
+def test_rfm_scores_with_observed_bounds_equal_window(spark, seed, hot):
+    from ledgerlens.operators.rfm import rfm_scores
+
+    metrics = _random_metrics(spark, 1500, seed, hot).selectExpr(
+        "id AS customer_id", "a AS recency_days", "b AS frequency", "c AS monetary"
+    )
+    got = rfm_scores(metrics).select("customer_id", "r_score", "f_score", "m_score")
+    want = rfm_scores(metrics, method="window").select("customer_id", "r_score", "f_score", "m_score")
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
