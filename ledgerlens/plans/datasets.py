@@ -14,10 +14,11 @@ from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from ..session import scratch_path
 
-_SESSION_BUILDS: dict[tuple[str, str, str], str] = {}
+_SESSION_BUILDS: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 
 
 def write_curated(df: DataFrame, path: str, sort_column: str | None = "invoice_timestamp") -> None:
@@ -52,9 +53,12 @@ def session_dataset(
 ) -> DataFrame:
     """Build ``builder()`` once per application and key; later calls read it."""
     memo = (spark.sparkContext.applicationId, name, key)
-    path = _SESSION_BUILDS.get(memo)
-    if path is None:
+    built = _SESSION_BUILDS.get(memo)
+    if built is None:
         path = scratch_path(spark, name)
         write_curated(builder(), path)
-        _SESSION_BUILDS[memo] = path
-    return spark.read.parquet(path)
+        built = (path, spark.read.parquet(path).schema)
+        _SESSION_BUILDS[memo] = built
+    path, schema = built
+    # the schema is known: no footer-reading job on every later read
+    return spark.read.schema(schema).parquet(path)
