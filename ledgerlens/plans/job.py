@@ -69,7 +69,8 @@ def build_dataset(
     """Build the curated dataset and return its one-row quality report.
 
     Report columns: the nine quality measures, ``source_rows``,
-    ``staged_rows``, ``quarantined_rows``, ``source`` and ``output``.
+    ``staged_rows``, ``quarantined_rows``, ``source_workbook`` (the landing
+    source names) and ``output_parquet``, as in the reference's report.
     """
     items = list(sources.items()) if isinstance(sources, Mapping) else list(sources)
     paths = output_paths(output)
@@ -85,11 +86,14 @@ def build_dataset(
     report = summary.select(
         "*",
         *[F.lit(int(counters.get(c, 0))).cast("bigint").alias(c) for c in REPORT_COUNTERS],
-        F.lit(name).alias("source"),
-        F.lit(os.path.basename(paths["curated"])).alias("output"),
+        F.lit(name).alias("source_workbook"),
+        F.lit(os.path.basename(paths["curated"])).alias("output_parquet"),
     )
-    # one row: a single output task is the whole report, not a data bottleneck
-    report.coalesce(1).write.mode("overwrite").json(paths["report"])
+    # one row: a single output task is the whole report, not a data bottleneck;
+    # timestamps as Python prints them ("2010-12-01 08:26:00")
+    report.coalesce(1).write.mode("overwrite").option(
+        "timestampNTZFormat", "yyyy-MM-dd HH:mm:ss"
+    ).json(paths["report"])
     return report
 
 
