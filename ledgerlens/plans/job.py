@@ -77,7 +77,7 @@ def build_dataset(
     raw = read_landing(spark, items, fmt, options)
     staged, quarantine, counters = stage_landing(raw)  # pass 1
 
-    write_curated(curate(staged), paths["curated"])  # pass 2
+    write_curated(curate(staged), paths["curated"], cluster=True)  # pass 2
     if counters.get("quarantined_rows", 0) > 0:  # pass 3
         quarantine.write.mode("overwrite").option("header", "true").csv(paths["quarantine"])
 

@@ -117,3 +117,24 @@ def test_top_products_chart_is_head_of_top_list_ascending(spark, fixture_sales):
     chart = sales.top_products_chart(fixture_sales).collect()
     assert {r["stock_code"] for r in chart} == {r["stock_code"] for r in top[:15]}
     assert [r["revenue"] for r in chart] == sorted(r["revenue"] for r in chart)
+
+
+def test_clustered_curated_files_have_disjoint_date_ranges(spark, sf_small, tmp_path):
+    import os
+
+    import pyarrow.parquet as pq
+
+    from ledgerlens.plans.datasets import write_curated
+
+    out = str(tmp_path / "clustered")
+    write_curated(retail_lines(spark, sf_small), out, cluster=True)
+    ranges = []
+    for name in sorted(os.listdir(out)):
+        if name.endswith(".parquet"):
+            meta = pq.ParquetFile(os.path.join(out, name)).metadata
+            col = [meta.schema.column(i).name for i in range(meta.num_columns)].index("invoice_timestamp")
+            stats = [meta.row_group(g).column(col).statistics for g in range(meta.num_row_groups)]
+            ranges.append((min(s.min for s in stats), max(s.max for s in stats)))
+    ranges.sort()
+    assert len(ranges) > 1
+    assert all(a[1] <= b[0] for a, b in zip(ranges, ranges[1:]))
