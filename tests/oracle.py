@@ -48,7 +48,7 @@ def _norm(v):
     if isinstance(v, bool):
         return (3, str(v))
     if isinstance(v, int):
-        return (2, repr(float(v))) if False else (4, str(v))
+        return (4, str(v))
     if isinstance(v, decimal.Decimal):
         return (2, repr(float(v)))
     if isinstance(v, dt.datetime):
