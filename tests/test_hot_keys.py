@@ -1,0 +1,100 @@
+"""One customer, invoice and product holding a third of all lines.
+
+Results must stay whole and exact; they are checked against a brute-force
+pandas computation of the same definitions on the same rows.
+"""
+
+from __future__ import annotations
+
+import datetime as dt
+import math
+import random
+
+import pandas as pd
+import pytest
+
+from ledgerlens.functions.curation import STAGED_COLUMNS, with_sale_flags
+from ledgerlens.operators import cohort, rfm, sales
+
+SCHEMA = ", ".join(f"{n} {t.simpleString()}" for n, t in STAGED_COLUMNS)
+
+
+@pytest.fixture(scope="module")
+def hot_lines(spark):
+    rng = random.Random(7)
+    rows = []
+    for i in range(3000):
+        day = dt.datetime(2010, 1, 1) + dt.timedelta(days=rng.randint(0, 700), hours=rng.randint(0, 23))
+        if i % 3 == 0:  # the hot third
+            rows.append(("P", "900001", "HOT", "hot item", rng.randint(1, 5), day, 1.25, 4242, "UK"))
+        else:
+            qty = rng.choice([-2, 1, 2, 3, 7])
+            inv = ("C" if qty < 0 else "") + str(rng.randint(1000, 1400))
+            cust = rng.choice([None] + list(range(1, 120)))
+            rows.append(("P", inv, f"S{rng.randint(1, 60)}", f"item {rng.randint(1, 9)}", qty, day,
+                         rng.choice([0.0, 0.39, 1.05, 2.55, 12.5]), cust, rng.choice(["UK", "FR", "DE"])))
+    return with_sale_flags(spark.createDataFrame(rows, SCHEMA))
+
+
+def _valid(pdf):
+    return pdf[pdf["is_valid_sale"].fillna(False).astype(bool)]
+
+
+def _cents(s):
+    return (s * 100).round().astype("int64")
+
+
+def test_kpi_matches_brute_force(spark, hot_lines):
+    got = sales.kpi_summary(sales.filtered_sales(hot_lines, "2010-01-01", "2011-12-31")).first()
+    v = _valid(hot_lines.toPandas())
+    revenue = _cents(v["line_revenue"]).sum() / 100
+    orders = v["invoice_no"].nunique()
+    per_customer = v.dropna(subset=["customer_id"]).groupby("customer_id")["invoice_no"].nunique()
+    assert got["revenue"] == revenue
+    assert got["orders"] == orders
+    assert got["customers"] == len(per_customer)
+    assert got["repeat_customer_pct"] == pytest.approx(round(100 * (per_customer > 1).mean(), 2))
+
+
+def test_top_products_matches_brute_force(spark, hot_lines):
+    got = sales.top_products(sales.filtered_sales(hot_lines, "2010-01-01", "2011-12-31"), k=5).collect()
+    v = _valid(hot_lines.toPandas())
+    g = v.groupby("stock_code").agg(
+        units=("quantity", "sum"), orders=("invoice_no", "nunique"),
+        cents=("line_revenue", lambda s: _cents(s).sum()),
+    ).reset_index().sort_values(["cents", "stock_code"], ascending=[False, True]).head(5)
+    assert [r["stock_code"] for r in got] == list(g["stock_code"])
+    assert got[0]["stock_code"] == "HOT"
+    assert [r["units_sold"] for r in got] == list(g["units"])
+    assert [r["revenue"] for r in got] == list(g["cents"] / 100)
+
+
+def test_cohort_retention_matches_brute_force(spark, hot_lines):
+    got = {(r["cohort_month"], r["cohort_index"]): r["retention_pct"]
+           for r in cohort.cohort_retention(sales.filtered_sales(hot_lines, "2010-01-01", "2011-12-31")).collect()}
+    v = _valid(hot_lines.toPandas()).dropna(subset=["customer_id"])
+    v = v.assign(month=v["invoice_timestamp"].dt.to_period("M").dt.to_timestamp().dt.date)
+    cm = v[["customer_id", "month"]].drop_duplicates()
+    cm = cm.assign(cohort=cm.groupby("customer_id")["month"].transform("min"))
+    cm = cm.assign(index=[(m.year - c.year) * 12 + m.month - c.month for m, c in zip(cm["month"], cm["cohort"])])
+    counts = cm.groupby(["cohort", "index"]).size().reset_index(name="n")
+    counts = counts[counts["index"] <= 12]
+    counts = counts.assign(top=counts.groupby("cohort")["n"].transform("max"))
+    want = {(r.cohort, r.index): math.floor(1000.0 * r.n / r.top + 0.5) / 10 for r in counts.itertuples()}
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_rfm_scores_match_brute_force_percent_rank(spark, hot_lines):
+    metrics = rfm.customer_metrics(sales.filtered_sales(hot_lines, "2010-01-01", "2011-12-31"), "2011-12-31")
+    got = {r["customer_id"]: (r["r_score"], r["f_score"], r["m_score"]) for r in rfm.rfm_scores(metrics).collect()}
+    pdf = metrics.toPandas()
+    n = len(pdf)
+
+    def score(col):
+        less = pdf[col].apply(lambda x: (pdf[col] < x).sum())
+        pr = less / (n - 1) if n > 1 else less * 0.0
+        return (pr * 5).apply(math.floor).clip(upper=4) + 1
+
+    want = dict(zip(pdf["customer_id"], zip(6 - score("recency_days"), score("frequency"), score("monetary"))))
+    assert got == {k: tuple(int(x) for x in v) for k, v in want.items()}
