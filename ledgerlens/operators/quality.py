@@ -56,8 +56,15 @@ def quality_filtered(
 
 
 def quality_signals(quality: DataFrame) -> DataFrame:
-    """Four quality counts as ``(issue, rows)``, fewest first."""
-    pairs = ", ".join(f"'{label}', {column}" for label, column in ISSUE_LABELS)
-    return quality.selectExpr(f"stack({len(ISSUE_LABELS)}, {pairs}) AS (issue, rows)").orderBy(
-        F.col("rows").asc_nulls_last(), F.col("issue").asc_nulls_last()
+    """Four quality counts as ``(issue, rows)``, fewest first.
+
+    Ties keep the listed order of the issues (a stable sort).
+    """
+    triples = ", ".join(
+        f"'{label}', {column}, {position}"
+        for position, (label, column) in enumerate(ISSUE_LABELS)
+    )
+    stacked = quality.selectExpr(
+        f"stack({len(ISSUE_LABELS)}, {triples}) AS (issue, rows, position)"
     )
+    return stacked.orderBy(F.col("rows").asc_nulls_last(), "position").drop("position")
