@@ -43,7 +43,7 @@ RAW_PREFIX = "_raw_"  # original landing cells kept beside the typed values
 class Normalised(NamedTuple):
     checked: DataFrame  # every row, typed values + ``error``
     staged: DataFrame  # rows without error, staging columns
-    quarantine: DataFrame  # source_period, source_row, error, raw_values
+    quarantine: DataFrame  # source_period, source_row, error, raw_values (row repr)
     counters: Observation  # source_rows, staged_rows, quarantined_rows
 
 
@@ -66,6 +66,7 @@ def normalise(raw: DataFrame) -> Normalised:
     """
     check_headers(raw.columns, "<input>")
     keys = [c for c in (ORDINAL,) if c in raw.columns]
+    cell_order = [c for c in raw.columns if c in HEADER_MAP]  # as in the file
     idx = {h: i for i, h in enumerate(RAW_HEADERS)}
 
     def stripped(header: str):
@@ -122,7 +123,7 @@ def normalise(raw: DataFrame) -> Normalised:
         ).alias("error"),
         # original cells ride along; ``raw_values`` is built for quarantined
         # rows only (the observation node below keeps every column alive)
-        *[_cell(h).alias(f"{RAW_PREFIX}{h}") for h in RAW_HEADERS],
+        *[_cell(h).alias(f"{RAW_PREFIX}{h}") for h in cell_order],
     )
     # Run counters ride along with the first action over ``checked``.  The
     # observation node is also where Catalyst stops pushing the staged /
@@ -142,11 +143,13 @@ def normalise(raw: DataFrame) -> Normalised:
 
 def split_checked(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Staged rows (no error) and quarantine rows of a checked DataFrame."""
-    raw_cols = [f"{RAW_PREFIX}{h}" for h in RAW_HEADERS]
+    raw_cols = [c for c in checked.columns if c.startswith(RAW_PREFIX)]  # file order
     staged = checked.where(F.col("error").isNull()).drop("error", *raw_cols)
-    raw_values = F.to_json(
-        F.struct(*[F.col(f"`{RAW_PREFIX}{h}`").alias(h) for h in RAW_HEADERS]),
-        {"ignoreNullFields": "false"},
+    # Python's repr of the row tuple, e.g. ('536381', 'TEST', ..., None)
+    raw_values = F.concat(
+        F.lit("("),
+        F.concat_ws(", ", *[N.py_repr(F.col(f"`{c}`")) for c in raw_cols]),
+        F.lit(")"),
     )
     quarantine = checked.where(F.col("error").isNotNull()).select(
         "source_period",
