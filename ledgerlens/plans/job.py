@@ -1,6 +1,6 @@
 """End-to-end build job: landing files → curated Parquet + quarantine + report.
 
-    spark-submit -m ledgerlens.plans.job \
+    spark-submit --py-files ledgerlens.zip build_job.py \
         --input "Year 2009-2010=s3://bucket/landing/2009" \
         --input "Year 2010-2011=s3://bucket/landing/2010" \
         --output s3://bucket/curated/retail_transactions.parquet

@@ -1,6 +1,6 @@
 """Page refresh job: every result the analytics page shows, for one filter.
 
-    spark-submit -m ledgerlens.plans.report --curated /curated/retail.parquet \
+    spark-submit --py-files ledgerlens.zip refresh_job.py --curated /curated/retail.parquet \
         --start 2010-12-01 --end 2011-12-09 --country "United Kingdom" --output /reports/run1
 
 Reads the curated Parquet once per result with the filter pushed to the
