@@ -15,9 +15,11 @@ value is strictly smaller.  The score is a non-decreasing step function of
 
 1. histogram: ``groupBy(metric, x).count()`` — one row per distinct value,
    partial aggregation absorbs hot values;
-2. one aggregate over the histogram: row total ``N`` and approximate
-   quantiles of the *distinct* values (bucket bounds, so buckets hold about
-   the same number of distinct values however skewed the counts are);
+2. row total ``N`` and approximate quantiles as bucket bounds: either one
+   aggregate over the histogram (quantiles of the *distinct* values), or —
+   cheaper — metrics observed while the input is written anyway
+   (``bound_metrics``; quantiles of the raw values, which also keep every
+   bucket near N / K histogram rows because a hot value is one row);
 3. bucket = position of ``x`` among the literal bounds (a balanced
    comparison tree, O(log K)); running count inside a bucket by a window
    partitioned by (metric, bucket); bucket offsets from a table of at most
@@ -35,6 +37,11 @@ each partition with ``monotonically_increasing_id`` and writes the result to
 the shared checkpoint folder (fixing partition membership), then adds the
 count of rows in earlier partitions.  Requires a total order key (ties
 between rows that differ elsewhere would be numbered arbitrarily, as in SQL).
+
+``row_number_by_position`` is the cheaper form for an integer position that
+is unique within its group (a physical row number): fixed-width value
+buckets bound every window partition without sampling or a written
+intermediate.
 """
 
 from __future__ import annotations
