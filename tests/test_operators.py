@@ -143,3 +143,19 @@ def test_clustered_curated_files_have_disjoint_date_ranges(spark, sf_small, tmp_
     ranges.sort()
     assert len(ranges) > 1
     assert all(a[1] <= b[0] for a, b in zip(ranges, ranges[1:]))
+
+
+def test_ensure_dataset_builds_once(spark, tmp_path):
+    from ledgerlens.plans.datasets import ensure_dataset
+
+    calls = []
+
+    def builder():
+        calls.append(1)
+        return lines(spark, [row("1", 2, 1.5, 7), row("2", 1, 3.0, None)])
+
+    path = str(tmp_path / "ensured.parquet")
+    first = ensure_dataset(spark, path, builder)
+    second = ensure_dataset(spark, path, builder)
+    assert first.count() == second.count() == 2
+    assert calls == [1]
