@@ -100,12 +100,23 @@ def start_ingest_stream(
     period: str | None = None,
     available_now: bool = False,
     max_files_per_trigger: int | None = None,
+    fmt: str = "csv",
 ) -> StreamingQuery:
-    """Start the stream; ``period=None`` takes each file's folder name."""
-    reader = spark.readStream.schema(LANDING_SCHEMA).option("header", "true")
+    """Start the stream; ``period=None`` takes each file's folder name.
+
+    ``fmt`` is ``csv`` (with header) or ``json`` (JSON lines; with the
+    all-text schema, numbers arrive as their text).
+    """
+    reader = spark.readStream.schema(LANDING_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    stream = tag_splits(reader.csv(landing_dir))
+    if fmt == "csv":
+        source = reader.option("header", "true").csv(landing_dir)
+    elif fmt == "json":
+        source = reader.json(landing_dir)
+    else:
+        raise ValueError(f"unsupported landing format: {fmt!r}")
+    stream = tag_splits(source)
     writer = stream.writeStream.foreachBatch(
         lambda df, epoch: process_batch(df, epoch, period, output, quarantine)
     ).option("checkpointLocation", checkpoint)

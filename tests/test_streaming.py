@@ -37,3 +37,15 @@ def test_stream_ingest_matches_batch_and_keeps_ids_dense(spark, tmp_path):
         ("5", "Quantity must be numeric"),
         ("6", "Price must be finite"),
     ]
+
+
+def test_stream_ingest_reads_json_lines(spark, tmp_path):
+    from test_reference_cases import _write_json
+
+    landing = _write_json(str(tmp_path / "landing_json"))
+    out, bad, ckpt = str(tmp_path / "c"), str(tmp_path / "q"), str(tmp_path / "k")
+    q = start_ingest_stream(spark, landing, out, bad, ckpt, period=PERIOD, available_now=True, fmt="json")
+    q.awaitTermination(120)
+    lines = spark.read.parquet(out).orderBy("transaction_line_id").collect()
+    assert [r["invoice_no"] for r in lines] == ["536365", "C536379", "536380"]
+    assert spark.read.option("header", "true").csv(bad).count() == 4
