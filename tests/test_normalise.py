@@ -72,6 +72,7 @@ NUMBER_CASES = [
     "1_", "1d", "0x10", "inf", "-Infinity", "nan", "+NaN", "infinity ", "", "None", "True", "1e400",
     "-0.0", "1,5", "bad quantity", "9" * 30, "2147483648", "-2147483648", "2147483647", "\t12\n",
     " 12 ", "\x1c5\x1f", "it's", 'say "hi"', "a'b\"c", "back\\slash", None,
+    "\u0661\u0662", "\u0661.\u0665", "\u0663_\u0660", "\U0001d7d9\U0001d7da", "\u0966e\u0967",
 ]
 
 
