@@ -115,7 +115,9 @@ TIMESTAMP_CASES = [
     "2010-12-01 08:26:00+01:00", "2010-12-01 08:26:00Z", "2010-12-01 08:26:00+0100", "2010-W53-1",
     "2015-W53-1", "2010-W00-1", "2010-W10-8", "2010-335", "20101201T0826", "2010-12-01 8:26",
     "2010-12-01 08:26:00.", "2010-12-01 08:2", "201012-01", " 2010-12-01 ", "not a date", "", None,
-    "2010-12-01T08:26:00.999999", "2009-12-31T23:59:59",
+    "2010-12-01T08:26:00.999999", "2009-12-31T23:59:59", "0000-01-01 00:00:00", "0000-W01-1",
+    "00000101", "9999-W52-7", "9999-12-31T23:59:59", "0001-W01-1", "2010-01-01T08,5",
+    "20100101T0830.5",
 ]
 
 
