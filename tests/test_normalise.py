@@ -185,3 +185,44 @@ def test_validation_stays_in_generated_code(spark):
     assert "CollectMetrics" in plan
     filters = [line for line in plan.splitlines() if "Filter" in line]
     assert filters and all("regexp" not in line.lower() and "rlike" not in line.lower() for line in filters)
+
+
+def _random_iso(rng):
+    y = rng.choice(["2010", "0000", "2015", "9999", "2012", "0001"])
+    sep = rng.choice(["-", ""])
+    if rng.random() < 0.2:
+        date = y + sep + "W" + f"{rng.randint(0, 54):02d}"
+        if rng.random() < 0.6:
+            date += sep + str(rng.randint(0, 8))
+    else:
+        date = y + sep + f"{rng.randint(0, 13):02d}" + sep + f"{rng.randint(0, 32):02d}"
+    if rng.random() < 0.3:
+        return date
+    time, tsep = f"{rng.randint(0, 25):02d}", rng.choice([":", ""])
+    for _ in range(rng.randint(0, 2)):
+        time += tsep + f"{rng.randint(0, 61):02d}"
+    if rng.random() < 0.3:
+        time += rng.choice([".", ","]) + "".join(rng.choice("0123456789") for _ in range(rng.randint(0, 8)))
+    return date + rng.choice(["T", " ", "x", "T"]) + time
+
+
+def test_bulk_random_cells_match_python(spark):
+    """1,500 seeded random numbers and ISO-like dates in one Spark job."""
+    import random
+
+    rng = random.Random(11)
+    alphabet = list("0123456789._eE+- ") + ["١", "०", "\xa0", "　", "\x1c", "in", "f", "nan", "'", "\\"]
+    numbers = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 8))) for _ in range(1500)]
+    dates = [_random_iso(rng) for _ in range(1500)]
+    rows = []
+    for i, (n, d) in enumerate(zip(numbers, dates)):
+        rec = dict(GOOD, Price=n, InvoiceDate=d)
+        rows.append(("P", i + 2, *[rec[h] for h in RAW_HEADERS]))
+    df = spark.createDataFrame(rows, ["source_period", "source_row", *RAW_HEADERS])
+    out = normalise(df).checked.orderBy("source_row").collect()
+    for n, d, row in zip(numbers, dates, out):
+        pv, pe = py_number(n, "Price")
+        tv, te = py_timestamp(d)
+        assert row["error"] == (pe or te), (n, d)
+        if pe is None and te is None:
+            assert (row["unit_price"], row["invoice_timestamp"]) == (pv, tv), (n, d)
