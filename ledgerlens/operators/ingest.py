@@ -38,6 +38,7 @@ RAW_HEADERS = list(HEADER_MAP)
 NUMBER_HEADERS = ["Quantity", "Price", "Customer ID"]
 ORDINAL = "source_ordinal"  # optional: position of the period among the inputs
 RAW_PREFIX = "_raw_"  # original landing cells kept beside the typed values
+KIND_PREFIX = "_kind_"  # optional per-cell JSON type: int, float, bool, text
 
 
 class Normalised(NamedTuple):
@@ -53,7 +54,11 @@ def _cell(name: str):
 
 def check_headers(columns: list[str], period: str) -> None:
     """The landing header must hold exactly the expected names (any order)."""
-    found = [c for c in columns if c not in ("source_period", "source_row", ORDINAL)]
+    found = [
+        c
+        for c in columns
+        if c not in ("source_period", "source_row", ORDINAL) and not c.startswith(KIND_PREFIX)
+    ]
     if set(found) != set(RAW_HEADERS):
         raise ValueError(f"Unexpected columns in sheet '{period}': {tuple(found)}")
 
@@ -67,6 +72,10 @@ def normalise(raw: DataFrame) -> Normalised:
     check_headers(raw.columns, "<input>")
     keys = [c for c in (ORDINAL,) if c in raw.columns]
     cell_order = [c for c in raw.columns if c in HEADER_MAP]  # as in the file
+    typed = all(f"{KIND_PREFIX}{h}" in raw.columns for h in RAW_HEADERS)
+
+    def kind(header: str):
+        return F.col(f"`{KIND_PREFIX}{header}`") if typed else F.lit("text")
     idx = {h: i for i, h in enumerate(RAW_HEADERS)}
 
     def stripped(header: str):
@@ -80,6 +89,7 @@ def normalise(raw: DataFrame) -> Normalised:
         *[_cell(h).alias(h) for h in RAW_HEADERS],
         *[N.strip_text(_cell(h)).alias(f"_s{idx[h]}") for h in RAW_HEADERS],
         *[N.strip_number_text(_cell(h)).alias(f"_n{idx[h]}") for h in NUMBER_HEADERS],
+        *[kind(h).alias(f"{KIND_PREFIX}{h}") for h in RAW_HEADERS],
         N.is_common_timestamp(N.strip_text(_cell("InvoiceDate"))).alias("_tcommon"),
     ).withColumn("_iso", N.iso_parts(stripped("InvoiceDate"), F.col("_tcommon")))
 
@@ -96,12 +106,19 @@ def normalise(raw: DataFrame) -> Normalised:
         }
     )
     # (C) values and the first error in the order Quantity, Price, date, customer
-    quantity, quantity_err = N.number_result(_cell("Quantity"), "Quantity", "_q", bits=32)
-    price, price_err = N.number_result(_cell("Price"), "Price", "_p")
+    def kind_col(header: str):
+        return F.col(f"`{KIND_PREFIX}{header}`")
+
+    quantity, quantity_err = N.number_result(
+        _cell("Quantity"), "Quantity", "_q", bits=32, kind=kind_col("Quantity")
+    )
+    price, price_err = N.number_result(_cell("Price"), "Price", "_p", kind=kind_col("Price"))
     ts, ts_err = N.timestamp_result("_t")
     customer_raw = _cell("Customer ID")
     blank_customer = customer_raw.isNull() | (stripped("Customer ID") == F.lit(""))
-    customer, customer_err = N.number_result(customer_raw, "Customer ID", "_c", bits=64)
+    customer, customer_err = N.number_result(
+        customer_raw, "Customer ID", "_c", bits=64, kind=kind_col("Customer ID")
+    )
 
     def text(header: str):
         return F.nullif(stripped(header), F.lit(""))
@@ -124,6 +141,7 @@ def normalise(raw: DataFrame) -> Normalised:
         # original cells ride along; ``raw_values`` is built for quarantined
         # rows only (the observation node below keeps every column alive)
         *[_cell(h).alias(f"{RAW_PREFIX}{h}") for h in cell_order],
+        *[kind_col(h).alias(f"{KIND_PREFIX}{h}") for h in cell_order],
     )
     # Run counters ride along with the first action over ``checked``.  The
     # observation node is also where Catalyst stops pushing the staged /
@@ -143,14 +161,15 @@ def normalise(raw: DataFrame) -> Normalised:
 
 def split_checked(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Staged rows (no error) and quarantine rows of a checked DataFrame."""
-    raw_cols = [c for c in checked.columns if c.startswith(RAW_PREFIX)]  # file order
-    staged = checked.where(F.col("error").isNull()).drop("error", *raw_cols)
-    # Python's repr of the row tuple, e.g. ('536381', 'TEST', ..., None)
-    raw_values = F.concat(
-        F.lit("("),
-        F.concat_ws(", ", *[N.py_repr(F.col(f"`{c}`")) for c in raw_cols]),
-        F.lit(")"),
-    )
+    cells = [c[len(RAW_PREFIX):] for c in checked.columns if c.startswith(RAW_PREFIX)]  # file order
+    carried = [f"{RAW_PREFIX}{h}" for h in cells] + [f"{KIND_PREFIX}{h}" for h in cells]
+    staged = checked.where(F.col("error").isNull()).drop("error", *carried)
+    # Python's repr of the row tuple, e.g. ('536381', 'TEST', ..., None), each
+    # cell rendered by its type; evaluated for quarantined rows only
+    shown = [
+        N.typed_repr(F.col(f"`{RAW_PREFIX}{h}`"), F.col(f"`{KIND_PREFIX}{h}`")) for h in cells
+    ]
+    raw_values = F.concat(F.lit("("), F.concat_ws(", ", *shown), F.lit(")"))
     quarantine = checked.where(F.col("error").isNotNull()).select(
         "source_period",
         F.col("source_row").cast("bigint").alias("source_row"),

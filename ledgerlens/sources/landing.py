@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.ingest import ORDINAL, RAW_HEADERS, check_headers
+from ..operators.ingest import KIND_PREFIX, ORDINAL, RAW_HEADERS, check_headers
 
 FIRST_DATA_ROW = 2  # row 1 holds the header
 
@@ -36,13 +36,44 @@ def _read_period(spark: SparkSession, path: str, fmt: str, options: Mapping[str,
     if fmt == "csv":
         reader = spark.read.options(header="true", inferSchema="false", **options)
         return reader.csv(path)
-    if fmt == "json":
-        # JSON numbers and booleans arrive as their text
-        reader = spark.read.options(primitivesAsString="true", **options)
-        return reader.json(path)
     raise ValueError(f"unsupported landing format: {fmt!r}")
 
 
+def _kind(cell) -> "F.Column":
+    """Python type of a JSON cell: int, float, bool, text (NULL when absent)."""
+    t = F.schema_of_variant(cell)
+    return (
+        F.when(F.is_variant_null(cell) | cell.isNull(), F.lit(None).cast("string"))
+        .when(t == "BOOLEAN", F.lit("bool"))
+        .when(t.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), F.lit("int"))
+        .when(t.startswith("DECIMAL") | t.isin("DOUBLE", "FLOAT"), F.lit("float"))
+        .otherwise(F.lit("text"))
+    )
+
+
+def _read_json_period(spark: SparkSession, path: str, period: str) -> DataFrame:
+    """JSON lines → numbered text cells plus ``_kind_<header>`` per cell.
+
+    Each line is parsed into a VARIANT so a cell keeps its JSON type: the
+    validation treats booleans as non-numbers and writes numbers unquoted in
+    its messages, as for typed workbook cells.  A line that is not JSON
+    gives an all-missing row (quarantined like an empty sheet row).
+    """
+    lines = number_rows(spark.read.text(path))
+    first = lines.where(F.trim("value") != "").orderBy("source_row").limit(1)
+    keys = first.select(F.json_object_keys("value").alias("k")).first()
+    check_headers(list(keys["k"] or []) if keys else [], period)
+    record = F.try_parse_json("value")
+    cells, kinds = [], []
+    for h in RAW_HEADERS:
+        cell = F.try_variant_get(record, f"$['{h}']", "variant")
+        kind = _kind(cell)
+        text = F.when(kind == "bool", F.when(F.try_variant_get(cell, "$", "boolean"), "True").otherwise("False"))
+        cells.append(text.otherwise(F.try_variant_get(cell, "$", "string")).alias(h))
+        kinds.append(kind.alias(f"{KIND_PREFIX}{h}"))
+    return lines.select("source_row", *cells, *kinds)
+
+
 def tag_splits(df: DataFrame) -> DataFrame:
     """Add the split key (file path, block start); directly on a file scan.
 
@@ -122,15 +153,21 @@ def read_landing(
     """
     frames = []
     for ordinal, (period, path) in enumerate(_items(sources)):
-        raw = _read_period(spark, path, fmt, options or {})
-        check_headers(raw.columns, period)
-        numbered = number_rows(raw)  # directly on the file scan (``_metadata``)
+        if fmt == "json":
+            numbered = _read_json_period(spark, path, period)
+            kinds = [F.col(f"`{KIND_PREFIX}{h}`") for h in RAW_HEADERS]
+        else:
+            raw = _read_period(spark, path, fmt, options or {})
+            check_headers(raw.columns, period)
+            numbered = number_rows(raw)  # directly on the file scan (``_metadata``)
+            kinds = []
         frames.append(
             numbered.select(
                 F.lit(ordinal).alias(ORDINAL),
                 F.lit(period).alias("source_period"),
                 "source_row",
                 *[F.col(f"`{h}`").cast("string").alias(h) for h in RAW_HEADERS],
+                *kinds,
             )
         )
     if not frames:
