@@ -52,6 +52,7 @@ def process_batch(
     overwrite = {"partitionOverwriteMode": "dynamic"}
     # sequence ids on the micro-batch scan, kept for the two reads below
     batch = tag_sequence(batch).persist()
+    checked = None
     try:
         numbered = number_tagged(batch, per_file=True)
         period_col = (
@@ -86,8 +87,9 @@ def process_batch(
         counts.write.mode("overwrite").options(**overwrite).partitionBy("batch_id").parquet(
             f"{output}_counts"
         )
-        checked.unpersist()
     finally:
+        if checked is not None:
+            checked.unpersist()
         batch.unpersist()
 
 
