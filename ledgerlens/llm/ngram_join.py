@@ -30,7 +30,7 @@ from .keyfilter import wanted
 from .simjoin import MEMBER, POSTING, bucket_rows, linked_components, parity_bitmap, tile_table
 from .textops import U64, chunks, mix, set_id, shingle_sets
 
-HOT_ELEMENTS = 1 << 16
+HOT_ELEMENTS = 1 << 18
 HOT_IN_BATCH = 4
 BUCKET_BYTES = 16 << 20
 
@@ -102,6 +102,7 @@ def _postings(hot: np.ndarray, rank: np.ndarray, buckets: int):
                     own = rare[:prefix]
                     rows = np.empty(len(own), POSTING)
                     rows["tok"], rows["sid"], rows["size"] = own & U64(0xFFFFFFFF), sid, size
+                    rows["posted"] = min(len(own), 65535)
                     cold.append(rows)
                     cold_tok.append(own)
                     if len(own) < prefix:
@@ -164,9 +165,10 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
         .agg(F.sum("size").alias("n"))
         .orderBy(F.desc("n"), "sid")
         .limit(HOT_ELEMENTS)
-        .collect()
+        .select("sid")
+        .toArrow()
     )
-    hot = np.array([r.sid for r in frequent], np.int64).astype(U64)
+    hot = frequent.column("sid").to_numpy().astype(U64)
     rank = np.arange(len(hot))[::-1]  # the most frequent last
     order = np.argsort(hot)
     hot, rank = hot[order], rank[order]

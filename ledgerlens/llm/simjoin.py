@@ -9,6 +9,9 @@ Sets are linked when ``100 * overlap >= 80 * union`` (the same as
    gives all its pairs; a larger one becomes member rows.
 2. Member rows get a hub for each tile and band, by a grouped minimum, and are
    paired with the hub only: no pairs of a large group are listed.
+   A pair's common tokens are counted over all tiles.  Where tokens are prefix
+   elements in a common order, a linked pair has at least
+   ``posted - (size - least overlap)`` of them in common, for one side at least.
 3. A parity bitmap of each set bounds a pair's overlap from above: the sets
    differ in at least as many elements as the bitmaps in bits.
 4. One surviving partner for each set is verified exactly on sorted arrays; the
@@ -37,8 +40,9 @@ from .textops import U64
 
 TILE_PAIRS = 32
 BLOCK = 512
+UNCOUNTED = 256
 MEMBER = np.dtype([("tok", "<i8"), ("sid", "<i8"), ("size", "<i4"), ("most", "<i4"), ("rare", "<i4")])
-POSTING = np.dtype([("tok", "<u4"), ("sid", "<i8"), ("size", "<i4")])
+POSTING = np.dtype([("tok", "<u4"), ("sid", "<i8"), ("size", "<i4"), ("posted", "<u2")])
 TILE_SCHEMA = "kind int, a long, b long, band int, size int, most int, rare int"
 _TILE_ARROW = pa.schema(
     [("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64())]
@@ -96,6 +100,7 @@ def _reduce_tiles(buckets: int) -> Callable:
         count = np.diff(np.concatenate([head, [len(tok)]]))
         tile = np.repeat(np.arange(len(head)), count)
         member = count[tile] <= TILE_PAIRS
+        posted = p["posted"][order][new].astype(np.int64)
         left, right = [], []
         small = np.flatnonzero(member & (count[tile] > 1))
         for step in range(1, TILE_PAIRS):
@@ -105,18 +110,24 @@ def _reduce_tiles(buckets: int) -> Callable:
             near = small[tile[small + step] == tile[small]]
             near = near[band[near + step] - band[near] <= 1]
             near = near[9 * size[near] >= 4 * (size[near] + size[near + step])]
-            left.append(sid[near])
-            right.append(sid[near + step])
+            left.append(near)
+            right.append(near + step)
             small = near  # sizes ascend: once too far, later ones are too
-        a = np.concatenate(left) if left else np.zeros(0, np.int64)
-        b = np.concatenate(right) if right else np.zeros(0, np.int64)
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        parts = [_tile_batch(0, pairs[:, 0], pairs[:, 1])]
+        parts = []
+        if left:
+            x, y = np.concatenate(left), np.concatenate(right)
+            swap = sid[x] > sid[y]
+            x, y = np.where(swap, y, x), np.where(swap, x, y)
+            total = size[x] + size[y]
+            slack = np.minimum(posted[x] - size[x], posted[y] - size[y]) + (4 * total + 8) // 9
+            pairs = np.stack([sid[x], sid[y], slack], 1)
+            pairs, shared = np.unique(pairs, axis=0, return_counts=True)
+            parts.append(_tile_batch(0, pairs[:, 0], pairs[:, 1], size=shared, most=pairs[:, 2]))
         if not member.all():
             big = ~member
             key_of = (np.int64(bucket) << np.int64(32)) | tok[big].astype(np.int64)
-            parts.append(_tile_batch(1, key_of, sid[big], band[big], size[big], 5 * size[big] // 4, np.full(int(big.sum()), 255)))
-        return pa.concat_tables(parts)
+            parts.append(_tile_batch(1, key_of, sid[big], band[big], size[big], 5 * size[big] // 4, np.full(int(big.sum()), UNCOUNTED)))
+        return pa.concat_tables(parts) if parts else _TILE_ARROW.empty_table()
 
     return reduce
 
@@ -124,6 +135,9 @@ def _reduce_tiles(buckets: int) -> Callable:
 def tile_table(postings: DataFrame, buckets: int, name: str) -> DataFrame:
     """Pairs (kind 0) and members of large tiles (kind 1) from ``(bucket, payload)`` rows.
 
+    A pair's ``size`` is its number of common tokens in the bucket, ``most`` the
+    number that a linked pair needs in all.
+
     Buckets from ``buckets`` on hold ``MEMBER`` records of tiles that are known
     to be large, dealt out by set; a large tile is so never in one group.
     """
@@ -200,6 +214,18 @@ def _ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def listed_pairs(tiles: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs of the small tiles with enough common tokens in all of them.
+
+    A set with tokens in a tile that listed no pairs is exempt from the count.
+    """
+    pairs = tiles.where("kind = 0").groupBy("a", "b").agg(F.sum("size").alias("shared"), F.max("most").alias("need"))
+    uncounted = members.where(f"rare = {UNCOUNTED}").select("sid").distinct()
+    a, b = (uncounted.select(F.col("sid").alias(c), F.lit(True).alias(f"free_{c}")) for c in "ab")
+    flagged = pairs.join(a, "a", "left").join(b, "b", "left")
+    return flagged.where("shared >= need or free_a or free_b").select("a", "b")
+
+
 def hub_pairs(members: DataFrame) -> DataFrame:
     """Each member of a large tile with the hub of its band and of the band below.
 
@@ -290,7 +316,7 @@ def linked_components(
     for those; repeated rows for one set are allowed.
     """
     members = tiles.where("kind = 1").selectExpr("a as tok", "b as sid", "band", "size", "most", "rare").distinct()
-    listed = tiles.where("kind = 0").select("a", "b").unionByName(hub_pairs(members)).distinct()
+    listed = listed_pairs(tiles, members).unionByName(hub_pairs(members)).distinct()
     survivors = materialize(bounded_pairs(listed, items), f"{name}-survivors")
     wanted = survivors.select(F.explode(F.array("a", "b")).alias("sid")).unionByName(members.select("sid")).distinct()
     found = sets_of(key_bitmap(wanted, "sid"))
