@@ -1,11 +1,10 @@
 """Token-id packing into fixed-length rows, by best fit decreasing.
 
 Documents are tokenised and cut into segments of at most ``length`` tokens, an
-end-of-document id included, without losing any.  Full segments are rows of
-their own at once.  The others are dealt at random into packing groups of
-about ``GROUP_SEGMENTS`` segments; inside a group they are taken longest first,
-and a segment tree over free capacities finds the fullest open row that still
-has room.  A group has a bounded number of segments however large the input is
+end-of-document id included, without losing any.  Segments are dealt at random
+into packing groups of about ``GROUP_BYTES`` of text; inside a group they are
+taken longest first, and a segment tree over free capacities finds the fullest
+open row that still has room.  A group has a bounded number of segments however large the input is
 and needs no knowledge of others; only its last, partly filled rows waste room.
 
 A packed row has its ids (little-endian unsigned 16-bit, filled up with the
@@ -28,7 +27,7 @@ from .bpe import corpora, encode_corpus, vocabulary
 
 LENGTH = 2048
 END_ID = 50256
-GROUP_SEGMENTS = 1 << 12
+GROUP_BYTES = 16 << 20
 _ROWS = (
     "group long, row int, n_tokens int, n_segments int, ids binary, cu_seqlens array<int>, "
     "position_ids binary, doc_ids array<long>, segment_numbers array<int>"
@@ -165,14 +164,15 @@ def pack_documents(
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
         F.xxhash64(F.col(id_col), F.when(F.col(id_col).isNull(), F.col(text_col))).alias("deal"),
     )
-    groups = docs.count() // GROUP_SEGMENTS + 1
+    size = texts.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    groups = size // GROUP_BYTES + 1
     segments = texts.mapInArrow(_segments(path, length, end_id), "doc_id long, number int, deal long, ids binary")
     dealt = segments.select("doc_id", "number", "ids", F.pmod(F.xxhash64("deal", "number"), F.lit(groups)).alias("group"))
     return dealt.groupBy("group").applyInArrow(_pack(length, end_id), _ROWS)
 
 
 def unpack_documents(packed: DataFrame) -> DataFrame:
-    """``doc_id, n_tokens, ids_crc32``-checkable segments back from packed rows: ``doc_id, number, ids``."""
+    """The segments back from packed rows: ``doc_id, number, ids``."""
     spans = F.expr(
         "transform(sequence(0, n_segments - 1), i -> named_struct('doc_id', doc_ids[i], 'number', segment_numbers[i],"
         " 'ids', substring(ids, 2 * cu_seqlens[i] + 1, 2 * (cu_seqlens[i + 1] - cu_seqlens[i]))))"

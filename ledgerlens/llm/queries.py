@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import imatch, ngram_join, sharding
+from . import bpe, imatch, langid, ngram_join, packing, sharding
+
+VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,20 +20,29 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_components(_documents(spark, sf_dir))
 
 
+def op2_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_documents(spark, sf_dir), VOCABULARY)
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_documents(spark, sf_dir))[0]
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip_digests(_documents(spark, sf_dir), VOCABULARY)
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_languages(_documents(spark, sf_dir))
+
+
 def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprint_documents(_documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op1_ngram_join": op1_ngram_join,
-        "op3_sharding": op3_sharding,
-        "op8_imatch": op8_imatch,
-    }
+    own = (op1_ngram_join, op2_token_packing, op3_sharding, op5_byte_bpe, op7_language_id, op8_imatch)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
