@@ -46,10 +46,10 @@ def by_block(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
 
 
 def packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for the texts of a block: ids, lengths and the compressed bytes."""
+    """One row for a block: all its columns, compressed."""
     for batch in batches:
         for block, part in by_block(batch):
-            raw = _pack(part.select(["doc_id", "text"]))
+            raw = _pack(part.select([c for c in part.schema.names if c != "block"]))
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([raw], pa.binary())], names=["block", "texts"])
 
 
@@ -61,5 +61,5 @@ def _pack(part: pa.RecordBatch) -> bytes:
 
 
 def unpack_texts(cells: list[bytes]) -> pa.Table:
-    """The ``doc_id`` and ``text`` columns of packed rows."""
+    """The rows of packed blocks."""
     return pa.concat_tables([pa.ipc.open_stream(c).read_all() for c in cells]).combine_chunks()

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize, shuffle_partitions
 from .keyfilter import wanted
+from .rows import row_key
 from .simjoin import MEMBER, POSTING, bucket_rows, linked_components, parity_bitmap, tile_table
 from .textops import U64, chunks, mix, set_id, shingle_sets
 
@@ -35,7 +36,7 @@ HOT_IN_BATCH = 4
 BUCKET_BYTES = 16 << 20
 
 _PROFILE = pa.schema(
-    [("kind", pa.int32()), ("doc_id", pa.int64()), ("sid", pa.int64()), ("size", pa.int32()), ("bits", pa.binary())]
+    [("kind", pa.int32()), ("key", pa.int64()), ("doc_id", pa.int64()), ("sid", pa.int64()), ("size", pa.int32()), ("bits", pa.binary())]
 )
 
 
@@ -56,9 +57,9 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if sids[-1] not in seen:
                     seen.add(sids[-1])
                     pooled.append(values)
-            ids = batch.column("doc_id").slice(low, high - low)
+            own = [batch.column(c).slice(low, high - low) for c in ("key", "doc_id")]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(high - low, np.int32)), ids, pa.array(sids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary())],
+                [pa.array(np.zeros(high - low, np.int32)), *own, pa.array(sids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary())],
                 schema=_PROFILE,
             )
         if pooled:
@@ -71,6 +72,7 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [
                     pa.array(np.ones(n, np.int32)),
                     pa.nulls(n, pa.int64()),
+                    pa.nulls(n, pa.int64()),
                     pa.array(values[head][often].astype(np.int64)),
                     pa.array(count[often].astype(np.int32)),
                     pa.nulls(n, pa.binary()),
@@ -149,14 +151,16 @@ def _sets(bitmap: np.ndarray):
 
 
 def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document: ``doc_id, n_shingles, component_id, set_id, copies``.
+    """One row for each document: ``doc_id, n_shingles, component_id, set_id, copies, key``.
 
     ``component_id`` is the least ``doc_id`` that links reach, the document's
-    own included; ``copies`` counts the documents with the same set.
+    own included; ``copies`` counts the documents with the same set; ``key``
+    is ``row_key``.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    profile = materialize(texts.mapInArrow(_profiles, "kind int, doc_id long, sid long, size int, bits binary"), "join-profile")
+    key = row_key(id_col, text_col).alias("key")
+    texts = docs.select(key, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    profile = materialize(texts.mapInArrow(_profiles, "kind int, key long, doc_id long, sid long, size int, bits binary"), "join-profile")
     rows = profile.where("kind = 0")
     shingles = rows.agg(F.sum("size").alias("n")).first().n or 0
     frequent = (
@@ -183,12 +187,36 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     named = named.withColumn("label", F.coalesce("label", "sid"))
     least = named.groupBy("label").agg(F.min("least").alias("component"))
     classes = named.join(least, "label").select("sid", "component", "copies")
-    joined = rows.select("doc_id", "sid", "size").join(classes, "sid", "left")
+    joined = rows.select("key", "doc_id", "sid", "size").join(classes, "sid", "left")
     return joined.select(
         "doc_id",
         F.col("size").cast("long").alias("n_shingles"),
         F.coalesce("component", "doc_id").alias("component_id"),
         F.col("sid").alias("set_id"),
         F.coalesce("copies", F.lit(1)).cast("long").alias("copies"),
+        "key",
     )
 
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The row of the least id, then least key, of each component; columns unchanged.
+
+    Documents without words are linked with nothing and all stay.
+    """
+    rows = materialize(ngram_jaccard_components(docs, id_col, text_col).where("set_id is not null"), "join-rows")
+    least = F.min_by("key", F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)), F.col("key")))
+    # the component of rows without any id is null; their sets tell them apart
+    group = [F.coalesce("component_id", "set_id").alias("c"), F.col("component_id").isNull().alias("blank")]
+    named = rows.select("key", "doc_id", *group)
+    kept = named.groupBy("c", "blank").agg(least.alias("kept"))
+    losers = named.join(kept, ["c", "blank"]).where("key <> kept").select("key").distinct()
+    again = rows.groupBy("key").count().where("count > 1").select("key")
+    key = "_key"
+    while key in docs.columns:
+        key += "_"
+    marked = docs.withColumn(key, row_key(id_col, text_col))
+    losers, again = (d.withColumnRenamed("key", key) for d in (losers, again))
+    left = marked.join(losers, key, "left_anti")
+    once = left.join(again, key, "left_anti").unionByName(left.join(again, key, "left_semi").dropDuplicates([key]))
+    return once.drop(key)
+

@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .rows import row_key
 from .textops import U64, chunks, mix, span_hashes, word_spans
 
 BUCKETS = 1 << 17
@@ -184,11 +185,6 @@ def _evidence(model: Model):
     return run
 
 
-def row_key(id_col: str, text_col: str) -> Column:
-    """A key that tells rows with different ids or texts apart, nulls included."""
-    return F.xxhash64(F.col(id_col), F.col(text_col), F.col(id_col).isNull(), F.col(text_col).isNull())
-
-
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, documents: int = TRAIN_DOCUMENTS) -> Model:
     """Fit on a hash sample of about ``documents`` labelled documents."""
     known = labels.where("doc_id is not null and (quality is not null or toxic is not null)")

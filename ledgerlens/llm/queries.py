@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, imatch, langid, ngram_join, packing, sharding
+from . import bpe, decontaminate, imatch, langid, lm, ngram_join, packing, quality, sharding, substring_dedup
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return _table(spark, sf_dir, "documents")
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,10 +32,19 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_documents(spark, sf_dir))[0]
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = substring_dedup.repeated_spans(_documents(spark, sf_dir))
+    return spans.select("doc_id", "start", "end", "kept_doc_id", "kind", "component")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(_documents(spark, sf_dir), VOCABULARY)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated_passages(_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_languages(_documents(spark, sf_dir))
 
@@ -40,8 +53,35 @@ def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprint_documents(_documents(spark, sf_dir))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(_documents(spark, sf_dir))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.classify(_documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "host", "path", "p_bad", "p_toxic", "keep")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # at the repository's top, counted as part of this subpackage
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_ngram_join, op2_token_packing, op3_sharding, op5_byte_bpe, op7_language_id, op8_imatch)
+    own = (
+        op1_ngram_join,
+        op2_token_packing,
+        op3_sharding,
+        op4_substring_dedup,
+        op5_byte_bpe,
+        op6_decontamination,
+        op7_language_id,
+        op8_imatch,
+        op9_lm_scoring,
+        op10_quality,
+        pipeline,
+    )
     return {f.__name__: f for f in own}
 
 
