@@ -37,10 +37,9 @@ TRAIN, TUNE, HELD_OUT = 0, 1, 2  # kinds of block
 WORD, PAIR, TOTALS = 0, 1, 2  # kinds of request
 END = U64(0x5851F42D4C957F2D)
 BEGIN = U64(0x14057B7EF767814F)
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 8 << 20
 CONTEXTS = 24
 STEPS = 96  # ratios of two estimates, in half powers of two; 0 stands for none
-KEY = U64((1 << 48) - 1)
 _ANSWERS = "block long, kind int, bucket int, payload binary"
 _ANSWERS_ARROW = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("payload", pa.binary())])
 
@@ -70,36 +69,45 @@ def pair_keys(before: np.ndarray, own: np.ndarray) -> np.ndarray:
     return mix(before * U64(0x9E3779B97F4A7C15) + own)
 
 
-def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return ((keys >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
+def _bucket(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The top bits of a key are its bucket."""
+    return (keys >> U64(64 - bits)).astype(np.int64)
 
 
-def _pack_keys(keys: np.ndarray) -> bytes:
-    """The low 48 bits of each key or count."""
-    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def _within(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The next 48 bits, which name a key inside its bucket, in the keys' order."""
+    return (keys << U64(bits)) >> U64(16)
 
 
-def _unpack_keys(raw: bytes, n: int, offset: int = 0) -> np.ndarray:
+def _pack(values: np.ndarray) -> bytes:
+    """48-bit numbers as six planes of bytes; planes of zeros compress to nothing."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes()
+
+
+def _unpack(raw: bytes, n: int, offset: int = 0) -> np.ndarray:
     out = np.zeros((n, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8, count=6 * n, offset=offset).reshape(n, 6)
+    out[:, :6] = np.frombuffer(raw, np.uint8, count=6 * n, offset=offset).reshape(6, n).T
     return out.view("<u8").reshape(n)
 
 
-def _pack_counts(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Keys, and the counts of those that are not 1."""
-    more = np.flatnonzero(counts != 1)
-    return struct.pack("<II", len(keys), len(more)) + _pack_keys(keys) + more.astype("<u4").tobytes() + counts[more].astype("<u4").tobytes()
+def _pack_ascending(values: np.ndarray) -> bytes:
+    return _pack(np.diff(values, prepend=U64(0)))
+
+
+def _unpack_ascending(raw: bytes, n: int, offset: int = 0) -> np.ndarray:
+    return np.cumsum(_unpack(raw, n, offset), dtype=U64)
+
+
+def _pack_counts(values: np.ndarray, counts: np.ndarray) -> bytes:
+    return struct.pack("<I", len(values)) + _pack_ascending(values) + _pack(counts - 1)
 
 
 def _unpack_counts(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n, m = struct.unpack_from("<II", raw)
-    counts = np.ones(n, np.int64)
-    at = 8 + 6 * n
-    counts[np.frombuffer(raw, "<u4", m, at)] = np.frombuffer(raw, "<u4", m, at + 4 * m)
-    return _unpack_keys(raw, n, 8), counts
+    (n,) = struct.unpack_from("<I", raw)
+    return _unpack_ascending(raw, n, 4), _unpack(raw, n, 4 + 6 * n).astype(np.int64) + 1
 
 
-def _requests(buckets: int):
+def _requests(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, part in by_block(batch):
@@ -107,9 +115,9 @@ def _requests(buckets: int):
                 rows = []
                 for kind, keys in ((WORD, own), (PAIR, pair_keys(before, own))):
                     keys, counts = np.unique(keys, return_counts=True)
-                    where = _bucket(keys, buckets)
+                    where, names = _bucket(keys, bits), _within(keys, bits)
                     cut = np.concatenate([[0], np.flatnonzero(np.diff(where)) + 1, [len(keys)]])
-                    rows += [(block, kind, int(where[a]), _pack_counts(keys[a:b], counts[a:b])) for a, b in zip(cut[:-1], cut[1:]) if b > a]
+                    rows += [(block, kind, int(where[a]), _pack_counts(names[a:b], counts[a:b])) for a, b in zip(cut[:-1], cut[1:]) if b > a]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_ANSWERS_ARROW)], schema=_ANSWERS_ARROW)
 
     return run
@@ -149,10 +157,10 @@ def _answer(key: tuple, table: pa.Table) -> pa.Table:
             if b > a:
                 at = ask[a:b]
                 at = at[np.unique(keys[at], return_index=True)[1]]  # a block may have asked twice
-                answer = struct.pack("<I", len(at)) + _pack_keys(keys[at]) + _pack_keys(total[which[at]])
+                answer = struct.pack("<I", len(at)) + _pack_ascending(keys[at]) + _pack(total[which[at]])
                 block = int(names[owner[at[0]]])
                 if block & 3 == TUNE:
-                    answer += _pack_keys(outside[which[at]])
+                    answer += _pack(outside[which[at]])
                 rows.append((block, kind, bucket, answer))
     return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_ANSWERS_ARROW)], schema=_ANSWERS_ARROW)
 
@@ -160,37 +168,37 @@ def _answer(key: tuple, table: pa.Table) -> pa.Table:
 class Counts:
     """A block's distinct keys of one kind and their totals."""
 
-    def __init__(self, keys: np.ndarray, buckets: int, answers: list[tuple[int, bytes]], outside: bool, start: np.ndarray | None):
+    def __init__(self, keys: np.ndarray, bits: int, answers: list[tuple[int, bytes]], outside: bool, start: np.ndarray | None):
         self.keys = np.unique(keys) if start is None else keys
         self.totals = np.zeros(len(self.keys), np.int64) if start is None else start
-        where = _bucket(self.keys, buckets)
-        first = np.searchsorted(where, np.arange(buckets + 1))
+        first = np.searchsorted(_bucket(self.keys, bits), np.arange((1 << bits) + 1))
+        names = _within(self.keys, bits)
         for bucket, raw in answers:
             (n,) = struct.unpack_from("<I", raw)
-            asked = _unpack_keys(raw, n, 4)
-            counts = _unpack_keys(raw, n, 4 + (12 if outside else 6) * n)
+            asked = _unpack_ascending(raw, n, 4)
+            counts = _unpack(raw, n, 4 + (12 if outside else 6) * n)
             a, b = first[bucket], first[bucket + 1]
-            low = self.keys[a:b] & KEY
-            order = np.argsort(low, kind="stable")
-            at = np.searchsorted(low[order], asked)
-            # every asked key is one of the block's; keys that share 48 bits share a total
-            self.totals[a + order[np.minimum(at, b - a - 1)]] = counts
+            # every asked name is one of the block's; keys of one name share a total
+            low, high = (np.searchsorted(names[a:b], asked, side) for side in ("left", "right"))
+            self.totals[a + low] = counts
+            for i in np.flatnonzero(high - low > 1):
+                self.totals[a + low[i] : a + high[i]] = counts[i]
 
     def of(self, keys: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, self.totals[at], 0)
 
 
-def _estimates(block: int, texts: pa.Table, answers: pa.Table, buckets: int, totals: dict, outside: bool):
+def _estimates(block: int, texts: pa.Table, answers: pa.Table, bits: int, totals: dict, outside: bool):
     """Ids, offsets, word counts, context counts and the three estimates of each token."""
     own, before, at = tokens(texts.column("text"))
     kinds, places, cells = (answers.column(c).to_pylist() for c in ("kind", "bucket", "payload"))
     told = {k: [(b, c) for i, b, c in zip(kinds, places, cells) if i == k] for k in (WORD, PAIR)}
-    words = Counts(own, buckets, told[WORD], outside, None)
+    words = Counts(own, bits, told[WORD], outside, None)
     pairs = pair_keys(before, own)
     names, local = np.unique(pairs, return_counts=True)
     knows = not outside and block & 3 != HELD_OUT
-    bigrams = Counts(names, buckets, told[PAIR], outside, local if knows else np.zeros(len(names), np.int64))
+    bigrams = Counts(names, bits, told[PAIR], outside, local if knows else np.zeros(len(names), np.int64))
     side = "outside" if outside else "all"
     count = words.of(own)
     context = np.where(before == BEGIN, totals[f"documents_{side}"], words.of(before))
@@ -211,12 +219,12 @@ def _ratio_step(p: np.ndarray, p0: float) -> np.ndarray:
     return np.where(p > 0, np.clip(step, 1, STEPS - 1), 0).astype(np.int64)
 
 
-def _tuning_cells(buckets: int, totals: dict):
+def _tuning_cells(bits: int, totals: dict):
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         cells = left.column("texts").to_pylist()
         if not cells:
             return pa.table({"cell": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
-        _, _, context, p2, p1, p0 = _estimates(key[0].as_py(), unpack_texts(cells), right, buckets, totals, True)
+        _, _, context, p2, p1, p0 = _estimates(key[0].as_py(), unpack_texts(cells), right, bits, totals, True)
         cell = (context_bucket(context) * STEPS + _ratio_step(p2, p0)) * STEPS + _ratio_step(p1, p0)
         found, n = np.unique(cell, return_counts=True)
         return pa.table({"cell": pa.array(found, pa.int64()), "n": pa.array(n, pa.int64())})
@@ -248,13 +256,13 @@ def learn_weights(cells: dict[int, int], rounds: int = 60) -> np.ndarray:
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _scores(buckets: int, totals: dict, weights: np.ndarray):
+def _scores(bits: int, totals: dict, weights: np.ndarray):
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         block, cells = key[0].as_py(), left.column("texts").to_pylist()
         texts = unpack_texts(cells) if cells else pa.table({"doc_id": pa.array([], pa.int64()), "text": pa.array([], pa.string())})
         n = texts.num_rows
         if n:
-            at, count, context, p2, p1, p0 = _estimates(block, texts, right, buckets, totals, False)
+            at, count, context, p2, p1, p0 = _estimates(block, texts, right, bits, totals, False)
             w = weights[context_bucket(context)]
             logs = np.log10(w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] * p0)
             base = np.log10((count + 1.0) / (totals["tokens_all"] + totals["types_all"] + 1.0))
@@ -289,9 +297,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = with_blocks(docs, columns, kind)
     shape = texts.groupBy((F.col("block").bitwiseAND(F.lit(3))).alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("size")).collect()
     documents = {r["kind"]: r["n"] for r in shape}
-    # about 6 bytes of text for each token, 6 bytes for each bigram
-    buckets = int(max(shuffle_partitions(spark), sum(r["size"] or 0 for r in shape) // BUCKET_BYTES))
-    asked = texts.mapInArrow(_requests(buckets), _ANSWERS)
+    buckets = max(2, shuffle_partitions(spark), sum(r["size"] or 0 for r in shape) // BUCKET_BYTES)
+    bits = int(buckets - 1).bit_length()
+    asked = texts.mapInArrow(_requests(bits), _ANSWERS)
     answers = materialize(asked.groupBy("bucket").applyInArrow(_answer, _ANSWERS), "lm-answers")
     sums = np.zeros(4, np.int64)
     for row in answers.where(f"kind = {TOTALS}").select("payload").collect():  # one row for each bucket
@@ -303,6 +311,6 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     told = answers.where(f"kind <> {TOTALS}")
     tune = (F.col("block").bitwiseAND(F.lit(3))) == TUNE
     tuned = texts.where(tune).mapInArrow(packed_texts, "block long, texts binary").groupBy("block").cogroup(told.where(tune).groupBy("block"))
-    cells = tuned.applyInArrow(_tuning_cells(buckets, totals), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    cells = tuned.applyInArrow(_tuning_cells(bits, totals), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
     weights = learn_weights({r.cell: r.n for r in cells})
-    return packed.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_scores(buckets, totals, weights), _SCORES)
+    return packed.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_scores(bits, totals, weights), _SCORES)
