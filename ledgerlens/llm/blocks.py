@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 1024
 
 
 def with_blocks(docs: DataFrame, columns: list[Column], kind: Column | int = 0, rows: int = BLOCK_ROWS) -> DataFrame:

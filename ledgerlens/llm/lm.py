@@ -38,6 +38,7 @@ WORD, PAIR, TOTALS = 0, 1, 2  # kinds of request
 END = U64(0x5851F42D4C957F2D)
 BEGIN = U64(0x14057B7EF767814F)
 BUCKET_BYTES = 8 << 20
+NAME_BITS = {WORD: 48, PAIR: 40}
 CONTEXTS = 24
 STEPS = 96  # ratios of two estimates, in half powers of two; 0 stands for none
 _ANSWERS = "block long, kind int, bucket int, payload binary"
@@ -74,9 +75,13 @@ def _bucket(keys: np.ndarray, bits: int) -> np.ndarray:
     return (keys >> U64(64 - bits)).astype(np.int64)
 
 
-def _within(keys: np.ndarray, bits: int) -> np.ndarray:
-    """The next 48 bits, which name a key inside its bucket, in the keys' order."""
-    return (keys << U64(bits)) >> U64(16)
+def _within(keys: np.ndarray, bits: int, kind: int) -> np.ndarray:
+    """The next bits, which name a key inside its bucket, in the keys' order.
+
+    48 for words.  40 for bigrams: buckets grow in number with the data, so
+    about one bigram in a million shares its name with another, at any size.
+    """
+    return (keys << U64(bits)) >> U64(64 - NAME_BITS[kind])
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -115,7 +120,7 @@ def _requests(bits: int):
                 rows = []
                 for kind, keys in ((WORD, own), (PAIR, pair_keys(before, own))):
                     keys, counts = np.unique(keys, return_counts=True)
-                    where, names = _bucket(keys, bits), _within(keys, bits)
+                    where, names = _bucket(keys, bits), _within(keys, bits, kind)
                     cut = np.concatenate([[0], np.flatnonzero(np.diff(where)) + 1, [len(keys)]])
                     rows += [(block, kind, int(where[a]), _pack_counts(names[a:b], counts[a:b])) for a, b in zip(cut[:-1], cut[1:]) if b > a]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_ANSWERS_ARROW)], schema=_ANSWERS_ARROW)
@@ -148,7 +153,7 @@ def _answer(key: tuple, table: pa.Table) -> pa.Table:
             sums = np.array([total.sum(), (total > 0).sum(), outside.sum(), (outside > 0).sum()], "<i8")
             rows.append((0, TOTALS, bucket, sums.tobytes()))
         own = np.where(role == HELD_OUT, 0, counts)
-        known = (total[which] == own) & (kind == PAIR) & (role != TUNE)
+        known = (total[which] == own) & (kind == PAIR) & ((role != TUNE) | (outside[which] == 0))
         known |= (total[which] == 0) & (outside[which] == 0)
         ask = np.flatnonzero(~known)
         ask = ask[np.argsort(owner[ask], kind="stable")]
@@ -172,7 +177,7 @@ class Counts:
         self.keys = np.unique(keys) if start is None else keys
         self.totals = np.zeros(len(self.keys), np.int64) if start is None else start
         first = np.searchsorted(_bucket(self.keys, bits), np.arange((1 << bits) + 1))
-        names = _within(self.keys, bits)
+        names = _within(self.keys, bits, WORD if start is None else PAIR)
         for bucket, raw in answers:
             (n,) = struct.unpack_from("<I", raw)
             asked = _unpack_ascending(raw, n, 4)
