@@ -229,9 +229,11 @@ def listed_pairs(tiles: DataFrame, members: DataFrame) -> DataFrame:
 def hub_pairs(members: DataFrame) -> DataFrame:
     """Each member of a large tile with the hub of its band and of the band below.
 
-    The hub has the smallest share of rare elements: the likeliest centre.
+    The hub has the smallest share of rare elements, then the most large tiles:
+    the likeliest centre.
     """
-    hubs = members.groupBy("tok", "band").agg(F.min(F.struct("rare", "sid")).alias("h"))
+    tiles = members.groupBy("sid").agg((-F.count(F.lit(1))).alias("tiles"))
+    hubs = members.join(tiles, "sid").groupBy("tok", "band").agg(F.min(F.struct("rare", "tiles", "sid")).alias("h"))
     hubs = hubs.select("tok", "band", F.col("h.sid").alias("hub"))
     next_band = hubs.select("tok", (F.col("band") + 1).alias("band"), "hub")
     own = members.select("tok", "band", "sid")
@@ -244,7 +246,12 @@ def _block_pairs(key: tuple, table: pa.Table) -> pa.Table:
     rest, full = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     if not len(rest) or not len(full):
         return _PAIRS.empty_table()
+    tok, band = key[0].as_py(), key[1].as_py()
     sid, label, size, most = (np.asarray(table.column(c)).astype(np.int64) for c in ("sid", "label", "size", "most"))
+    own_band = band_of(size)
+    tiles = table.column("tiles").chunk(0)
+    tile_at = np.asarray(tiles.offsets).astype(np.int64)
+    tile_of = np.asarray(tiles.values).astype(np.int64)
     cells = table.column("bits").chunk(0)
     import pyarrow.compute as pc
 
@@ -261,10 +268,17 @@ def _block_pairs(key: tuple, table: pa.Table) -> pa.Table:
                 total = size[r] + size[others]
                 ok = (label[others] != label[r]) & (9 * np.minimum(size[r], size[others]) >= 4 * total)
                 ok &= (size[others] <= most[r]) & (size[r] <= most[others])
+                # two sets of one band also meet in the next band's tile
+                ok &= np.maximum(own_band[others], own_band[r]) == band
                 at = np.flatnonzero(ok)
                 if len(at):
                     differ = np.bitwise_count(others_bits[at] ^ bits).sum(axis=1)
                     hit = others[at[9 * differ.astype(np.int64) <= total[at]]]
+                    # a pair is given in the first of its common tiles only
+                    mine = tile_of[tile_at[r] : tile_at[r + 1]]
+                    mine = mine[mine < tok]
+                    if len(mine) and len(hit):
+                        hit = hit[[not np.isin(tile_of[tile_at[h] : tile_at[h + 1]], mine).any() for h in hit]]
                     if len(hit):
                         found.append(np.stack([np.minimum(sid[r], sid[hit]), np.maximum(sid[r], sid[hit])], 1))
     if not found:
@@ -302,7 +316,9 @@ def rest_pairs(members: DataFrame, labels: DataFrame, items: DataFrame, name: st
     cols = ["tok", "band", "sid", "label", "size", "most"]
     left = rest.join(counts, ["tok", "band"]).select(*cols, F.lit(0).alias("side"), own("r").alias("i"), every("n").alias("j"))
     right = mixed.join(counts, ["tok", "band"]).select(*cols, F.lit(1).alias("side"), own("n").alias("j"), every("r").alias("i"))
-    both = left.unionByName(right).join(items.select("sid", "bits"), "sid")
+    # a set's tiles: no more than it has tokens
+    tiles_of = members.groupBy("sid").agg(F.collect_set("tok").alias("tiles"))
+    both = left.unionByName(right).join(items.select("sid", "bits"), "sid").join(tiles_of, "sid")
     return both.groupBy("tok", "band", "i", "j").applyInArrow(_block_pairs, "a long, b long").distinct()
 
 
