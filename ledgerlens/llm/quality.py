@@ -177,7 +177,8 @@ def _evidence(model: Model):
                 owner = np.repeat(np.arange(n), np.diff(at))
                 sums = np.stack([np.bincount(owner, weights=table[ids, k], minlength=n) for k in (0, 1)], 1)
                 logit = sums + shape @ model.weights[BUCKETS:] + model.bias
-                logit[np.diff(at) == 0] = np.nan  # no words, no evidence
+                _, _, first = word_spans(data, offsets)
+                logit[np.diff(first) == 0] = np.nan  # a blank text is no evidence
                 cells = [pa.array(logit[:, k], from_pandas=True) for k in (0, 1)]
                 kept = [batch.column(c).slice(low, n) for c in ("key", "doc_id", "host", "path")]
                 yield pa.RecordBatch.from_arrays([*kept, *cells], names=["key", "doc_id", "host", "path", "bad", "toxic"])
