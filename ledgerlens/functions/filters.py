@@ -23,7 +23,7 @@ def as_date(value: DateLike) -> dt.date:
         return value.date()
     if isinstance(value, dt.date):
         return value
-    return dt.date.fromisoformat(str(value).strip()[:10])
+    return dt.datetime.fromisoformat(str(value).strip()).date()
 
 
 def date_range(start: DateLike, end: DateLike | None = None) -> tuple[dt.date, dt.date]:

@@ -1,7 +1,7 @@
 """Landing rows → validated staging rows + quarantine → curated lines.
 
-``normalise`` is a pure, stateless ``DataFrame → DataFrame`` projection (so
-it runs unchanged on a streaming DataFrame): every rule is a Column
+``normalise`` is a stateless ``DataFrame → DataFrame`` projection; a stream
+runs it on each micro-batch (its run counters need a batch DataFrame).  Every rule is a Column
 expression from ``functions.normalise`` and the first failing rule, in the
 order Quantity → Price → InvoiceDate → Customer ID, names the error.  The
 staged and quarantined outputs are two filters of the same projection.
@@ -52,7 +52,7 @@ def _cell(name: str):
     return F.col(f"`{name}`")
 
 
-def check_headers(columns: list[str], period: str) -> None:
+def check_headers(columns: list[str], period: str, file: str | None = None) -> None:
     """The landing header must hold exactly the expected names (any order)."""
     found = [
         c
@@ -60,7 +60,8 @@ def check_headers(columns: list[str], period: str) -> None:
         if c not in ("source_period", "source_row", ORDINAL) and not c.startswith(KIND_PREFIX)
     ]
     if set(found) != set(RAW_HEADERS):
-        raise ValueError(f"Unexpected columns in sheet '{period}': {tuple(found)}")
+        where = f" in {file}" if file else ""
+        raise ValueError(f"Unexpected columns in sheet '{period}': {tuple(found)}{where}")
 
 
 def normalise(raw: DataFrame) -> Normalised:

@@ -12,11 +12,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from ..session import scratch_path
+from ..session import path_exists, scratch_path
 
 _SESSION_BUILDS: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 
@@ -48,16 +47,14 @@ def write_curated(
 def ensure_dataset(
     spark: SparkSession, path: str, builder: Callable[[], DataFrame]
 ) -> DataFrame:
-    """Read ``path``; build and write it first when it does not exist yet.
+    """Read ``path``; build and write it first unless a finished write is there.
 
-    A committed Spark write always leaves readable Parquet; an interrupted
-    one leaves no readable table and is rebuilt (mode overwrite).
+    A folder without Spark's ``_SUCCESS`` marker is the rest of an interrupted
+    write and is built anew; any other error in reading is raised.
     """
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
+    if not path_exists(spark, f"{path.rstrip('/')}/_SUCCESS"):
         write_curated(builder(), path)
-        return spark.read.parquet(path)
+    return spark.read.parquet(path)
 
 
 def session_dataset(

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ingest import curate, normalise, split_checked
 from ..operators.quality import quality_summary
-from ..session import get_session, materialize
+from ..session import delete_path, get_session, scratch_path
 from ..sources.landing import read_landing
 from .datasets import write_curated
 
@@ -44,7 +44,7 @@ def output_paths(output: str) -> dict[str, str]:
     }
 
 
-def stage_landing(raw: DataFrame) -> tuple[DataFrame, DataFrame, dict]:
+def stage_landing(raw: DataFrame, path: str | None = None) -> tuple[DataFrame, DataFrame, dict]:
     """Validate landing rows once; return (staged, quarantine, run counters).
 
     The checked rows are written to the shared checkpoint folder in one
@@ -53,7 +53,10 @@ def stage_landing(raw: DataFrame) -> tuple[DataFrame, DataFrame, dict]:
     the validation.
     """
     checked_rows = normalise(raw)
-    checked = materialize(checked_rows.checked, "checked")
+    spark = raw.sparkSession
+    path = path or scratch_path(spark, "checked")
+    checked_rows.checked.write.mode("overwrite").parquet(path)
+    checked = spark.read.parquet(path)
     staged, quarantine = split_checked(checked)
     return staged, quarantine, checked_rows.counters.get
 
@@ -75,11 +78,15 @@ def build_dataset(
     items = list(sources.items()) if isinstance(sources, Mapping) else list(sources)
     paths = output_paths(output)
     raw = read_landing(spark, items, fmt, options)
-    staged, quarantine, counters = stage_landing(raw)  # pass 1
-
-    write_curated(curate(staged), paths["curated"], cluster=True)  # pass 2
-    if counters.get("quarantined_rows", 0) > 0:  # pass 3
-        quarantine.write.mode("overwrite").option("header", "true").csv(paths["quarantine"])
+    scratch = scratch_path(spark, "checked")
+    try:
+        staged, quarantine, counters = stage_landing(raw, scratch)  # pass 1
+        write_curated(curate(staged), paths["curated"], cluster=True)  # pass 2
+        delete_path(spark, paths["quarantine"])  # of an earlier run
+        if counters.get("quarantined_rows", 0) > 0:  # pass 3
+            quarantine.write.mode("overwrite").option("header", "true").csv(paths["quarantine"])
+    finally:
+        delete_path(spark, scratch)
 
     summary = quality_summary(spark.read.parquet(paths["curated"]))  # pass 4
     name = source_name or ",".join(os.path.basename(p.rstrip("/")) for _, p in items)
@@ -91,7 +98,8 @@ def build_dataset(
     )
     # one row: a single output task is the whole report, not a data bottleneck;
     # timestamps as Python prints them ("2010-12-01 08:26:00")
-    report.coalesce(1).write.mode("overwrite").option(
+    report = spark.createDataFrame(report.collect(), report.schema).coalesce(1)
+    report.write.mode("overwrite").option(
         "timestampNTZFormat", "yyyy-MM-dd HH:mm:ss"
     ).json(paths["report"])
     return report

@@ -8,7 +8,7 @@ local runs, tests and the bench.
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 
@@ -58,7 +58,7 @@ def get_session(
 
 
 def _is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
+    return re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master) is not None
 
 
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
@@ -114,8 +114,17 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def default_parallelism(spark: SparkSession) -> int:
-    try:
-        return int(spark.sparkContext.defaultParallelism)
-    except Exception:  # pragma: no cover - Spark Connect has no SparkContext
-        return int(os.cpu_count() or 8)
+def _file_system(spark: SparkSession, path: str):
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, jpath = _file_system(spark, path)
+    return fs.exists(jpath)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder of this library's own output; a missing one is fine."""
+    fs, jpath = _file_system(spark, path)
+    fs.delete(jpath, True)

@@ -17,6 +17,7 @@ taken in path order.  Rows never pass through one task or the driver.
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ingest import KIND_PREFIX, ORDINAL, RAW_HEADERS, check_headers
 
+IDENTIFIER_HEADERS = ("Invoice", "StockCode")
 FIRST_DATA_ROW = 2  # row 1 holds the header
 
 
@@ -32,11 +34,39 @@ def _items(sources: Mapping[str, str] | Iterable[tuple[str, str]]) -> list[tuple
     return list(sources.items()) if isinstance(sources, Mapping) else list(sources)
 
 
-def _read_period(spark: SparkSession, path: str, fmt: str, options: Mapping[str, str]) -> DataFrame:
-    if fmt == "csv":
-        reader = spark.read.options(header="true", inferSchema="false", **options)
-        return reader.csv(path)
-    raise ValueError(f"unsupported landing format: {fmt!r}")
+def _header_names(text: str, options: Mapping[str, str]) -> list[str]:
+    """Column names of one header line."""
+    sep, quote = options.get("sep", options.get("delimiter", ",")), options.get("quote", '"')
+    return next(csv.reader([text.lstrip("\ufeff")], delimiter=sep, quotechar=quote), [])
+
+
+def csv_cells(
+    tagged: DataFrame, period: str, options: Mapping[str, str], per_file: bool = False
+) -> DataFrame:
+    """Numbered text cells of CSV lines that carry the tags of ``tag_rows``.
+
+    The first line of each file is its header.  Every header must hold exactly
+    the expected names; each file's cells are bound by its own header, so files
+    of one period may order their columns differently.  A blank line is a row
+    without values, as in a sheet.
+    """
+    splits = _splits(tagged, per_file, headers=True)
+    found = splits.where("_ln_b = 0").groupBy("_ln_header").agg(F.min("_ln_f").alias("file")).collect()
+    if not found:
+        check_headers([], period)
+    orders = {r["_ln_header"]: _header_names(r["_ln_header"], options) for r in found}
+    for r in found:
+        names = orders[r["_ln_header"]]
+        check_headers(names if len(names) == len(set(names)) else [*names, "repeated name"], period, r["file"])
+    numbered = _numbered(tagged, splits, FIRST_DATA_ROW, "source_row")
+    cells = {h: F.lit(None).cast("string") for h in RAW_HEADERS}
+    for header, names in orders.items():
+        fields = ", ".join(f"c{i} string" for i in range(len(names)))
+        record = F.from_csv("value", fields, dict(options))
+        for i, h in enumerate(names):
+            cells[h] = F.when(F.col("_ln_header") == F.lit(header), record.getField(f"c{i}")).otherwise(cells[h])
+    order = next(iter(orders.values())) if len(orders) == 1 else RAW_HEADERS
+    return numbered.select("_ln_file", "source_row", *[cells[h].alias(h) for h in order])
 
 
 def _kind(cell) -> "F.Column":
@@ -69,6 +99,10 @@ def _read_json_period(spark: SparkSession, path: str, period: str) -> DataFrame:
         cell = F.try_variant_get(record, f"$['{h}']", "variant")
         kind = _kind(cell)
         text = F.when(kind == "bool", F.when(F.try_variant_get(cell, "$", "boolean"), "True").otherwise("False"))
+        if h in IDENTIFIER_HEADERS:
+            number = F.try_variant_get(cell, "$", "double")
+            whole = (kind == "float") & (F.abs(number) < 1e38) & (number == F.floor(number).cast("double"))
+            text = text.when(whole, number.try_cast("decimal(38,0)").cast("string"))
         cells.append(text.otherwise(F.try_variant_get(cell, "$", "string")).alias(h))
         kinds.append(kind.alias(f"{KIND_PREFIX}{h}"))
     return lines.select("source_row", *cells, *kinds)
@@ -96,39 +130,64 @@ def tag_rows(df: DataFrame) -> DataFrame:
     return tag_sequence(tag_splits(df))
 
 
-def number_tagged(
-    tagged: DataFrame,
-    start: int = FIRST_DATA_ROW,
-    name: str = "source_row",
-    per_file: bool = False,
-) -> DataFrame:
-    """Physical row numbers from the tags of ``tag_rows``.
+def _splits(tagged: DataFrame, per_file: bool, headers: bool = False) -> DataFrame:
+    """One row per input split: its first tag, and the data rows of the splits before it.
 
-    Splits are ordered by (file path, block start); numbering runs across
-    all files (files of one period continue one another, like the rows of
-    one sheet) or restarts per file with ``per_file``.  Keeps ``_ln_file``.
+    With ``headers`` each file's first line counts as no row and comes along.
     """
     splits = tagged.groupBy("_ln_file", "_ln_block").agg(
-        F.min("_ln_id").alias("_ln_first"), F.count(F.lit(1)).alias("_ln_rows")
+        F.min("_ln_id").alias("_ln_first"),
+        F.count(F.lit(1)).alias("_ln_rows"),
+        (F.min_by("value", "_ln_id") if headers else F.lit(None).cast("string")).alias("_ln_line"),
     )
+    head = F.when(F.col("_ln_block") == 0, 1).otherwise(0) if headers else F.lit(0)
     # one row per input split: size bounded by input bytes / split size
-    order = Window.partitionBy("_ln_file").orderBy("_ln_block") if per_file else Window.orderBy(
-        "_ln_file", "_ln_block"
-    )
-    offsets = splits.select(
+    own = Window.partitionBy("_ln_file")
+    order = own.orderBy("_ln_block") if per_file else Window.orderBy("_ln_file", "_ln_block")
+    before = F.sum(F.col("_ln_rows") - head).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    return splits.select(
         F.col("_ln_file").alias("_ln_f"),
         F.col("_ln_block").alias("_ln_b"),
         "_ln_first",
-        F.coalesce(
-            F.sum("_ln_rows").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("_ln_before"),
+        head.alias("_ln_head"),
+        F.coalesce(before, F.lit(0)).alias("_ln_before"),
+        F.max(F.when(F.col("_ln_block") == 0, F.col("_ln_line"))).over(own).alias("_ln_header"),
     )
+
+
+def _numbered(tagged: DataFrame, splits: DataFrame, start: int, name: str) -> DataFrame:
+    """Row numbers from the splits' offsets; header lines are left out.
+
+    A row whose split is not in ``splits`` (the two scans were cut differently)
+    fails the load: no row is lost or misnumbered in silence.
+    """
     joined = tagged.join(
-        offsets, (F.col("_ln_file") == F.col("_ln_f")) & (F.col("_ln_block") == F.col("_ln_b"))
+        splits, (F.col("_ln_file") == F.col("_ln_f")) & (F.col("_ln_block") == F.col("_ln_b")), "left"
+    )
+    place = F.col("_ln_id") - F.col("_ln_first") - F.col("_ln_head")
+    row = F.col("_ln_before") + place + F.lit(start)
+    matched = F.when(F.col("_ln_f").isNotNull(), row).otherwise(
+        F.raise_error(F.lit("landing split was cut differently on its second scan"))
     )
-    row = F.col("_ln_before") + (F.col("_ln_id") - F.col("_ln_first")) + F.lit(start)
     keep = [c for c in tagged.columns if c not in ("_ln_block", "_ln_id")]
-    return joined.select(*keep, row.cast("bigint").alias(name))
+    return joined.where(F.col("_ln_f").isNull() | (place >= 0)).select(
+        *keep, "_ln_header", matched.cast("bigint").alias(name)
+    )
+
+
+def number_tagged(
+    tagged: DataFrame,
+    start: int = FIRST_DATA_ROW,
+    name: str = "source_row",
+    per_file: bool = False,
+) -> DataFrame:
+    """Physical row numbers from the tags of ``tag_rows``.
+
+    Splits are ordered by (file path, block start); numbering runs across
+    all files (files of one period continue one another, like the rows of
+    one sheet) or restarts per file with ``per_file``.  Keeps ``_ln_file``.
+    """
+    return _numbered(tagged, _splits(tagged, per_file), start, name).drop("_ln_header")
 
 
 def number_rows(df: DataFrame, start: int = FIRST_DATA_ROW, name: str = "source_row") -> DataFrame:
@@ -157,16 +216,17 @@ def read_landing(
             numbered = _read_json_period(spark, path, period)
             kinds = [F.col(f"`{KIND_PREFIX}{h}`") for h in RAW_HEADERS]
         else:
-            raw = _read_period(spark, path, fmt, options or {})
-            check_headers(raw.columns, period)
-            numbered = number_rows(raw)  # directly on the file scan (``_metadata``)
+            if fmt != "csv":
+                raise ValueError(f"unsupported landing format: {fmt!r}")
+            # directly on the file scan (``_metadata``)
+            numbered = csv_cells(tag_rows(spark.read.text(path)), period, options or {})
             kinds = []
         frames.append(
             numbered.select(
                 F.lit(ordinal).alias(ORDINAL),
                 F.lit(period).alias("source_period"),
                 "source_row",
-                *[F.col(f"`{h}`").cast("string").alias(h) for h in RAW_HEADERS],
+                *[F.col(f"`{h}`").cast("string").alias(h) for h in numbered.columns if h in RAW_HEADERS],
                 *kinds,
             )
         )

@@ -1,24 +1,9 @@
-"""Readers for Parquet tables and the curated dataset."""
+"""Reader for Parquet tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
-
-# Schemas of read-only input tables already seen in this process; passing
-# the schema skips the footer-reading job Spark otherwise runs per read.
-_SCHEMAS: dict[str, StructType] = {}
-
 
 def read_table(spark: SparkSession, base: str, name: str) -> DataFrame:
     """``{base}/{name}.parquet`` — one (read-only) driver table."""
-    path = f"{base.rstrip('/')}/{name}.parquet"
-    known = _SCHEMAS.get(path)
-    df = (spark.read.schema(known) if known is not None else spark.read).parquet(path)
-    _SCHEMAS.setdefault(path, df.schema)
-    return df
-
-
-def read_curated(spark: SparkSession, path: str) -> DataFrame:
-    """The curated fact table written by ``build_dataset`` (S8)."""
-    return spark.read.parquet(path)
+    return spark.read.parquet(f"{base.rstrip('/')}/{name}.parquet")

@@ -17,7 +17,6 @@ batches, read from the small counts table (one row per batch).
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,16 +25,16 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.curation import CURATED_SCHEMA, with_sale_flags
 from ..operators.ingest import ORDINAL, RAW_HEADERS, normalise, split_checked
 from ..operators.ranking import row_number_by_position
-from ..sources.landing import number_tagged, tag_sequence, tag_splits
+from ..session import path_exists
+from ..sources.landing import csv_cells, number_tagged, tag_sequence, tag_splits
 
 LANDING_SCHEMA = T.StructType([T.StructField(h, T.StringType(), True) for h in RAW_HEADERS])
 
 
 def _staged_before(spark: SparkSession, counts_path: str, epoch: int) -> int:
-    try:
-        counts = spark.read.parquet(counts_path)
-    except AnalysisException:  # no batch committed yet
+    if not path_exists(spark, counts_path):  # no batch committed yet
         return 0
+    counts = spark.read.parquet(counts_path)
     total = counts.where(F.col("batch_id") < epoch).agg(F.sum("staged_rows")).first()[0]
     return int(total or 0)
 
@@ -54,7 +53,10 @@ def process_batch(
     batch = tag_sequence(batch).persist()
     checked = None
     try:
-        numbered = number_tagged(batch, per_file=True)
+        if "value" in batch.columns:  # CSV lines: every file is checked and bound by its own header
+            numbered = csv_cells(batch, period or "landing", {}, per_file=True)
+        else:
+            numbered = number_tagged(batch, per_file=True)
         period_col = (
             F.lit(period) if period is not None else F.element_at(F.split("_ln_file", "/"), -2)
         )
@@ -109,13 +111,13 @@ def start_ingest_stream(
     ``fmt`` is ``csv`` (with header) or ``json`` (JSON lines; with the
     all-text schema, numbers arrive as their text).
     """
-    reader = spark.readStream.schema(LANDING_SCHEMA)
+    reader = spark.readStream
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     if fmt == "csv":
-        source = reader.option("header", "true").csv(landing_dir)
+        source = reader.text(landing_dir)
     elif fmt == "json":
-        source = reader.json(landing_dir)
+        source = reader.schema(LANDING_SCHEMA).json(landing_dir)
     else:
         raise ValueError(f"unsupported landing format: {fmt!r}")
     stream = tag_splits(source)
