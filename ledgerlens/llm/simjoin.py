@@ -38,7 +38,7 @@ from .components import components
 from .keyfilter import key_bitmap
 from .textops import U64
 
-TILE_PAIRS = 32
+TILE_PAIRS = 8
 BLOCK = 512
 UNCOUNTED = 256
 MEMBER = np.dtype([("tok", "<i8"), ("sid", "<i8"), ("size", "<i4"), ("most", "<i4"), ("rare", "<i4")])
