@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .textops import U64, buffers, span_hashes
 
-CORPUS_BYTES = 16 << 20
+CORPUS_BYTES = 4 << 20
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 SUFFIXES = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")  # fixed by the pattern
 # fixed values: the code points of Unicode's White_Space property
