@@ -63,18 +63,21 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 schema=_PROFILE,
             )
         if pooled:
-            values = np.sort(np.concatenate(pooled))
-            head = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
-            count = np.diff(np.concatenate([head, [len(values)]]))
-            often = count >= HOT_IN_BATCH
-            n = int(often.sum())
+            values = np.concatenate(pooled)
+            pooled.clear()
+            values.sort()
+            # an element that occurs so often equals the one that many places on
+            before = values[: max(0, len(values) - HOT_IN_BATCH + 1)]
+            often = np.unique(before[before == values[len(values) - len(before) :]])
+            count = np.searchsorted(values, often, "right") - np.searchsorted(values, often, "left")
+            n = len(often)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.ones(n, np.int32)),
                     pa.nulls(n, pa.int64()),
                     pa.nulls(n, pa.int64()),
-                    pa.array(values[head][often].astype(np.int64)),
-                    pa.array(count[often].astype(np.int32)),
+                    pa.array(often.astype(np.int64)),
+                    pa.array(count.astype(np.int32)),
                     pa.nulls(n, pa.binary()),
                 ],
                 schema=_PROFILE,
@@ -101,7 +104,7 @@ def _postings(hot: np.ndarray, rank: np.ndarray, buckets: int):
                     is_hot = hot[at] == values if len(hot) else np.zeros(size, bool)
                     prefix = size - (4 * size + 4) // 5 + 1
                     rare = values[~is_hot]
-                    own = rare[:prefix]
+                    own = rare[:prefix].copy()  # a view would keep the whole set
                     rows = np.empty(len(own), POSTING)
                     rows["tok"], rows["sid"], rows["size"] = own & U64(0xFFFFFFFF), sid, size
                     rows["posted"] = min(len(own), 65535)

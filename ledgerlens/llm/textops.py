@@ -13,7 +13,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 MULTIPLIER = U64(0x9E3779B97F4A7C15)
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 SHINGLE_WORDS = 5
 
 _LOWER = np.arange(256, dtype=np.uint8)
