@@ -48,15 +48,6 @@ CURATED_SCHEMA = T.StructType(
     + [T.StructField(name, dtype, True) for name, dtype in STAGED_COLUMNS + FLAG_COLUMNS]
 )
 
-QUARANTINE_SCHEMA = T.StructType(
-    [
-        T.StructField("source_period", T.StringType(), True),
-        T.StructField("source_row", T.LongType(), True),
-        T.StructField("error", T.StringType(), True),
-        T.StructField("raw_values", T.StringType(), True),
-    ]
-)
-
 
 def is_cancelled(invoice: str = "invoice_no") -> Column:
     """``starts_with(upper(invoice_no), 'C')``; lower-case 'c…' counts too."""
@@ -83,7 +74,3 @@ def with_sale_flags(staged: DataFrame) -> DataFrame:
             "is_valid_sale": is_valid_sale(),
         }
     )
-
-
-def curated_column_names() -> list[str]:
-    return [f.name for f in CURATED_SCHEMA.fields]

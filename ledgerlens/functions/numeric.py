@@ -38,16 +38,6 @@ def cents(c: Column | str) -> Column:
     return F.round(_col(c) * F.lit(100.0), 0).cast("bigint")
 
 
-def money_sum(c: Column | str) -> Column:
-    """Exact sum of two-decimal amounts, returned as double (NULL when empty)."""
-    return F.sum(cents(c)).cast("double") / F.lit(100.0)
-
-
-def safe_ratio(numerator: Column, denominator: Column) -> Column:
-    """``numerator / NULLIF(denominator, 0)`` without ANSI division errors."""
-    return F.try_divide(numerator.cast("double"), denominator.cast("double"))
-
-
 def percentage(part: Column, whole: Column, digits: int = 2) -> Column:
     """``ROUND(100.0 * part / whole, digits)``, NULL when ``whole`` is 0."""
     return round_half_away(

@@ -1,11 +1,11 @@
 """Monthly cohort retention: long table and matrix.
 
 The cohort of a customer is the first month with a purchase *inside the
-filtered slice*.  Plan: distinct (customer, month) with map-side partial
-aggregation → MIN window per customer (a customer has at most one row per
-month, so no window partition grows with the data) → plain count per
-(cohort, index) — the input is already distinct per customer and month —
-→ MAX window per cohort over a table of at most months² rows.
+filtered slice*.  Plan: the set of months of each customer (one exchange,
+partially aggregated map-side; a set holds at most one entry per calendar
+month, so it does not grow with the data) → its least month and its entries
+as rows → plain count per (cohort, index) → MAX window per cohort over a
+table of at most months² rows.
 """
 
 from __future__ import annotations
@@ -20,19 +20,18 @@ DEFAULT_MAX_INDEX = 12
 
 
 def customer_months(sales: DataFrame) -> DataFrame:
-    """Distinct ``customer_id, order_month`` of known customers."""
-    return (
-        sales.where(known_customer())
-        .select("customer_id", F.trunc("invoice_timestamp", "month").alias("order_month"))
-        .distinct()
-    )
+    """``customer_id, months``: the distinct months of each known customer."""
+    month = F.trunc("invoice_timestamp", "month")
+    return sales.where(known_customer()).groupBy("customer_id").agg(F.collect_set(month).alias("months"))
 
 
 def customer_cohorts(sales: DataFrame) -> DataFrame:
     """``customer_id, cohort_month, order_month``."""
-    months = customer_months(sales)
-    first = F.min("order_month").over(Window.partitionBy("customer_id"))
-    return months.select("customer_id", first.alias("cohort_month"), "order_month")
+    return customer_months(sales).select(
+        "customer_id",
+        F.array_min("months").alias("cohort_month"),
+        F.explode("months").alias("order_month"),
+    )
 
 
 def cohort_retention(sales: DataFrame, max_index: int = DEFAULT_MAX_INDEX) -> DataFrame:

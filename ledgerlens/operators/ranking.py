@@ -15,11 +15,8 @@ value is strictly smaller.  The score is a non-decreasing step function of
 
 1. histogram: ``groupBy(metric, x).count()`` — one row per distinct value,
    partial aggregation absorbs hot values;
-2. row total ``N`` and approximate quantiles as bucket bounds: either one
-   aggregate over the histogram (quantiles of the *distinct* values), or —
-   cheaper — metrics observed while the input is written anyway
-   (``bound_metrics``; quantiles of the raw values, which also keep every
-   bucket near N / K histogram rows because a hot value is one row);
+2. row total ``N`` and approximate quantiles of the *distinct* values as
+   bucket bounds, one aggregate over the histogram on the executors;
 3. bucket = position of ``x`` among the literal bounds (a balanced
    comparison tree, O(log K)); running count inside a bucket by a window
    partitioned by (metric, bucket); bucket offsets from a table of at most
@@ -54,7 +51,7 @@ from pyspark.sql import functions as F
 from ..session import materialize, shuffle_partitions
 
 SCORE_LEVELS = 5
-MAX_BUCKETS = 256
+BUCKET_ROWS = 1 << 22  # input rows for each value bucket
 _LOCAL_BITS = 33  # monotonically_increasing_id = partition << 33 | row in partition
 
 
@@ -88,62 +85,31 @@ def _percent_rank_score(less: Column, total: Column, levels: int) -> Column:
     return F.least(F.lit(levels), F.floor(pr * F.lit(float(levels))).cast("int") + 1)
 
 
-def bucket_count(spark, buckets: int | None = None) -> int:
-    """Number of value buckets K (bounded; scales with the shuffle width)."""
-    return buckets or max(1, min(MAX_BUCKETS, 2 * shuffle_partitions(spark)))
+def bucket_count(rows: int, bucket_rows: int = BUCKET_ROWS) -> int:
+    """Number of value buckets K for so many rows: it grows with them, a bucket does not."""
+    return max(1, -(-rows // bucket_rows))
 
 
 def bucket_probabilities(k: int) -> list[float]:
     return [i / k for i in range(1, k)]
 
 
-def bound_metrics(columns: Sequence[str], k: int) -> list[Column]:
-    """Aggregates giving, per column, its non-null count and K-quantile bounds.
-
-    Usable as observed metrics of a write that happens anyway (see
-    ``operators.rfm.rfm_scores``), which saves the statistics job of
-    ``score_breaks``.  Bounds of the raw values keep every bucket near
-    N / K histogram rows: a value repeated many times is one histogram row.
-    """
-    probs = bucket_probabilities(k)
-    out = []
-    for i, c in enumerate(columns):
-        out.append(F.count(c).alias(f"_n{i}"))
-        if probs:
-            out.append(F.percentile_approx(F.col(c).cast("double"), probs, 10_000).alias(f"_b{i}"))
-    return out
-
-
-def stats_from_metrics(
-    columns: Sequence[str], metrics: dict
-) -> dict[int, tuple[int, list[float]]]:
-    """``{column index: (total, bounds)}`` from ``bound_metrics`` results."""
-    out = {}
-    for i, _ in enumerate(columns):
-        total = int(metrics.get(f"_n{i}") or 0)
-        if total:
-            out[i] = (total, [float(b) for b in (metrics.get(f"_b{i}") or [])])
-    return out
-
-
 def score_breaks(
     df: DataFrame,
     columns: Sequence[str],
     levels: int = SCORE_LEVELS,
     buckets: int | None = None,
-    stats: dict[int, tuple[int, list[float]]] | None = None,
 ) -> dict[str, list[tuple[float, int]]]:
     """Exact break values of the tie-aware ``levels``-quantile score.
 
-    Returns, per column, ``[(min value, score), …]`` ascending.  Two small
-    actions run: one aggregate of the distinct-value histogram (returns
-    ``len(columns)`` rows of at most ``buckets`` bounds) — skipped when
-    ``stats`` (totals and bounds, e.g. observed while materialising ``df``)
-    are given — and the final ``≤ levels × len(columns)``-row collect.  Pass
-    a materialised ``df`` when it is expensive to recompute.
+    Returns, per column, ``[(min value, score), …]`` ascending.  Three small
+    actions run: the row count, which sets the number of buckets unless it is
+    given, one aggregate of the distinct-value histogram (returns
+    ``len(columns)`` rows of at most ``buckets`` bounds) and the final
+    ``≤ levels × len(columns)``-row collect.  Pass a materialised ``df`` when
+    it is expensive to recompute.
     """
-    spark = df.sparkSession
-    k = bucket_count(spark, buckets)
+    k = buckets or bucket_count(df.count())
     pairs = F.explode(
         F.array(
             *[
@@ -160,15 +126,15 @@ def score_breaks(
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
-    if stats is None:
-        probs = bucket_probabilities(k)
-        stats_cols = [F.sum("n").alias("total")]
-        if probs:
-            stats_cols.append(F.percentile_approx("x", probs, 10_000).alias("bounds"))
-        stats = {
-            row["m"]: (int(row["total"]), list(row["bounds"] or []) if probs else [])
-            for row in hist.groupBy("m").agg(*stats_cols).collect()
-        }
+    probs = bucket_probabilities(k)
+    stats_cols = [F.sum("n").alias("total")]
+    if probs:
+        # bounds need not be exact: an error of a quarter bucket is enough
+        stats_cols.append(F.percentile_approx("x", probs, max(100, 4 * k)).alias("bounds"))
+    stats = {
+        row["m"]: (int(row["total"]), list(row["bounds"] or []) if probs else [])
+        for row in hist.groupBy("m").agg(*stats_cols).collect()
+    }
     if not stats:
         return {c: [] for c in columns}
 
@@ -239,7 +205,6 @@ def quantile_scores(
     inverted: Sequence[bool] | None = None,
     levels: int = SCORE_LEVELS,
     buckets: int | None = None,
-    stats: dict[int, tuple[int, list[float]]] | None = None,
 ) -> DataFrame:
     """Append tie-aware 1..``levels`` scores for ``columns`` as ``names``.
 
@@ -247,7 +212,7 @@ def quantile_scores(
     recency does).
     """
     inverted = list(inverted or [False] * len(columns))
-    breaks = score_breaks(df, columns, levels=levels, buckets=buckets, stats=stats)
+    breaks = score_breaks(df, columns, levels=levels, buckets=buckets)
     new_cols = {}
     for c, name, inv in zip(columns, names, inverted):
         s = score_from_breaks(c, breaks[c])

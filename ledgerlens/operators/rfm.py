@@ -15,17 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.filters import DateLike, as_date, known_customer
 from ..functions.numeric import cents
 from ..session import materialize
-import uuid
-
-from pyspark.sql import Observation
-
-from .ranking import (
-    bound_metrics,
-    bucket_count,
-    quantile_scores,
-    stats_from_metrics,
-    window_quantile_scores,
-)
+from .ranking import quantile_scores, window_quantile_scores
 from .sales import invoice_rollup
 
 METRIC_COLUMNS = ["recency_days", "frequency", "monetary"]
@@ -49,8 +39,12 @@ def customer_metrics(sales: DataFrame, as_of: DateLike) -> DataFrame:
     (the filter's end date); frequency counts distinct invoices; monetary is
     the exact two-decimal revenue.
     """
-    rollup = invoice_rollup(sales.where(known_customer()))
-    return rollup.groupBy("customer_id").agg(
+    return rollup_metrics(invoice_rollup(sales.where(known_customer())), as_of)
+
+
+def rollup_metrics(rollup: DataFrame, as_of: DateLike) -> DataFrame:
+    """``customer_metrics`` from the invoice rollup of the sales."""
+    return rollup.where(known_customer()).groupBy("customer_id").agg(
         F.datediff(F.lit(as_date(as_of)), F.to_date(F.max("last_timestamp")))
         .cast("bigint")
         .alias("recency_days"),
@@ -68,21 +62,14 @@ def rfm_scores(
     single task; ``"window"`` uses the built-in global ``percent_rank`` and is
     kept as a small-input oracle.  The metrics are materialised once in the
     shared checkpoint folder because the distributed method reads them in
-    two small jobs before the final plan.
+    small jobs before the final plan; they run when this function is called.
     """
     if method == "window":
         return window_quantile_scores(metrics, METRIC_COLUMNS, SCORE_COLUMNS, SCORE_INVERTED)
     if not materialize_input:
         return quantile_scores(metrics, METRIC_COLUMNS, SCORE_COLUMNS, SCORE_INVERTED)
-    # the bucket bounds are observed while the metrics are written, so the
-    # scoring needs one more small job only (the break values)
-    observed = Observation(f"rfm_{uuid.uuid4().hex[:12]}")
-    k = bucket_count(metrics.sparkSession)
-    source = materialize(
-        metrics.observe(observed, *bound_metrics(METRIC_COLUMNS, k)), "customer-metrics"
-    )
-    stats = stats_from_metrics(METRIC_COLUMNS, observed.get)
-    return quantile_scores(source, METRIC_COLUMNS, SCORE_COLUMNS, SCORE_INVERTED, buckets=k, stats=stats)
+    source = materialize(metrics, "customer-metrics")
+    return quantile_scores(source, METRIC_COLUMNS, SCORE_COLUMNS, SCORE_INVERTED)
 
 
 def segment_of(r: Column, f: Column) -> Column:

@@ -71,7 +71,11 @@ def kpi_summary(sales: DataFrame) -> DataFrame:
     invoice rows (revenue, orders) and customer rows (customers, repeaters).
     No cross join and no second pass over the lines.
     """
-    rollup = invoice_rollup(sales)
+    return rollup_kpis(invoice_rollup(sales))
+
+
+def rollup_kpis(rollup: DataFrame) -> DataFrame:
+    """``kpi_summary`` from the invoice rollup of the slice."""
     sets = rollup.groupingSets(
         [["invoice_no"], ["customer_id"]], "invoice_no", "customer_id"
     ).agg(

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.filters import DateLike, date_range
 from ..operators import cohort, quality, rfm, sales
-from ..session import get_session
+from ..session import get_session, materialize
 
 
 def page_results(
@@ -30,23 +30,26 @@ def page_results(
     start: DateLike | None = None,
     end: DateLike | None = None,
     countries: Iterable[str] | None = None,
+    rollup: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """Lazy DataFrames of every page result for the filter.
+    """DataFrames of every page result for the filter.
 
     Missing ``start``/``end`` default to the data's date bounds (one small
-    aggregate).
+    aggregate).  The invoice rollup, unless given, and the customer metrics
+    are written to the shared folder when this function is called.
     """
     bounds = sales.date_bounds(lines)
     first_day, last_day = _bounds(lines, start, end)
     chosen = list(countries or [])
     valid = sales.filtered_sales(lines, first_day, last_day, chosen)
-    segments = rfm.customer_segments(valid, last_day)
+    rollup = materialize(sales.invoice_rollup(valid), "invoice-rollup") if rollup is None else rollup
+    segments = rfm.rfm_segments(rfm.rfm_scores(rfm.rollup_metrics(rollup, last_day)))
     retention = cohort.cohort_retention(valid)
     filtered_quality = quality.quality_filtered(lines, first_day, last_day, chosen)
     return {
         "bounds": bounds,
         "countries": sales.country_options(lines),
-        "kpis": sales.kpi_summary(valid),
+        "kpis": sales.rollup_kpis(rollup),
         "monthly": sales.monthly_trend(valid),
         "markets": sales.top_markets(valid),
         "segments": segments,
@@ -71,15 +74,18 @@ def refresh_page(
 ) -> dict:
     """Write every page result under ``output``; return the KPI row."""
     lines = spark.read.parquet(curated_path)
-    kpis = sales.kpi_summary(
-        sales.filtered_sales(lines, *_bounds(lines, start, end), list(countries or []))
-    )
-    kpi_row = kpis.first().asDict()
-    has_sales = bool(kpi_row["orders"])
-    results = page_results(lines, start, end, countries) if has_sales else None
-    if results is None:
-        first_day, last_day = _bounds(lines, start, end)
-        filtered_quality = quality.quality_filtered(lines, first_day, last_day, list(countries or []))
+    first_day, last_day = _bounds(lines, start, end)
+    chosen = list(countries or [])
+    valid = sales.filtered_sales(lines, first_day, last_day, chosen)
+    rollup = materialize(sales.invoice_rollup(valid), "invoice-rollup")
+    kpis = sales.rollup_kpis(rollup)
+    row = kpis.first()
+    kpi_row = row.asDict()
+    kpis = spark.createDataFrame([row], kpis.schema)
+    if kpi_row["orders"]:
+        results = page_results(lines, first_day, last_day, chosen, rollup) | {"kpis": kpis}
+    else:
+        filtered_quality = quality.quality_filtered(lines, first_day, last_day, chosen)
         results = {
             "bounds": sales.date_bounds(lines),
             "countries": sales.country_options(lines),

@@ -5,9 +5,7 @@
 same join rendered as all-text landing cells with seeded faults (FIXTURES
 F4), so the normaliser and quarantine can be checked against an oracle.
 
-Join plan at scale: ``nation`` has a fixed 25 rows and is broadcast;
-``orders``, ``customer`` and ``part`` grow with the data, so no hint is
-given — Catalyst/AQE choose sort-merge or broadcast from runtime sizes.
+Join plan at scale: no side is hinted — Catalyst/AQE choose sort-merge or broadcast from runtime sizes.
 Only the columns each query needs reach the scans (column pruning).
 """
 
@@ -17,7 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.curation import with_sale_flags
+from ..operators.ingest import RAW_HEADERS
 from ..operators.ranking import row_number_by
+from ..session import scratch_path
 from .tables import read_table
 
 # Fixed values of the fixture definition (FIXTURES F3/F4).
@@ -45,16 +45,6 @@ LINE_ORDER = [
     "l_shipdate",
 ]
 
-RAW_HEADERS = [
-    "Invoice",
-    "StockCode",
-    "Description",
-    "Quantity",
-    "InvoiceDate",
-    "Price",
-    "Customer ID",
-    "Country",
-]
 
 
 def _joined(spark: SparkSession, base: str) -> DataFrame:
@@ -73,9 +63,8 @@ def _joined(spark: SparkSession, base: str) -> DataFrame:
     part = read_table(spark, base, "part").select("p_partkey", "p_name", "p_retailprice")
     customer = read_table(spark, base, "customer").select("c_custkey", "c_nationkey")
     nation = read_table(spark, base, "nation").select("n_nationkey", "n_name")
-    # nation: 25 rows by definition of the schema → broadcast is size-proven
     customer_country = customer.join(
-        F.broadcast(nation), customer.c_nationkey == nation.n_nationkey
+        nation, customer.c_nationkey == nation.n_nationkey
     ).select("c_custkey", "n_name")
     orders_country = orders.join(
         customer_country, orders.o_custkey == customer_country.c_custkey
@@ -174,3 +163,20 @@ def raw_lines(spark: SparkSession, base: str) -> DataFrame:
     return numbered.select(
         "source_period", F.col("_n").alias("source_row"), *[F.col(f"`{h}`") for h in RAW_HEADERS]
     )
+
+
+def landing_files(spark: SparkSession, rows: DataFrame) -> dict[str, str]:
+    """``raw_lines`` rows as CSV files in the shared folder: period → its folder.
+
+    Files follow one another by row number.  Every second period lists its
+    columns in reverse; empty cells are missing ones when read again.
+    """
+    path = scratch_path(spark, "landing-files")
+    periods = [r[0] for r in rows.select("source_period").distinct().orderBy("source_period").collect()]  # calendar years
+    for i, headers in enumerate((RAW_HEADERS, RAW_HEADERS[::-1])):
+        own = rows.where(F.col("source_period").isin(periods[i::2]))
+        own = own.repartitionByRange("source_period", "source_row").sortWithinPartitions("source_period", "source_row")
+        out = own.select("source_period", *[F.col(f"`{h}`") for h in headers]).write.partitionBy("source_period").mode("append")
+        # cells as they are, blanks around them too
+        out.options(header="true", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(path)
+    return {p: f"{path}/source_period={p}" for p in periods}

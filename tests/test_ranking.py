@@ -70,7 +70,7 @@ def test_row_number_by_position_matches_window(spark):
 
 
 @pytest.mark.parametrize("seed,hot", [(21, 0.0), (22, 0.34)])
-def test_rfm_scores_with_observed_bounds_equal_window(spark, seed, hot):
+def test_rfm_scores_equal_window(spark, seed, hot):
     from ledgerlens.operators.rfm import rfm_scores
 
     metrics = _random_metrics(spark, 1500, seed, hot).selectExpr(
