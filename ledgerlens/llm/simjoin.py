@@ -251,11 +251,17 @@ def _block_pairs(key: tuple, table: pa.Table) -> pa.Table:
     own_band = band_of(size)
     tiles = table.column("tiles").chunk(0)
     tile_at = np.asarray(tiles.offsets).astype(np.int64)
-    tile_of = np.asarray(tiles.values).astype(np.int64)
+    tile_of, tile_most = (np.asarray(tiles.values.field(c)).astype(np.int64) for c in ("tok", "most"))
     cells = table.column("bits").chunk(0)
     import pyarrow.compute as pc
 
     length = np.asarray(pc.binary_length(cells)).astype(np.int64)
+
+    def given(r: int, mine: np.ndarray, h: int) -> bool:
+        own = slice(tile_at[h], tile_at[h + 1])
+        _, x, y = np.intersect1d(tile_of[mine], tile_of[own], assume_unique=True, return_indices=True)
+        return bool(((size[h] <= tile_most[mine][x]) & (size[r] <= tile_most[own][y])).any())
+
     found = []
     for width_r in np.unique(length[rest]):
         rows = rest[length[rest] == width_r]
@@ -274,11 +280,11 @@ def _block_pairs(key: tuple, table: pa.Table) -> pa.Table:
                 if len(at):
                     differ = np.bitwise_count(others_bits[at] ^ bits).sum(axis=1)
                     hit = others[at[9 * differ.astype(np.int64) <= total[at]]]
-                    # a pair is given in the first of its common tiles only
-                    mine = tile_of[tile_at[r] : tile_at[r + 1]]
-                    mine = mine[mine < tok]
+                    # a pair is given once: in the first common tile that does not rule it out by position
+                    mine = np.arange(tile_at[r], tile_at[r + 1])
+                    mine = mine[tile_of[mine] < tok]
                     if len(mine) and len(hit):
-                        hit = hit[[not np.isin(tile_of[tile_at[h] : tile_at[h + 1]], mine).any() for h in hit]]
+                        hit = hit[[not given(r, mine, h) for h in hit]]
                     if len(hit):
                         found.append(np.stack([np.minimum(sid[r], sid[hit]), np.maximum(sid[r], sid[hit])], 1))
     if not found:
@@ -317,7 +323,7 @@ def rest_pairs(members: DataFrame, labels: DataFrame, items: DataFrame, name: st
     left = rest.join(counts, ["tok", "band"]).select(*cols, F.lit(0).alias("side"), own("r").alias("i"), every("n").alias("j"))
     right = mixed.join(counts, ["tok", "band"]).select(*cols, F.lit(1).alias("side"), own("n").alias("j"), every("r").alias("i"))
     # a set's tiles: no more than it has tokens
-    tiles_of = members.groupBy("sid").agg(F.collect_set("tok").alias("tiles"))
+    tiles_of = members.groupBy("sid").agg(F.collect_set(F.struct("tok", "most")).alias("tiles"))
     both = left.unionByName(right).join(items.select("sid", "bits"), "sid").join(tiles_of, "sid")
     return both.groupBy("tok", "band", "i", "j").applyInArrow(_block_pairs, "a long, b long").distinct()
 

@@ -10,6 +10,7 @@ import pytest
 
 from ledgerlens.llm import ngram_join, simjoin, substring_dedup
 from ledgerlens.llm.components import components
+from ledgerlens.llm.textops import mix
 
 from .conftest import prose
 
@@ -64,6 +65,40 @@ def test_large_groups_lose_no_link(spark, monkeypatch, tile_pairs):
     assert found == brute_components(texts)
 
 
+def test_rest_pairs_give_each_link_between_components(spark):
+    """Prefixes of hot elements in random tiles: the smallest common tile may rule a pair out by position."""
+    rng, sets, members, items = np.random.default_rng(3), [], [], []
+    token = rng.permutation(10**6)[:400]  # tile name of each element; elements are in the common order
+    for _ in range(6):
+        base = rng.permutation(400)[:80]
+        for _ in range(12):
+            own = set(base.tolist())
+            for e in rng.permutation(base)[: rng.integers(2, 9)]:
+                own.discard(int(e))
+            own |= set(rng.permutation(400)[: rng.integers(0, 6)].tolist())
+            sets.append(sorted(own))
+    for sid, own in enumerate(sets):
+        size = len(own)
+        values = np.sort(mix(np.array(own, np.uint64)))
+        items.append((sid, size, simjoin.parity_bitmap(values)))
+        for place in range(size - (4 * size + 4) // 5 + 1):
+            most = 9 * (size - place) // 4 - size
+            if most >= (4 * size + 4) // 5:
+                members.append((int(token[own[place]]), sid, int(simjoin.band_of(np.array([size]))[0]), size, most, 0))
+    frames = [
+        spark.createDataFrame(members, "tok long, sid long, band int, size int, most int, rare int"),
+        spark.createDataFrame([(i, i % 2) for i in range(len(sets))], "id long, label long"),
+        spark.createDataFrame(items, "sid long, size int, bits binary"),
+    ]
+    found = {(r.a, r.b) for r in simjoin.rest_pairs(*frames, "rest").collect()}
+    links = {
+        (a, b)
+        for a, b in combinations(range(len(sets)), 2)
+        if (a - b) % 2 and 9 * len(set(sets[a]) & set(sets[b])) >= 4 * (len(sets[a]) + len(sets[b]))
+    }
+    assert len(links) > 100 and links <= found
+
+
 def test_one_of_each_group_stays(docs):
     kept = ngram_join.one_of_each_group(docs)
     assert kept.schema == docs.schema
