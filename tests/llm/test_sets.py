@@ -140,6 +140,46 @@ def test_repeated_passages_are_found_and_cut(docs):
     assert cut[8].text is None and cut[9].text == "" and substring_dedup.without_repeats(docs).schema == docs.schema
 
 
+def brute_passages(texts: dict) -> set:
+    """``(doc, first word, one past the last, kept doc)`` of the repeated runs of LEAST_WORDS words."""
+    least, first, out = substring_dedup.LEAST_WORDS, {}, set()
+    for doc in sorted(texts):
+        words, run = WORD.findall(texts[doc].translate(LOWER)), None
+        for at in range(len(words) - least + 1):
+            kept = first.setdefault(tuple(words[at : at + least]), (doc, at))
+            if kept == (doc, at) or (kept[0] == doc and kept[1] + least > at):
+                run = None
+            elif run and run[1] == at + least - 1 and (run[2], run[3]) == (kept[0], kept[1] - 1):
+                out.discard((doc, run[0], run[1], run[2]))
+                run = (run[0], at + least, *kept)
+                out.add((doc, run[0], run[1], run[2]))
+            else:
+                run = (at, at + least, *kept)
+                out.add((doc, at, at + least, kept[0]))
+    return out
+
+
+def test_passages_of_all_lengths_equal_brute_force(spark):
+    texts = {}
+    for n in range(18, 61):
+        passage = prose(5000 + n, n)[:-1]
+        texts[n] = f"{prose(6000 + n, 30)} {passage} {prose(7000 + n, 9)}"
+        texts[100 + n] = f"{prose(8000 + n, n - 18)} {passage}\n{prose(9000 + n, 25)}"
+    # short phrases of different documents are no passage
+    texts[200] = " ".join(" ".join(texts[n].split(" ")[3:12]) for n in range(18, 30))
+    # one source runs on after another, and words that repeat themselves
+    texts[201] = " ".join(texts[40].split(" ")[5:40] + texts[50].split(" ")[20:60])
+    texts[202], texts[203], texts[204] = "ha " * 100, "so it goes " * 30, "é ha " * 3 + "ha " * 41
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = set()
+    for doc, a, b, kept in brute_passages(texts):
+        places = [m.span() for m in WORD.finditer(texts[doc])]
+        want.add((doc, places[a][0], places[b - 1][1], kept))
+    found = {(r.doc_id, r.start, r.end, r.kept_doc_id) for r in substring_dedup.repeated_passages(frame).collect()}
+    assert found == want
+    assert {100 + n for n in range(20, 61)} < {r[0] for r in found} and not {118, 119, 200} & {r[0] for r in found}
+
+
 def test_empty_tables(no_docs):
     assert ngram_join.ngram_jaccard_components(no_docs).count() == 0
     assert substring_dedup.repeated_spans(no_docs).count() == 0
