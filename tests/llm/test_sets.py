@@ -10,7 +10,7 @@ import pytest
 
 from ledgerlens.llm import ngram_join, simjoin, substring_dedup
 from ledgerlens.llm.components import components
-from ledgerlens.llm.textops import mix
+from ledgerlens.llm.textops import mix, word_hashes
 
 from .conftest import prose
 
@@ -140,6 +140,20 @@ def test_repeated_passages_are_found_and_cut(docs):
     assert cut[8].text is None and cut[9].text == "" and substring_dedup.without_repeats(docs).schema == docs.schema
 
 
+def test_short_phrases_of_many_documents_are_no_passage(spark):
+    vocabulary = [f"w{k}" for k in range(500)]
+    data = np.frombuffer(" ".join(vocabulary).encode(), np.uint8)
+    vocabulary = [vocabulary[k] for k in np.argsort(word_hashes(data, np.array([0, len(data)]))[0])]
+    # phrases of seven words; each begins with the least hash around it
+    more = iter(vocabulary[20:])
+    phrases = [" ".join([vocabulary[i], *(next(more) for _ in range(6))]) for i in range(6)]
+    other = lambda: " ".join(next(more) for _ in range(12))
+    texts = {i: f"{other()} {p} {vocabulary[10]} {other()}" for i, p in enumerate(phrases)}
+    texts[9] = " ".join([other(), *phrases, vocabulary[11], other()])
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert substring_dedup.repeated_passages(frame).collect() == []
+
+
 def brute_passages(texts: dict) -> set:
     """``(doc, first word, one past the last, kept doc)`` of the repeated runs of LEAST_WORDS words."""
     least, first, out = substring_dedup.LEAST_WORDS, {}, set()
