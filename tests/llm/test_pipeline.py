@@ -9,6 +9,7 @@ import numpy as np
 import corpus_pipeline
 from ledgerlens.llm import bpe
 from ledgerlens.llm.queries import VOCABULARY, queries
+from ledgerlens.session import materialize
 
 from .conftest import prose
 from .test_sets import brute_components
@@ -55,3 +56,22 @@ def test_pipeline_keeps_clean_documents_and_drops_the_others(spark, tmp_path):
         elif i >= 100 or i % 8 != 4:
             assert r.text == texts[i]
     assert corpus_pipeline.STAGES[0][0] == "quality classifier" and "pipeline" in queries()
+
+
+def test_no_kept_document_holds_a_part_of_an_item(spark, tmp_path):
+    """An item that leaked into several documents is gone from all that stay."""
+    item, rows = prose(77, 45)[:-1], []
+    for i in range(12):
+        text = prose(100 + i, 40)
+        rows.append((i, f"{text} {item} {prose(200 + i, 30)}" if i % 2 else text, "en", "site", 0))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[2:4]:
+        docs = materialize(stage(spark, docs, str(tmp_path)), name.replace(" ", "-").lower())
+    out = {r.doc_id: r.text for r in docs.collect()}
+    words = item.split(" ")
+    assert set(out) == set(range(12)) - {1}
+    for text in out.values():
+        assert not any(" ".join(words[k : k + 8]) in text for k in range(len(words) - 7))
