@@ -137,12 +137,15 @@ def _predict(model: Model | None):
                     # grams that reach into the next document are its first bytes' only by chance: cut them off
                     for back in (1, 2, 3):
                         at = offsets[1:] - back
-                        at = at[at >= 0]
+                        at = at[at >= offsets[:-1]]
                         logits[at] -= model.table[four[at]]
                         if back < 3:
                             logits[at] -= model.table[three[at]]
-                    size = np.diff(offsets)[some]
-                    total = np.add.reduceat(logits, offsets[:-1][some], axis=0, dtype=np.float64)
+                    size = np.diff(offsets)
+                    # every text that is not empty ends a sum, with or without letters
+                    full = np.flatnonzero(size)
+                    total = np.add.reduceat(logits, offsets[:-1][full], axis=0, dtype=np.float64)[np.searchsorted(full, some)]
+                    size = size[some]
                     share = _softmax((total / np.maximum(1, 2 * size - 5)[:, None] + model.bias) / model.temperature)
                     best = share.argmax(1)
                     scores[some] = share.max(1)

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ledgerlens.llm import decontaminate, imatch, langid, lm, quality, sharding
@@ -88,6 +89,24 @@ def test_language_id(spark, docs, no_docs):
     assert langid.identify_languages(no_docs).count() == 0
 
 
+def test_language_does_not_depend_on_the_texts_around():
+    rng = np.random.default_rng(2)
+    model = langid.Model(["a", "b"], rng.normal(size=(langid.BUCKETS, 2)).astype(np.float32), np.zeros(2), 1.0, 0.0)
+
+    def scores(texts):
+        n = len(texts)
+        batch = pa.RecordBatch.from_arrays(
+            [pa.array(range(n), pa.int64()), pa.array([False] * n), pa.array(texts, pa.string())], names=["doc_id", "held_out", "text"]
+        )
+        return [(r["lang_pred"], round(r["score"], 6)) for out in langid._predict(model)([batch]) for r in out.to_pylist()]
+
+    texts = [prose(i, 12) for i in range(4)]
+    alone = [scores([t])[0] for t in texts]
+    for junk in ("12 34 " * 2000, "...", "7", "", None):
+        mixed = scores([x for t in texts for x in (t, junk)])
+        assert mixed[::2] == alone and set(mixed[1::2]) == {(langid.UNKNOWN, 0.0)}
+
+
 def test_lm_scores_equal_brute_force(docs, no_docs, monkeypatch):
     learned = {}
     learn = lm.learn_weights
