@@ -7,8 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, imatch, langid, lm, ngram_join, packing, quality, sharding, substring_dedup
+from . import bpe, decontaminate, imatch, langid, lm, ngram_join, packing, quality, sharding, substring_dedup, token_counts
 
+WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
@@ -62,6 +63,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "host", "path", "p_bad", "p_toxic", "keep")
 
 
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document; null texts count as empty."""
+    return token_counts.count_tokens(_documents(spark, sf_dir), WORD_VOCABULARY)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # at the repository's top, counted as part of this subpackage
 
@@ -80,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_imatch,
         op9_lm_scoring,
         op10_quality,
+        op12_token_counts,
         pipeline,
     )
     return {f.__name__: f for f in own}
