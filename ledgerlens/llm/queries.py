@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, imatch, langid, lm, ngram_join, packing, quality, sharding, substring_dedup, token_counts
+from . import bpe, decontaminate, imatch, langid, lm, ngram_join, packing, quality, runs, sharding, substring_dedup, token_counts
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -68,6 +68,11 @@ def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_documents(spark, sf_dir), WORD_VOCABULARY)
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words in every document, about a tenth of them with a cycle put in."""
+    return runs.run_digests(runs.periodic_runs(runs.with_cycles(_documents(spark, sf_dir))))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # at the repository's top, counted as part of this subpackage
 
@@ -87,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_lm_scoring,
         op10_quality,
         op12_token_counts,
+        op13_periodic_runs,
         pipeline,
     )
     return {f.__name__: f for f in own}
