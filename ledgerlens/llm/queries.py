@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, imatch, langid, lm, ngram_join, packing, quality, runs, sharding, substring_dedup, token_counts
+from . import bpe, decontaminate, imatch, langid, lm, ngram_join, packing, phrases, quality, runs, sharding, substring_dedup, token_counts
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -63,6 +63,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "host", "path", "p_bad", "p_toxic", "keep")
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best collocations of each language."""
+    return phrases.collocations(_documents(spark, sf_dir))
+
+
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document; null texts count as empty."""
     return token_counts.count_tokens(_documents(spark, sf_dir), WORD_VOCABULARY)
@@ -91,6 +96,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_imatch,
         op9_lm_scoring,
         op10_quality,
+        op11_phrases,
         op12_token_counts,
         op13_periodic_runs,
         pipeline,
@@ -99,4 +105,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_phrases": phrases.COLLOCATIONS_SQL}

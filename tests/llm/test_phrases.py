@@ -1,0 +1,111 @@
+from __future__ import annotations
+
+import random
+import re
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from ledgerlens.llm import phrases
+from ledgerlens.llm.textops import chunks
+
+
+def pieces(text: str | None) -> list[list[str]]:
+    low = re.sub("[A-Z]", lambda m: m.group().lower(), text or "")
+    return [w for w in (re.findall("[^\x20\x09]+", p) for p in re.split("[.,;:!?\x0a-\x0d]", low)) if w]
+
+
+def brute(rows: list[tuple], longest: int = 3, least: int = 10, top: int = 2000) -> list[tuple]:
+    """All phrases counted in dictionaries, scored with Python's integers."""
+    counts: dict[str, Counter] = defaultdict(Counter)
+    for lang, text in rows:
+        for words in pieces(text):
+            for m in range(1, longest + 1):
+                for i in range(len(words) - m + 1):
+                    counts["und" if lang is None else lang][tuple(words[i : i + m])] += 1
+    out = []
+    for lang, f in counts.items():
+        total = sum(n for g, n in f.items() if len(g) == 1)
+        found = {}
+        for g, a in f.items():
+            if len(g) > 1 and a >= least:
+                cuts = [(1000000 * a * a // (f[g[:k]] * f[g[k:]]), k) for k in range(1, len(g))]
+                score, k = min(cuts)
+                found[g] = (a, f[g[:k]], f[g[k:]], score)
+        inside = {
+            g
+            for long, cell in found.items()
+            for m in range(2, len(long))
+            for i in range(len(long) - m + 1)
+            if (g := long[i : i + m]) in found and 100 * cell[0] >= 50 * found[g][0]
+        }
+        order = sorted(((-c[3], -c[0], " ".join(g).encode(), c) for g, c in found.items() if g not in inside))[:top]
+        out += [(lang, r, g.decode(), c[0], c[1], c[2], total, c[3]) for r, (_, _, g, c) in enumerate(order, 1)]
+    return sorted(out)
+
+
+def corpus(seed: int, texts: int) -> list[tuple]:
+    rng = random.Random(seed)
+    words = ["the", "The", "of", "éa", "x", "y", "z", "new", "york", "city", "\x1c", "a\xa0b"]
+    stock = ["new york city", "x y z x y z", "the of the of", "the the the the"]
+    ends = [". ", "\n", " ", "\t", "  ", ", ", "!", "\x0b", " \r\n"]
+    part = lambda: rng.choice(stock) if rng.random() < 0.3 else rng.choice(words)
+    rows = [(rng.choice(["en", "de", "", None, "und"]), "".join(part() + rng.choice(ends) for _ in range(rng.randrange(120)))) for _ in range(texts)]
+    return [*rows, ("en", None), ("en", ""), (None, " .\n"), ("de", "one two"), ("en", "the " * 3000)]
+
+
+@pytest.mark.parametrize("longest,least,top", [(3, 10, 2000), (2, 5, 7), (4, 3, 50)])
+def test_collocations_equal_brute_force(spark, longest, least, top):
+    rows = corpus(longest, 60)
+    rows += rows[:10]  # repeated rows count again
+    table = spark.createDataFrame(rows, "lang string, text string").repartition(5)
+    got = phrases.collocations(table, longest, least, top).collect()
+    assert sorted(map(tuple, got)) == brute(rows, longest, least, top)
+
+
+def test_a_small_bitmap_changes_nothing(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "MOST_BITS", phrases.LEAST_BITS)
+    rows = corpus(11, 40)
+    table = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    assert sorted(map(tuple, phrases.collocations(table).collect())) == brute(rows)
+
+
+def test_sql_gives_the_same_rows(spark):
+    rows = [r for r in corpus(5, 80)]
+    table = spark.createDataFrame(rows, "lang string, text string")
+    documents = table.toPandas()  # noqa: F841
+    want = duckdb.sql(phrases.COLLOCATIONS_SQL).fetchall()
+    assert sorted(map(tuple, phrases.collocations(table).collect())) == sorted(want) == brute(rows)
+
+
+def test_every_phrase_begins_in_one_chunk():
+    texts = [t for _, t in corpus(3, 50)] + ["a b c d e f g h i j k l m n o p q r s t u v w x y z " * 40]
+    for longest in (2, 3, 4):
+        seen = Counter()
+        for _, _, data, offsets in chunks(pa.array(texts)):
+            chunk, text, last = phrases.parse(data, offsets, longest)
+            for words, end in zip(chunk.to_pylist(), last):
+                words = words.split(" ")
+                own = len(words) - (0 if end else longest - 1)
+                assert own > 0
+                seen.update(tuple(words[i : i + longest]) for i in range(own) if i + longest <= len(words))
+        want = Counter(tuple(w[i : i + longest]) for t in texts for w in pieces(t) for i in range(len(w) - longest + 1))
+        assert seen == want
+
+
+def test_equal_passages_give_equal_chunks():
+    rng = random.Random(2)
+    passage = " ".join("w%d" % rng.randrange(500) for _ in range(300))
+    texts = [" ".join("v%d" % rng.randrange(500) for _ in range(rng.randrange(30))) + " " + passage for _ in range(6)]
+    found = [set(phrases.parse(*next((d, o) for _, _, d, o in chunks(pa.array([t]))), 3)[0].to_pylist()) for t in texts]
+    shared = set.intersection(*found)
+    assert len(shared) >= 0.6 * np.median([len(s) for s in found])
+
+
+def test_null_columns_and_empty_table(spark, docs, no_docs):
+    rows = [(r.lang, r.text) for r in docs.collect()]
+    assert sorted(map(tuple, phrases.collocations(docs, least=2).collect())) == brute(rows, least=2)
+    assert phrases.collocations(no_docs).count() == 0
