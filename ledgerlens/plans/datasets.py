@@ -1,5 +1,8 @@
 """Build-if-absent datasets (S10) and the curated Parquet sink (S7).
 
+A table is written beside its place and moved there when it is whole, so a
+failed build leaves the table before it.
+
 The workload is "build once, query many times": the ETL writes the curated
 fact table as ZSTD Parquet and every analytic query scans that file set with
 filter pushdown and column pruning.  ``ensure_dataset`` is the build-if-absent
@@ -10,12 +13,14 @@ written to the shared checkpoint folder so it survives executor loss.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from ..session import path_exists, scratch_path
+from ..session import delete_path, path_exists, scratch_path
+from . import versions
 
 _SESSION_BUILDS: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 
@@ -45,18 +50,41 @@ def write_curated(
 
 
 def ensure_dataset(
-    spark: SparkSession, path: str, builder: Callable[[], DataFrame]
+    spark: SparkSession,
+    path: str,
+    builder: Callable[[], DataFrame],
+    inputs: Iterable[str] | None = None,
 ) -> DataFrame:
     """Read ``path``; build and write it first unless a finished write is there.
 
-    A folder without Spark's ``_SUCCESS`` marker is the rest of an interrupted
-    write and is built anew; any other error in reading is raised.
+    With ``inputs``, the paths that the builder reads, the table is versioned:
+    it is also built anew when a file below them is new, changed or gone, and
+    readers of the version before are not disturbed (see ``versions``).
+    Without, a folder that lacks Spark's ``_SUCCESS`` marker is the rest of an
+    interrupted write and is built anew.  Any other error in reading is raised.
     """
+    if inputs is not None:
+        digest = versions.input_digest(spark, inputs)
+        found = versions.current(spark, path)
+        if found is None or found.digest != digest:
+            found = versions.publish(spark, path, lambda folder: write_curated(builder(), folder), digest)
+        return spark.read.parquet(found.folder)
     if not path_exists(spark, f"{path.rstrip('/')}/_SUCCESS"):
-        write_curated(builder(), path)
+        replace_curated(builder(), path)
     return spark.read.parquet(path)
 
 
+def replace_curated(df: DataFrame, path: str, cluster: bool = False) -> None:
+    """``write_curated`` beside ``path``, moved there when it is whole."""
+    spark = df.sparkSession
+    written = f"{path.rstrip('/')}.building-{uuid.uuid4().hex}"
+    try:
+        write_curated(df, written, cluster=cluster)
+        versions.replace_path(spark, written, path)
+    finally:
+        delete_path(spark, written)
+
+
 def session_dataset(
     spark: SparkSession, name: str, key: str, builder: Callable[[], DataFrame]
 ) -> DataFrame:

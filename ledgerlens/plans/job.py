@@ -11,6 +11,9 @@ counters ride along as observed metrics); (2) number and flag the staged
 rows and write the curated ZSTD Parquet; (3) write the quarantined rows as
 CSV when there are any; (4) a column-pruned aggregate over the curated
 output for the quality report, written as one JSON object.
+
+The outputs replace those of an earlier build only when all of them are whole;
+``--versioned`` keeps versions with a commit pointer instead (see ``versions``).
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from __future__ import annotations
 import argparse
 import json
 import os
+import uuid
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,10 +29,12 @@ from pyspark.sql import functions as F
 
 from ..operators.ingest import curate, normalise, split_checked
 from ..operators.quality import quality_summary
-from ..session import delete_path, get_session, scratch_path
+from ..session import delete_path, get_session, path_exists, scratch_path
 from ..sources.landing import read_landing
 from .datasets import write_curated
+from .versions import Version, current, input_digest, publish, replace_path
 
+TABLE = "lines.parquet"  # the curated table's name inside a version
 REPORT_COUNTERS = ["source_rows", "staged_rows", "quarantined_rows"]
 
 
@@ -61,32 +67,31 @@ def stage_landing(raw: DataFrame, path: str | None = None) -> tuple[DataFrame, D
     return staged, quarantine, checked_rows.counters.get
 
 
-def build_dataset(
+def _items(sources: Mapping[str, str] | Iterable[tuple[str, str]]) -> list[tuple[str, str]]:
+    return list(sources.items()) if isinstance(sources, Mapping) else list(sources)
+
+
+def _write_outputs(
     spark: SparkSession,
-    sources: Mapping[str, str] | Iterable[tuple[str, str]],
-    output: str,
-    fmt: str = "csv",
-    options: Mapping[str, str] | None = None,
-    source_name: str | None = None,
+    items: list[tuple[str, str]],
+    paths: Mapping[str, str],
+    fmt: str,
+    options: Mapping[str, str] | None,
+    source_name: str | None,
+    output_name: str,
+    index_dir: str | None = None,
 ) -> DataFrame:
-    """Build the curated dataset and return its one-row quality report.
-
-    Report columns: the nine quality measures, ``source_rows``,
-    ``staged_rows``, ``quarantined_rows``, ``source_workbook`` (the landing
-    source names) and ``output_parquet``, as in the reference's report.
-    """
-    items = list(sources.items()) if isinstance(sources, Mapping) else list(sources)
-    paths = output_paths(output)
-    raw = read_landing(spark, items, fmt, options)
+    """Write the three outputs to ``paths``, which are new; the report."""
     scratch = scratch_path(spark, "checked")
     try:
+        raw = read_landing(spark, items, fmt, options, index_dir or f"{scratch}-splits")
         staged, quarantine, counters = stage_landing(raw, scratch)  # pass 1
         write_curated(curate(staged), paths["curated"], cluster=True)  # pass 2
-        delete_path(spark, paths["quarantine"])  # of an earlier run
         if counters.get("quarantined_rows", 0) > 0:  # pass 3
-            quarantine.write.mode("overwrite").option("header", "true").csv(paths["quarantine"])
+            quarantine.write.option("header", "true").csv(paths["quarantine"])
     finally:
         delete_path(spark, scratch)
+        delete_path(spark, f"{scratch}-splits")
 
     summary = quality_summary(spark.read.parquet(paths["curated"]))  # pass 4
     name = source_name or ",".join(os.path.basename(p.rstrip("/")) for _, p in items)
@@ -94,17 +99,94 @@ def build_dataset(
         "*",
         *[F.lit(int(counters.get(c, 0))).cast("bigint").alias(c) for c in REPORT_COUNTERS],
         F.lit(name).alias("source_workbook"),
-        F.lit(os.path.basename(paths["curated"])).alias("output_parquet"),
+        F.lit(output_name).alias("output_parquet"),
     )
     # one row: a single output task is the whole report, not a data bottleneck;
     # timestamps as Python prints them ("2010-12-01 08:26:00")
     report = spark.createDataFrame(report.collect(), report.schema).coalesce(1)
-    report.write.mode("overwrite").option(
-        "timestampNTZFormat", "yyyy-MM-dd HH:mm:ss"
-    ).json(paths["report"])
+    report.write.option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").json(paths["report"])
+    return report
+
+
+def build_dataset(
+    spark: SparkSession,
+    sources: Mapping[str, str] | Iterable[tuple[str, str]],
+    output: str,
+    fmt: str = "csv",
+    options: Mapping[str, str] | None = None,
+    source_name: str | None = None,
+) -> DataFrame:
+    """Build the curated dataset and return its one-row quality report.
+
+    Report columns: the nine quality measures, ``source_rows``,
+    ``staged_rows``, ``quarantined_rows``, ``source_workbook`` (the landing
+    source names) and ``output_parquet``, as in the reference's report.
+
+    All outputs are written beside their places first and moved there when the
+    whole build has succeeded; a build that fails leaves the outputs of the one
+    before.  ``publish_dataset`` is for tables that are read while they are rebuilt.
+    """
+    paths = output_paths(output)
+    mark = f".building-{uuid.uuid4().hex}"
+    written = {name: path + mark for name, path in paths.items()}
+    try:
+        name = os.path.basename(paths["curated"])
+        report = _write_outputs(spark, _items(sources), written, fmt, options, source_name, name)
+        for name, path in paths.items():
+            if path_exists(spark, written[name]):
+                replace_path(spark, written[name], path)
+            else:
+                delete_path(spark, path)  # an earlier run's quarantine
+    finally:
+        for path in written.values():
+            delete_path(spark, path)
     return report
 
 
+def publish_dataset(
+    spark: SparkSession,
+    sources: Mapping[str, str] | Iterable[tuple[str, str]],
+    root: str,
+    fmt: str = "csv",
+    options: Mapping[str, str] | None = None,
+    source_name: str | None = None,
+    force: bool = False,
+) -> Version:
+    """Build a new version of the dataset below ``root`` and commit all its outputs at once.
+
+    Nothing is built while the landing files, format and options are those of
+    the current version, unless ``force``.  The commit's notes hold the report.
+    The split index of the landing files is kept below ``root`` for later builds.
+    """
+    items = _items(sources)
+    digest = json.dumps([input_digest(spark, [p for _, p in items]), [n for n, _ in items], fmt, sorted((options or {}).items())])
+    found = current(spark, root)
+    if found is not None and found.digest == digest and not force:
+        return found
+    name = os.path.basename(root.rstrip("/"))
+
+    def build(folder: str) -> dict:
+        paths = output_paths(f"{folder}/{TABLE}")
+        return _write_outputs(spark, items, paths, fmt, options, source_name, name, f"{root.rstrip('/')}/splits").first().asDict()
+
+    return publish(spark, root, build, digest)
+
+
+def published_paths(spark: SparkSession, root: str) -> dict[str, str]:
+    """The paths of the current version's outputs."""
+    found = current(spark, root)
+    if found is None:
+        raise FileNotFoundError(f"nothing is published below {root}")
+    return output_paths(f"{found.folder}/{TABLE}")
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The curated lines at ``path``: a Parquet table, or the root of published versions."""
+    if path_exists(spark, f"{path.rstrip('/')}/commits"):
+        path = published_paths(spark, path)["curated"]
+    return spark.read.parquet(path)
+
+
 def parse_arguments(argv: list[str] | None = None) -> argparse.Namespace:
     parser = argparse.ArgumentParser(description="Build the curated retail dataset.")
     parser.add_argument(
@@ -116,6 +198,9 @@ def parse_arguments(argv: list[str] | None = None) -> argparse.Namespace:
     )
     parser.add_argument("--output", required=True)
     parser.add_argument("--format", default="csv", choices=["csv", "json"])
+    parser.add_argument(
+        "--versioned", action="store_true", help="publish a new version below --output; readers keep the one before until it is whole"
+    )
     return parser.parse_args(argv)
 
 
@@ -123,8 +208,11 @@ def main(argv: list[str] | None = None) -> None:
     args = parse_arguments(argv)
     sources = [tuple(item.split("=", 1)) for item in args.input]
     spark = get_session()
-    report = build_dataset(spark, sources, args.output, fmt=args.format)
-    print(json.dumps(report.first().asDict(), default=str, indent=2))
+    if args.versioned:
+        report = publish_dataset(spark, sources, args.output, fmt=args.format).notes
+    else:
+        report = build_dataset(spark, sources, args.output, fmt=args.format).first().asDict()
+    print(json.dumps(report, default=str, indent=2))
 
 
 if __name__ == "__main__":

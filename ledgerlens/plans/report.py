@@ -3,7 +3,7 @@
     spark-submit --py-files ledgerlens.zip refresh_job.py --curated /curated/retail.parquet \
         --start 2010-12-01 --end 2011-12-09 --country "United Kingdom" --output /reports/run1
 
-Reads the curated Parquet once per result with the filter pushed to the
+Reads the curated Parquet (or the current published version) once per result with the filter pushed to the
 scan, and writes each (small) result as JSON lines under ``output``:
 bounds, countries, kpis, monthly, markets, segments, segment_summary,
 value_distribution, cohort_retention, cohort_matrix, products,
@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions.filters import DateLike, date_range
 from ..operators import cohort, quality, rfm, sales
 from ..session import get_session, materialize
+from .job import read_lines
 
 
 def page_results(
@@ -73,7 +74,7 @@ def refresh_page(
     countries: Iterable[str] | None = None,
 ) -> dict:
     """Write every page result under ``output``; return the KPI row."""
-    lines = spark.read.parquet(curated_path)
+    lines = read_lines(spark, curated_path)
     first_day, last_day = _bounds(lines, start, end)
     chosen = list(countries or [])
     valid = sales.filtered_sales(lines, first_day, last_day, chosen)

@@ -114,17 +114,18 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path."""
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    fs, jpath = _file_system(spark, path)
+    fs, jpath = file_system(spark, path)
     return fs.exists(jpath)
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
     """Remove a file or folder of this library's own output; a missing one is fine."""
-    fs, jpath = _file_system(spark, path)
+    fs, jpath = file_system(spark, path)
     fs.delete(jpath, True)

@@ -10,14 +10,15 @@ messages.
 header as row 1, exactly as a sheet is numbered.  It is computed without a
 global sort: each input split (file, block start) is read sequentially by
 one task, so ``monotonically_increasing_id()`` grows by one per row inside a
-split; a small table of per-split row counts (one row per split, bounded by
-input size / split size) gives each split's offset.  Files of a period are
-taken in path order.  Rows never pass through one task or the driver.
+split; the split index (one row per split: file, block start, rows, header)
+gives each split's offset.  Files of a period are taken in path order.  Rows never pass through one task or the driver.
 """
 
 from __future__ import annotations
 
 import csv
+import hashlib
+import json
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
@@ -25,9 +26,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.ingest import KIND_PREFIX, ORDINAL, RAW_HEADERS, check_headers
+from ..plans.datasets import ensure_dataset
+from ..session import scratch_path
 
 IDENTIFIER_HEADERS = ("Invoice", "StockCode")
 FIRST_DATA_ROW = 2  # row 1 holds the header
+BROADCAST_SPLITS = 100_000  # an index of up to so many rows is broadcast, some 20 MB
 
 
 def _items(sources: Mapping[str, str] | Iterable[tuple[str, str]]) -> list[tuple[str, str]]:
@@ -41,16 +45,22 @@ def _header_names(text: str, options: Mapping[str, str]) -> list[str]:
 
 
 def csv_cells(
-    tagged: DataFrame, period: str, options: Mapping[str, str], per_file: bool = False
+    tagged: DataFrame,
+    period: str,
+    options: Mapping[str, str],
+    per_file: bool = False,
+    index: DataFrame | None = None,
 ) -> DataFrame:
     """Numbered text cells of CSV lines that carry the tags of ``tag_rows``.
 
     The first line of each file is its header.  Every header must hold exactly
     the expected names; each file's cells are bound by its own header, so files
     of one period may order their columns differently.  A blank line is a row
-    without values, as in a sheet.
+    without values, as in a sheet.  Each line is parsed once, by position,
+    whatever the number of column orders.  ``index`` is the split index of these
+    lines, if there is one already.
     """
-    splits = _splits(tagged, per_file, headers=True)
+    splits = split_index(tagged, per_file, headers=True) if index is None else index
     found = splits.where("_ln_b = 0").groupBy("_ln_header").agg(F.min("_ln_f").alias("file")).collect()
     if not found:
         check_headers([], period)
@@ -58,15 +68,19 @@ def csv_cells(
     for r in found:
         names = orders[r["_ln_header"]]
         check_headers(names if len(names) == len(set(names)) else [*names, "repeated name"], period, r["file"])
-    numbered = _numbered(tagged, splits, FIRST_DATA_ROW, "source_row")
-    cells = {h: F.lit(None).cast("string") for h in RAW_HEADERS}
-    for header, names in orders.items():
-        fields = ", ".join(f"c{i} string" for i in range(len(names)))
-        record = F.from_csv("value", fields, dict(options))
-        for i, h in enumerate(names):
-            cells[h] = F.when(F.col("_ln_header") == F.lit(header), record.getField(f"c{i}")).otherwise(cells[h])
+    numbered = _numbered(tagged, splits, FIRST_DATA_ROW, "source_row", index is not None)
+    fields = ", ".join(f"c{i} string" for i in range(len(RAW_HEADERS)))
+    # a column of its own, used several times: the optimiser keeps it in one place
+    parsed = numbered.withColumn("_ln_record", F.from_csv("value", fields, dict(options)))
     order = next(iter(orders.values())) if len(orders) == 1 else RAW_HEADERS
-    return numbered.select("_ln_file", "source_row", *[cells[h].alias(h) for h in order])
+
+    def cell(header: str):
+        places = {h: F.col(f"_ln_record.c{names.index(header)}") for h, names in orders.items()}
+        if len(places) == 1:
+            return next(iter(places.values()))
+        return F.coalesce(*[F.when(F.col("_ln_header") == F.lit(h), c) for h, c in places.items()])
+
+    return parsed.select("_ln_file", "source_row", *[cell(h).alias(h) for h in order])
 
 
 def _kind(cell) -> "F.Column":
@@ -81,7 +95,7 @@ def _kind(cell) -> "F.Column":
     )
 
 
-def _read_json_period(spark: SparkSession, path: str, period: str) -> DataFrame:
+def _read_json_period(spark: SparkSession, path: str, period: str, index_dir: str) -> DataFrame:
     """JSON lines → numbered text cells plus ``_kind_<header>`` per cell.
 
     Each line is parsed into a VARIANT so a cell keeps its JSON type: the
@@ -89,7 +103,9 @@ def _read_json_period(spark: SparkSession, path: str, period: str) -> DataFrame:
     its messages, as for typed workbook cells.  A line that is not JSON
     gives an all-missing row (quarantined like an empty sheet row).
     """
-    lines = number_rows(spark.read.text(path))
+    tagged = tag_rows(spark.read.text(path))
+    index = stored_split_index(spark, tagged, path, index_dir, headers=False)
+    lines = number_tagged(tagged, index=index).drop("_ln_file")
     first = lines.where(F.trim("value") != "").orderBy("source_row").limit(1)
     keys = first.select(F.json_object_keys("value").alias("k")).first()
     check_headers(list(keys["k"] or []) if keys else [], period)
@@ -130,49 +146,78 @@ def tag_rows(df: DataFrame) -> DataFrame:
     return tag_sequence(tag_splits(df))
 
 
-def _splits(tagged: DataFrame, per_file: bool, headers: bool = False) -> DataFrame:
-    """One row per input split: its first tag, and the data rows of the splits before it.
+def split_index(tagged: DataFrame, per_file: bool = False, headers: bool = False) -> DataFrame:
+    """One row per input split: its first tag, its rows, and the data rows before it.
 
     With ``headers`` each file's first line counts as no row and comes along.
+    The rows before a split are summed up in two steps: inside its file, in
+    tasks by file, then over the files' totals, one row per file.
     """
+    in_head = F.col("_ln_block") == 0
+    line = F.min_by(F.when(in_head, F.col("value")), "_ln_id") if headers else F.lit(None).cast("string")
     splits = tagged.groupBy("_ln_file", "_ln_block").agg(
-        F.min("_ln_id").alias("_ln_first"),
-        F.count(F.lit(1)).alias("_ln_rows"),
-        (F.min_by("value", "_ln_id") if headers else F.lit(None).cast("string")).alias("_ln_line"),
+        F.min("_ln_id").alias("_ln_first"), F.count(F.lit(1)).alias("_ln_rows"), line.alias("_ln_line")
     )
-    head = F.when(F.col("_ln_block") == 0, 1).otherwise(0) if headers else F.lit(0)
-    # one row per input split: size bounded by input bytes / split size
+    head = F.when(in_head, 1).otherwise(0) if headers else F.lit(0)
     own = Window.partitionBy("_ln_file")
-    order = own.orderBy("_ln_block") if per_file else Window.orderBy("_ln_file", "_ln_block")
-    before = F.sum(F.col("_ln_rows") - head).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    return splits.select(
+    earlier = own.orderBy("_ln_block").rowsBetween(Window.unboundedPreceding, -1)
+    rows = F.col("_ln_rows") - F.col("_ln_head")
+    inside = splits.withColumn("_ln_head", head).select(
         F.col("_ln_file").alias("_ln_f"),
         F.col("_ln_block").alias("_ln_b"),
         "_ln_first",
-        head.alias("_ln_head"),
-        F.coalesce(before, F.lit(0)).alias("_ln_before"),
-        F.max(F.when(F.col("_ln_block") == 0, F.col("_ln_line"))).over(own).alias("_ln_header"),
+        "_ln_rows",
+        "_ln_head",
+        F.coalesce(F.sum(rows).over(earlier), F.lit(0)).alias("_ln_before"),
+        F.max("_ln_line").over(own).alias("_ln_header"),
     )
+    if per_file:
+        return inside
+    # one row per file: bounded by the number of files, not of splits or rows
+    totals = inside.groupBy("_ln_f").agg(F.sum(F.col("_ln_rows") - F.col("_ln_head")).alias("_ln_total"))
+    files = Window.orderBy("_ln_f").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("_ln_f", F.coalesce(F.sum("_ln_total").over(files), F.lit(0)).alias("_ln_files_before"))
+    joined = inside.join(totals, "_ln_f")
+    return joined.withColumn("_ln_before", F.col("_ln_before") + F.col("_ln_files_before")).drop("_ln_files_before")
+
+
+# how a scan is cut into splits and dealt to tasks depends on these settings
+_SCAN_SETTINGS = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum")
 
 
-def _numbered(tagged: DataFrame, splits: DataFrame, start: int, name: str) -> DataFrame:
+def stored_split_index(spark: SparkSession, tagged: DataFrame, path: str, folder: str, headers: bool) -> DataFrame:
+    """The split index of the files at ``path``, computed once and kept below ``folder``.
+
+    It is computed again when a file is new, changed or gone, or when the scan is
+    cut differently.
+    """
+    settings = [spark.conf.get(s, None) for s in _SCAN_SETTINGS]
+    name = hashlib.sha256(json.dumps([path, headers, *settings, spark.sparkContext.defaultParallelism]).encode()).hexdigest()[:16]
+    return ensure_dataset(spark, f"{folder.rstrip('/')}/{name}", lambda: split_index(tagged, headers=headers), inputs=[path])
+
+
+def _numbered(tagged: DataFrame, splits: DataFrame, start: int, name: str, stored: bool) -> DataFrame:
     """Row numbers from the splits' offsets; header lines are left out.
 
-    A row whose split is not in ``splits`` (the two scans were cut differently)
-    fails the load: no row is lost or misnumbered in silence.
+    A row whose split is not in ``splits``, or has another place in it, fails the
+    load (the two scans were cut differently): no row is lost or misnumbered in
+    silence.
     """
+    if stored and splits.count() <= BROADCAST_SPLITS:
+        splits = F.broadcast(splits)
     joined = tagged.join(
         splits, (F.col("_ln_file") == F.col("_ln_f")) & (F.col("_ln_block") == F.col("_ln_b")), "left"
     )
-    place = F.col("_ln_id") - F.col("_ln_first") - F.col("_ln_head")
+    at = F.col("_ln_id") - F.col("_ln_first")
+    place = at - F.col("_ln_head")
     row = F.col("_ln_before") + place + F.lit(start)
-    matched = F.when(F.col("_ln_f").isNotNull(), row).otherwise(
+    known = F.col("_ln_f").isNotNull() & (at >= 0) & (at < F.col("_ln_rows"))
+    matched = F.when(known, row).otherwise(
         F.raise_error(F.lit("landing split was cut differently on its second scan"))
     )
     keep = [c for c in tagged.columns if c not in ("_ln_block", "_ln_id")]
-    return joined.where(F.col("_ln_f").isNull() | (place >= 0)).select(
-        *keep, "_ln_header", matched.cast("bigint").alias(name)
-    )
+    in_header = F.coalesce(known & (place < 0), F.lit(False))
+    return joined.where(~in_header).select(*keep, "_ln_header", matched.cast("bigint").alias(name))
 
 
 def number_tagged(
@@ -180,6 +225,7 @@ def number_tagged(
     start: int = FIRST_DATA_ROW,
     name: str = "source_row",
     per_file: bool = False,
+    index: DataFrame | None = None,
 ) -> DataFrame:
     """Physical row numbers from the tags of ``tag_rows``.
 
@@ -187,7 +233,8 @@ def number_tagged(
     all files (files of one period continue one another, like the rows of
     one sheet) or restarts per file with ``per_file``.  Keeps ``_ln_file``.
     """
-    return _numbered(tagged, _splits(tagged, per_file), start, name).drop("_ln_header")
+    splits = split_index(tagged, per_file) if index is None else index
+    return _numbered(tagged, splits, start, name, index is not None).drop("_ln_header")
 
 
 def number_rows(df: DataFrame, start: int = FIRST_DATA_ROW, name: str = "source_row") -> DataFrame:
@@ -203,23 +250,31 @@ def read_landing(
     sources: Mapping[str, str] | Iterable[tuple[str, str]],
     fmt: str = "csv",
     options: Mapping[str, str] | None = None,
+    index_dir: str | None = None,
 ) -> DataFrame:
     """Read every period, check its header, number its rows, stack them.
 
+    Numbering needs the rows of each input split, from a scan of the lines.  This
+    split index is kept below ``index_dir`` (else in the shared folder), so that
+    later reads of the same files do not scan them for it again.
+
     Output: ``source_ordinal, source_period, source_row`` and the eight
     text cells named as in the landing header.  A period whose header is
     not exactly the expected set of names fails the whole load.
     """
     frames = []
+    index_dir = index_dir or scratch_path(spark, "splits")
     for ordinal, (period, path) in enumerate(_items(sources)):
         if fmt == "json":
-            numbered = _read_json_period(spark, path, period)
+            numbered = _read_json_period(spark, path, period, index_dir)
             kinds = [F.col(f"`{KIND_PREFIX}{h}`") for h in RAW_HEADERS]
         else:
             if fmt != "csv":
                 raise ValueError(f"unsupported landing format: {fmt!r}")
             # directly on the file scan (``_metadata``)
-            numbered = csv_cells(tag_rows(spark.read.text(path)), period, options or {})
+            tagged = tag_rows(spark.read.text(path))
+            index = stored_split_index(spark, tagged, path, index_dir, headers=True)
+            numbered = csv_cells(tagged, period, options or {}, index=index)
             kinds = []
         frames.append(
             numbered.select(
