@@ -64,16 +64,119 @@ def check_headers(columns: list[str], period: str, file: str | None = None) -> N
         raise ValueError(f"Unexpected columns in sheet '{period}': {tuple(found)}{where}")
 
 
+CHECKED_CELLS = ["Quantity", "Price", "InvoiceDate", "Customer ID"]
+TEXT_HEADERS = [h for h in RAW_HEADERS if h not in CHECKED_CELLS]
+VALUES = list(HEADER_MAP.values())
+
+
+def _text(header: str):
+    return F.nullif(N.strip_text(_cell(header)), F.lit(""))
+
+
+def _common_row() -> dict:
+    """The values of a row in common form, by curated column name."""
+    typed = N.common_values(*[_cell(h) for h in CHECKED_CELLS])
+    return {HEADER_MAP[h]: _text(h) for h in TEXT_HEADERS} | typed
+
+
+def _is_common():
+    return N.in_common_form(*[_cell(h) for h in CHECKED_CELLS])
+
+
+def _layout(raw: DataFrame) -> tuple[list[str], list[str], bool]:
+    """Key columns, the cells in file order, and whether cells have types."""
+    check_headers(raw.columns, "<input>")
+    keys = [c for c in (ORDINAL,) if c in raw.columns] + ["source_period", "source_row"]
+    return keys, [c for c in raw.columns if c in HEADER_MAP], all(f"{KIND_PREFIX}{h}" in raw.columns for h in RAW_HEADERS)
+
+
+def _nothing(name: str):
+    return F.lit(None).cast("string").alias(name)
+
+
+def common_lane(raw: DataFrame) -> DataFrame:
+    """The rows in common form: a short projection of casts, compiled as a whole.
+
+    Such a row has no error, so its original cells are not kept.
+    """
+    keys, cells, _ = _layout(raw)
+    values = _common_row()
+    carried = [f"{p}{h}" for p in (RAW_PREFIX, KIND_PREFIX) for h in cells]
+    return raw.where(_is_common()).select(
+        *keys, *[values[v].alias(v) for v in VALUES], _nothing("error"), *[_nothing(c) for c in carried]
+    )
+
+
+def first_pass(raw: DataFrame) -> DataFrame:
+    """Every row once: values of the rows in common form, original cells of the others.
+
+    ``_common`` tells them apart.  Written, it lets both lanes be read without a
+    second parse of the landing files; see ``second_pass``.
+    """
+    keys, cells, typed = _layout(raw)
+    values = _common_row()
+    common = F.col("_common")
+    kind = (lambda h: F.col(f"`{KIND_PREFIX}{h}`")) if typed else (lambda h: F.lit("text"))
+    return raw.withColumn("_common", _is_common()).select(
+        *keys,
+        "_common",
+        *[F.when(common, values[v]).alias(v) for v in VALUES],
+        *[F.when(~common, _cell(h)).alias(f"{RAW_PREFIX}{h}") for h in cells],
+        *[F.when(~common, kind(h)).alias(f"{KIND_PREFIX}{h}") for h in cells],
+    )
+
+
+def second_pass(first: DataFrame) -> DataFrame:
+    """The checked rows of ``first_pass`` that are not in common form."""
+    keys = [c for c in (ORDINAL, "source_period", "source_row") if c in first.columns]
+    cells = [c[len(RAW_PREFIX):] for c in first.columns if c.startswith(RAW_PREFIX)]
+    raw = first.where("not _common").select(
+        *keys,
+        *[F.col(f"`{RAW_PREFIX}{h}`").alias(h) for h in cells],
+        *[F.col(f"`{KIND_PREFIX}{h}`") for h in cells],
+    )
+    return full_lane(raw, only_uncommon=False)
+
+
+def common_part(first: DataFrame) -> DataFrame:
+    """The checked rows of ``first_pass`` in common form."""
+    cells = [c for c in first.columns if c.startswith((RAW_PREFIX, KIND_PREFIX))]
+    keys = [c for c in (ORDINAL, "source_period", "source_row") if c in first.columns]
+    return first.where("_common").select(*keys, *VALUES, _nothing("error"), *[_nothing(c) for c in cells])
+
+
 def normalise(raw: DataFrame) -> Normalised:
     """Validate and type landing rows.
 
     ``raw`` has ``source_period``, ``source_row`` (optional
     ``source_ordinal``) and the eight text cells named as in ``HEADER_MAP``.
+
+    Rows whose checked cells are all in the usual form take a short lane of
+    plain casts; the others take the full rules.  Both lanes give what the full
+    rules give; ``checked`` keeps original cells only where the full rules ran.
     """
-    check_headers(raw.columns, "<input>")
-    keys = [c for c in (ORDINAL,) if c in raw.columns]
-    cell_order = [c for c in raw.columns if c in HEADER_MAP]  # as in the file
-    typed = all(f"{KIND_PREFIX}{h}" in raw.columns for h in RAW_HEADERS)
+    checked = common_lane(raw).unionByName(full_lane(raw))
+    # Run counters ride along with the first action over ``checked``.  The
+    # observation node is also where Catalyst stops pushing the staged /
+    # quarantine filters down: without it ``error IS NULL`` would be inlined
+    # below the projections as a second copy of the whole validation.
+    counters = Observation(f"ingest_{uuid.uuid4().hex[:12]}")
+    ok = F.col("error").isNull()
+    checked = checked.observe(
+        counters,
+        F.count(F.lit(1)).alias("source_rows"),
+        F.count_if(ok).alias("staged_rows"),
+        F.count_if(~ok).alias("quarantined_rows"),
+    )
+    staged, quarantine = split_checked(checked)
+    return Normalised(checked, staged, quarantine, counters)
+
+
+def full_lane(raw: DataFrame, only_uncommon: bool = True) -> DataFrame:
+    """Checked rows by the full rules, of all rows or of those not in common form."""
+    keys, cell_order, typed = _layout(raw)
+    if only_uncommon:
+        raw = raw.where(~_is_common())
 
     def kind(header: str):
         return F.col(f"`{KIND_PREFIX}{header}`") if typed else F.lit("text")
@@ -85,8 +188,6 @@ def normalise(raw: DataFrame) -> Normalised:
     # (A) stripped cells and the ISO groups of the date
     prepared = raw.select(
         *keys,
-        "source_period",
-        "source_row",
         *[_cell(h).alias(h) for h in RAW_HEADERS],
         *[N.strip_text(_cell(h)).alias(f"_s{idx[h]}") for h in RAW_HEADERS],
         *[N.strip_number_text(_cell(h)).alias(f"_n{idx[h]}") for h in NUMBER_HEADERS],
@@ -124,10 +225,8 @@ def normalise(raw: DataFrame) -> Normalised:
     def text(header: str):
         return F.nullif(stripped(header), F.lit(""))
 
-    checked = parsed.select(
+    return parsed.select(
         *keys,
-        "source_period",
-        "source_row",
         text("Invoice").alias("invoice_no"),
         text("StockCode").alias("stock_code"),
         text("Description").alias("description"),
@@ -144,20 +243,6 @@ def normalise(raw: DataFrame) -> Normalised:
         *[_cell(h).alias(f"{RAW_PREFIX}{h}") for h in cell_order],
         *[kind_col(h).alias(f"{KIND_PREFIX}{h}") for h in cell_order],
     )
-    # Run counters ride along with the first action over ``checked``.  The
-    # observation node is also where Catalyst stops pushing the staged /
-    # quarantine filters down: without it ``error IS NULL`` would be inlined
-    # below the projections as a second copy of the whole validation.
-    counters = Observation(f"ingest_{uuid.uuid4().hex[:12]}")
-    ok = F.col("error").isNull()
-    checked = checked.observe(
-        counters,
-        F.count(F.lit(1)).alias("source_rows"),
-        F.count_if(ok).alias("staged_rows"),
-        F.count_if(~ok).alias("quarantined_rows"),
-    )
-    staged, quarantine = split_checked(checked)
-    return Normalised(checked, staged, quarantine, counters)
 
 
 def split_checked(checked: DataFrame) -> tuple[DataFrame, DataFrame]:

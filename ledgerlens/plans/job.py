@@ -5,9 +5,9 @@
         --input "Year 2010-2011=s3://bucket/landing/2010" \
         --output s3://bucket/curated/retail_transactions.parquet
 
-Passes over the data: (1) read + number + validate every landing row once
-and write the checked rows to the shared checkpoint folder (the run
-counters ride along as observed metrics); (2) number and flag the staged
+Passes over the data: (1) read + number every landing row once, type the rows
+in common form, run the full rules over the others, and write the checked rows
+to the shared checkpoint folder; (2) number and flag the staged
 rows and write the curated ZSTD Parquet; (3) write the quarantined rows as
 CSV when there are any; (4) a column-pruned aggregate over the curated
 output for the quality report, written as one JSON object.
@@ -27,7 +27,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.ingest import curate, normalise, split_checked
+from ..operators.ingest import common_part, curate, first_pass, second_pass, split_checked
 from ..operators.quality import quality_summary
 from ..session import delete_path, get_session, path_exists, scratch_path
 from ..sources.landing import read_landing
@@ -53,18 +53,22 @@ def output_paths(output: str) -> dict[str, str]:
 def stage_landing(raw: DataFrame, path: str | None = None) -> tuple[DataFrame, DataFrame, dict]:
     """Validate landing rows once; return (staged, quarantine, run counters).
 
-    The checked rows are written to the shared checkpoint folder in one
-    pass (which also fills the observed counters), so the staged rows, the
-    quarantine and the id offsets all read that table instead of re-running
-    the validation.
+    The landing rows are read and parsed in one pass, which types the rows in
+    common form and keeps the cells of the others.  The full rules run over those
+    others only.  Both results are written to the shared checkpoint folder, so
+    the staged rows, the quarantine and the id offsets read them instead of
+    validating again.
     """
-    checked_rows = normalise(raw)
     spark = raw.sparkSession
     path = path or scratch_path(spark, "checked")
-    checked_rows.checked.write.mode("overwrite").parquet(path)
-    checked = spark.read.parquet(path)
+    first_pass(raw).write.mode("overwrite").parquet(f"{path}/first")
+    first = spark.read.parquet(f"{path}/first")
+    second_pass(first).write.mode("overwrite").parquet(f"{path}/second")
+    checked = common_part(first).unionByName(spark.read.parquet(f"{path}/second"))
     staged, quarantine = split_checked(checked)
-    return staged, quarantine, checked_rows.counters.get
+    bad = F.col("error").isNotNull()
+    counted = checked.agg(F.count(F.lit(1)).alias("source_rows"), F.count_if(~bad).alias("staged_rows"), F.count_if(bad).alias("quarantined_rows"))
+    return staged, quarantine, counted.first().asDict()
 
 
 def _items(sources: Mapping[str, str] | Iterable[tuple[str, str]]) -> list[tuple[str, str]]:
