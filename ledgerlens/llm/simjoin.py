@@ -16,8 +16,9 @@ Sets are linked when ``100 * overlap >= 80 * union`` (the same as
    differ in at least as many elements as the bitmaps in bits.
 4. One surviving partner for each set is verified exactly on sorted arrays; the
    verified links give components.  Then every surviving pair between different
-   components is verified, and in the large tiles all members outside the main
-   component are compared by bitmap, in blocks, with all others.
+   components is verified, and in the large tiles, grouped by their members, all
+   members outside the main component are compared by bitmap, in blocks, with
+   all others.
 5. Components of all verified links.
 
 No pair of different components is left out, so the result equals that of all
@@ -293,13 +294,27 @@ def _block_pairs(key: tuple, table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=_PAIRS)
 
 
+def tile_groups(members: DataFrame) -> DataFrame:
+    """Members of large tiles by groups of tiles: ``tok`` is the group, ``most`` the loosest bound in it.
+
+    The elements of one passage, or of one family of copies, make tiles with
+    nearly the same members.  Tiles whose members have the same least set id, by
+    hash, become one group, so such tiles compare their members once instead of
+    once each.  Sets that meet in a tile meet in its group, so no pair is lost.
+    """
+    least = members.groupBy("tok").agg(F.min(F.struct(F.xxhash64("sid").alias("h"), "sid")).alias("m"))
+    grouped = members.join(least.select("tok", F.col("m.sid").alias("group")), "tok").groupBy("group", "sid", "band", "size")
+    return grouped.agg(F.max("most").alias("most")).withColumnRenamed("group", "tok")
+
+
 def rest_pairs(members: DataFrame, labels: DataFrame, items: DataFrame, name: str) -> DataFrame:
     """Possible links between different components inside large tiles.
 
-    In each tile the members outside its main component are compared by bitmap
-    with all others, block by block; a member whose prefix position rules out
-    every size in the tile is left out.
+    In each group of tiles the members outside its main component are compared
+    by bitmap with all others, block by block; a member whose prefix position
+    rules out every size in the group is left out.
     """
+    members = materialize(tile_groups(members), f"{name}-groups")
     named = members.join(labels.withColumnRenamed("id", "sid"), "sid", "left")
     named = named.withColumn("label", F.coalesce("label", "sid"))
     spread = materialize(
@@ -322,7 +337,7 @@ def rest_pairs(members: DataFrame, labels: DataFrame, items: DataFrame, name: st
     cols = ["tok", "band", "sid", "label", "size", "most"]
     left = rest.join(counts, ["tok", "band"]).select(*cols, F.lit(0).alias("side"), own("r").alias("i"), every("n").alias("j"))
     right = mixed.join(counts, ["tok", "band"]).select(*cols, F.lit(1).alias("side"), own("n").alias("j"), every("r").alias("i"))
-    # a set's tiles: no more than it has tokens
+    # a set's groups: no more than it has tokens, as a rule a few
     tiles_of = members.groupBy("sid").agg(F.collect_set(F.struct("tok", "most")).alias("tiles"))
     both = left.unionByName(right).join(items.select("sid", "bits"), "sid").join(tiles_of, "sid")
     return both.groupBy("tok", "band", "i", "j").applyInArrow(_block_pairs, "a long, b long").distinct()

@@ -198,3 +198,26 @@ def test_empty_tables(no_docs):
     assert ngram_join.ngram_jaccard_components(no_docs).count() == 0
     assert substring_dedup.repeated_spans(no_docs).count() == 0
     assert substring_dedup.without_repeats(no_docs).count() == 0
+
+
+def test_tiles_with_much_the_same_members_are_one_group(spark):
+    rng = np.random.default_rng(4)
+    rows, passages = [], 30
+    for sid in range(400):
+        # the elements of one passage make 20 tiles; a prefix may end inside a passage
+        for passage in sorted(rng.choice(passages, 4, replace=False))[:3]:
+            for element in range(int(rng.integers(12, 21))):
+                rows.append((int(passage * 100 + element), sid, 25, 300, 320 + int(element), 0))
+    members = spark.createDataFrame(rows, "tok long, sid long, band int, size int, most int, rare int")
+    grouped = simjoin.tile_groups(members)
+    assert grouped.columns == ["tok", "sid", "band", "size", "most"]
+    cells = {(r.tok, r.sid): r.most for r in grouped.collect()}
+    tiles, groups = {}, {}
+    for tok, sid, _, _, most, _ in rows:
+        tiles.setdefault(tok, {})[sid] = most
+    for (group, sid), most in cells.items():
+        groups.setdefault(group, {})[sid] = most
+    # the members of each tile, with bounds no tighter, are together in a group
+    for own in tiles.values():
+        assert any(all(g.get(sid, -1) >= most for sid, most in own.items()) for g in groups.values())
+    assert 8 * len(cells) < len(rows)
