@@ -11,21 +11,24 @@ Quintile scores (tie-aware RFM scores)
 ``percent_rank(x) = less(x) / (N - 1)``, where ``less(x)`` counts rows whose
 value is strictly smaller.  The score is a non-decreasing step function of
 ``x``, so it is fully described by at most five break values — the smallest
-``x`` reaching each score.  We find them exactly:
-
-1. histogram: ``groupBy(metric, x).count()`` — one row per distinct value,
-   partial aggregation absorbs hot values;
-2. row total ``N`` and approximate quantiles of the *distinct* values as
-   bucket bounds, one aggregate over the histogram on the executors;
-3. bucket = position of ``x`` among the literal bounds (a balanced
-   comparison tree, O(log K)); running count inside a bucket by a window
-   partitioned by (metric, bucket); bucket offsets from a table of at most
-   ``metrics × K`` rows (broadcast — its size is fixed by K, not by data);
-4. ``groupBy(metric, score).min(x)`` → at most 5 rows per metric.
+``x`` reaching each score: the value after the ``k``-th smallest one, for a
+``k`` that follows from ``N`` alone.  All of them are selected together:
+
+1. one aggregate gives each metric's ``N``, least and greatest value;
+2. each open range, at first the whole one, is cut into a fixed number of equal
+   parts; one aggregate counts the rows of each part and keeps its least and
+   greatest value;
+3. the part that holds the ``k``-th value is the next range.  Once its least
+   and greatest value are equal, that is the value, and the next part's least
+   value is the break.
+
+Every step is a grouped aggregate with at most ``metrics × 4 × PARTS`` result
+rows, whatever the number of rows: no sort, no window, no sampled bounds.  Three
+or four steps reach a value, as each makes a range ``PARTS`` times shorter.
 
 Applying the breaks is then a plain CASE expression on each input row — no
-join back to the (customer-sized) input.  Bounds are literals, so re-running
-a task after executor loss assigns the same buckets.
+join back to the (customer-sized) input.  Range ends are literals that occur in
+the data, so re-running a task after executor loss counts the same.
 
 Row numbers
 -----------
@@ -43,7 +46,9 @@ intermediate.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,7 +56,7 @@ from pyspark.sql import functions as F
 from ..session import materialize, shuffle_partitions
 
 SCORE_LEVELS = 5
-BUCKET_ROWS = 1 << 22  # input rows for each value bucket
+PARTS = 1024  # parts of a range in one step of the selection
 _LOCAL_BITS = 33  # monotonically_increasing_id = partition << 33 | row in partition
 
 
@@ -60,38 +65,39 @@ _LOCAL_BITS = 33  # monotonically_increasing_id = partition << 33 | row in parti
 # --------------------------------------------------------------------------
 
 
-def _bucket_of(x: Column, bounds: Sequence[float]) -> Column:
-    """Index of the bucket holding ``x``: number of bounds ``<= x``.
-
-    Built as a balanced tree of comparisons so each row does log2(K) tests.
-    """
+class _Range(NamedTuple):
+    """Where the value of one rank lies: closed bounds, rows below, the least value above."""
 
-    def build(lo: int, hi: int) -> Column:
-        # bucket index is in [lo, hi]; bounds[lo..hi-1] separate them
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi + 1) // 2
-        return F.when(x >= F.lit(float(bounds[mid - 1])), build(mid, hi)).otherwise(
-            build(lo, mid - 1)
-        )
+    low: float
+    high: float
+    below: int
+    above: float | None
 
-    return build(0, len(bounds))
 
+def least_rank(total: int, score: int, levels: int) -> int:
+    """How many smaller values a value needs to reach ``score``, with the arithmetic of ``percent_rank``."""
+    rank = max(0, (score - 1) * (total - 1) // levels - 1)
+    while rank < total and math.floor(rank / max(total - 1, 1) * float(levels)) < score - 1:
+        rank += 1
+    return rank
 
-def _percent_rank_score(less: Column, total: Column, levels: int) -> Column:
-    pr = F.when(total > 1, less.cast("double") / (total - 1).cast("double")).otherwise(
-        F.lit(0.0)
-    )
-    return F.least(F.lit(levels), F.floor(pr * F.lit(float(levels))).cast("int") + 1)
 
+def _part_of(x: Column, low: float, high: float, parts: int) -> Column:
+    """The part of ``[low, high]`` that holds ``x``; the greatest value has one of its own."""
+    width = high * 0.5 - low * 0.5
+    if not width:  # neighbouring values
+        return F.when(x > F.lit(low), F.lit(parts)).otherwise(F.lit(0))
+    return F.floor((x * F.lit(0.5) - F.lit(low * 0.5)) / F.lit(width) * F.lit(float(parts))).cast("int")
 
-def bucket_count(rows: int, bucket_rows: int = BUCKET_ROWS) -> int:
-    """Number of value buckets K for so many rows: it grows with them, a bucket does not."""
-    return max(1, -(-rows // bucket_rows))
 
-
-def bucket_probabilities(k: int) -> list[float]:
-    return [i / k for i in range(1, k)]
+def _refined(at: _Range, rank: int, parts: list[tuple[int, float, float]]) -> _Range:
+    """The part with the ``rank``-th smallest value (from one), given ``(rows, least, greatest)`` in order."""
+    below, ends = at.below, [least for _, least, _ in parts[1:]] + [at.above]
+    for (rows, least, greatest), above in zip(parts, ends):
+        if below + rows >= rank:
+            return _Range(least, greatest, below, above)
+        below += rows
+    raise RuntimeError("the input changed between two steps of the selection")
 
 
 def score_breaks(
@@ -102,84 +108,56 @@ def score_breaks(
 ) -> dict[str, list[tuple[float, int]]]:
     """Exact break values of the tie-aware ``levels``-quantile score.
 
-    Returns, per column, ``[(min value, score), …]`` ascending.  Three small
-    actions run: the row count, which sets the number of buckets unless it is
-    given, one aggregate of the distinct-value histogram (returns
-    ``len(columns)`` rows of at most ``buckets`` bounds) and the final
-    ``≤ levels × len(columns)``-row collect.  Pass a materialised ``df`` when
-    it is expensive to recompute.
+    Returns, per column, ``[(min value, score), …]`` ascending.  ``buckets``
+    sets the number of parts of a range (``PARTS``).  A few small actions run,
+    see the module's description; pass a materialised ``df`` when it is
+    expensive to recompute.  NULLs have no rank; values must be finite.
     """
-    k = buckets or bucket_count(df.count())
-    pairs = F.explode(
-        F.array(
-            *[
-                F.struct(F.lit(i).alias("m"), F.col(c).cast("double").alias("x"))
-                for i, c in enumerate(columns)
-            ]
-        )
-    )
-    hist = (
-        df.select(pairs.alias("p"))
-        .select("p.m", "p.x")
-        .where(F.col("x").isNotNull())
-        .groupBy("m", "x")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-
-    probs = bucket_probabilities(k)
-    stats_cols = [F.sum("n").alias("total")]
-    if probs:
-        # bounds need not be exact: an error of a quarter bucket is enough
-        stats_cols.append(F.percentile_approx("x", probs, max(100, 4 * k)).alias("bounds"))
-    stats = {
-        row["m"]: (int(row["total"]), list(row["bounds"] or []) if probs else [])
-        for row in hist.groupBy("m").agg(*stats_cols).collect()
-    }
-    if not stats:
-        return {c: [] for c in columns}
-
-    bucket_expr = None
-    total_expr = None
-    for m, (total, raw_bounds) in stats.items():
-        bounds = sorted(set(raw_bounds))
-        b = _bucket_of(F.col("x"), bounds)
-        t = F.lit(total)
-        bucket_expr = F.when(F.col("m") == m, b) if bucket_expr is None else bucket_expr.when(
-            F.col("m") == m, b
-        )
-        total_expr = F.when(F.col("m") == m, t) if total_expr is None else total_expr.when(
-            F.col("m") == m, t
-        )
-
-    bucketed = hist.withColumns({"bucket": bucket_expr, "total": total_expr})
-    in_bucket = Window.partitionBy("m", "bucket").orderBy("x").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    ranked = bucketed.withColumn(
-        "below_in_bucket", F.coalesce(F.sum("n").over(in_bucket), F.lit(0))
-    )
-    # at most metrics × K rows: bounded by our own K, safe to broadcast
-    earlier = Window.partitionBy("m").orderBy("bucket").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    offsets = (
-        bucketed.groupBy("m", "bucket")
-        .agg(F.sum("n").alias("bucket_rows"))
-        .withColumn("before_bucket", F.coalesce(F.sum("bucket_rows").over(earlier), F.lit(0)))
-        .drop("bucket_rows")
-    )
-    scored = ranked.join(F.broadcast(offsets), ["m", "bucket"]).withColumn(
-        "score",
-        _percent_rank_score(
-            F.col("before_bucket") + F.col("below_in_bucket"), F.col("total"), levels
-        ),
-    )
-    rows = scored.groupBy("m", "score").agg(F.min("x").alias("x")).collect()
+    parts = max(2, buckets or PARTS)
+    x = [F.col(c).cast("double") for c in columns]
+    bounds = df.agg(*[f(v).alias(f"{n}{i}") for i, v in enumerate(x) for n, f in (("n", F.count), ("low", F.min), ("high", F.max))]).first()
     out: dict[str, list[tuple[float, int]]] = {c: [] for c in columns}
-    for row in rows:
-        out[columns[row["m"]]].append((float(row["x"]), int(row["score"])))
+    ranges: dict[tuple[int, int], tuple[int, _Range]] = {}
+    for i, c in enumerate(columns):
+        total, low, high = bounds[f"n{i}"], bounds[f"low{i}"], bounds[f"high{i}"]
+        if not total:
+            continue
+        if not (math.isfinite(low) and math.isfinite(high)):
+            raise ValueError(f"{c} has values that are not finite")
+        out[c].append((low, 1))
+        for score in range(2, levels + 1):
+            rank = least_rank(total, score, levels)
+            if 0 < rank < total:
+                ranges[i, score] = (rank, _Range(low, high, 0, None))
+            elif rank == 0:
+                out[c].append((low, score))
+    while ranges:
+        wanted = sorted({(i, at.low, at.high) for (i, _), (_, at) in ranges.items() if at.low < at.high})
+        counted: dict[int, list] = {k: [] for k in range(len(wanted))}
+        if wanted:
+            cells = [
+                F.when(x[i].between(low, high), F.struct(F.lit(k).alias("k"), _part_of(x[i], low, high, parts).alias("part"), x[i].alias("x")))
+                for k, (i, low, high) in enumerate(wanted)
+            ]
+            rows = df.select(F.explode(F.array_compact(F.array(*cells))).alias("c")).select("c.k", "c.part", "c.x")
+            for row in rows.groupBy("k", "part").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).collect():
+                counted[row.k].append((row.part, row.n, row.low, row.high))
+        by_range = {w: [cell[1:] for cell in sorted(counted[k])] for k, w in enumerate(wanted)}
+        open_ranges = {}
+        for (i, score), (rank, at) in ranges.items():
+            if at.low < at.high:
+                at = _refined(at, rank, by_range[i, at.low, at.high])
+            if at.low < at.high:
+                open_ranges[i, score] = (rank, at)
+            elif at.above is not None:
+                out[columns[i]].append((at.above, score))
+        ranges = open_ranges
     for c in columns:
-        out[c].sort()
+        # the highest score of a value counts
+        best = {}
+        for value, score in sorted(out[c]):
+            best[float(value)] = score
+        out[c] = sorted(best.items())
     return out
 
 

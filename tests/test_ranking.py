@@ -12,6 +12,7 @@ from ledgerlens.operators.ranking import (
     quantile_scores,
     row_number_by,
     row_number_by_position,
+    score_breaks,
     window_quantile_scores,
 )
 
@@ -37,6 +38,44 @@ def test_distributed_scores_equal_percent_rank_window(spark, seed, n, hot, bucke
     assert want.exceptAll(got).count() == 0
 
 
+def test_scores_of_awkward_values_equal_the_window(spark):
+    rng = random.Random(6)
+    wide = [rng.choice([-1, 1]) * 10.0 ** rng.randint(-300, 300) * rng.random() for _ in range(400)] + [5e-324, 1e-323, 0.0, -0.0, 1.7e308, -1.7e308]
+    values = [
+        wide, [3.0] * 50, [1.0, 2.0], [7.0], [float(i) for i in range(11)], [1.0] * 99 + [2.0], [1.0] + [2.0] * 99,
+        [0.1 + 0.2, 0.3] * 20, [1e300, 1e300 * (1 + 2**-52)] * 30, [rng.randint(0, 5) + 0.0 for _ in range(301)],
+    ]
+    for column in values:
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(column)], "id long, x double").repartition(4)
+        for buckets in (None, 3):
+            got = quantile_scores(df, ["x"], ["s"], [False], buckets=buckets)
+            want = window_quantile_scores(df, ["x"], ["s"], [False])
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())), (column[:5], buckets)
+
+
+def test_few_steps_reach_the_breaks(spark):
+    rng = random.Random(7)
+    df = spark.createDataFrame([(round(rng.uniform(0, 1e5), 2),) for _ in range(20000)], "x double").cache()
+    steps = []
+    real = type(df).collect
+    try:
+        type(df).collect = lambda self: steps.append(1) or real(self)
+        breaks = score_breaks(df, ["x"])["x"]
+    finally:
+        type(df).collect = real
+    # a thousandth of the range for each step: 10,000,000 possible values need three
+    assert len(breaks) == 5 and len(steps) <= 4
+
+
+def test_scores_without_values_or_with_nulls(spark):
+    df = spark.createDataFrame([(1, None), (2, 4.0), (3, 9.0), (4, None)], "id long, x double")
+    assert {r.id: r.s for r in quantile_scores(df, ["x"], ["s"]).collect()} == {1: None, 2: 1, 3: 5, 4: None}
+    none = df.where("x is null")
+    assert {r.s for r in quantile_scores(none, ["x"], ["s"]).collect()} == {None}
+    with pytest.raises(ValueError, match="not finite"):
+        quantile_scores(spark.createDataFrame([(float("inf"),), (1.0,)], "x double"), ["x"], ["s"])
+
+
 def test_scores_plan_has_no_single_partition_exchange(spark):
     df = _random_metrics(spark, 200, 9)
     out = quantile_scores(df, ["a"], ["sa"])
