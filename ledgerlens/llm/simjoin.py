@@ -15,8 +15,10 @@ Sets are linked when ``100 * overlap >= 80 * union`` (the same as
 3. A parity bitmap of each set bounds a pair's overlap from above: the sets
    differ in at least as many elements as the bitmaps in bits.
 4. One surviving partner for each set is verified exactly on sorted arrays; the
-   verified links give components.  Then every surviving pair between different
-   components is verified, and in the large tiles, grouped by their members, all
+   verified links give components.  In the large tiles, members outside the main
+   component are tried with a few members of it.  Then every surviving pair
+   between different components is verified, one for each two components first,
+   and in the large tiles, grouped by their members, all
    members outside the main component are compared by bitmap, in blocks, with
    all others.
 5. Components of all verified links.
@@ -41,6 +43,7 @@ from .textops import U64
 
 TILE_PAIRS = 8
 BLOCK = 512
+TRIES = 6
 UNCOUNTED = 256
 MEMBER = np.dtype([("tok", "<i8"), ("sid", "<i8"), ("size", "<i4"), ("most", "<i4"), ("rare", "<i4")])
 POSTING = np.dtype([("tok", "<u4"), ("sid", "<i8"), ("size", "<i4"), ("posted", "<u2")])
@@ -307,15 +310,12 @@ def tile_groups(members: DataFrame) -> DataFrame:
     return grouped.agg(F.max("most").alias("most")).withColumnRenamed("group", "tok")
 
 
-def rest_pairs(members: DataFrame, labels: DataFrame, items: DataFrame, name: str) -> DataFrame:
-    """Possible links between different components inside large tiles.
+def mixed_groups(groups: DataFrame, labels: DataFrame, name: str) -> DataFrame:
+    """Members of the groups and bands with several components: ``label``, the group's ``main`` one, ``n``, ``low``.
 
-    In each group of tiles the members outside its main component are compared
-    by bitmap with all others, block by block; a member whose prefix position
-    rules out every size in the group is left out.
+    ``main`` has the most members, ``low`` is the least size in the group.
     """
-    members = materialize(tile_groups(members), f"{name}-groups")
-    named = members.join(labels.withColumnRenamed("id", "sid"), "sid", "left")
+    named = groups.join(labels.withColumnRenamed("id", "sid"), "sid", "left")
     named = named.withColumn("label", F.coalesce("label", "sid"))
     spread = materialize(
         named.select("sid", "label", "size", "most", "tok", F.explode(F.array("band", F.col("band") + 1)).alias("band")),
@@ -328,7 +328,34 @@ def rest_pairs(members: DataFrame, labels: DataFrame, items: DataFrame, name: st
         .where("k > 1")
         .select("tok", "band", "n", "main", "low")
     )
-    mixed = materialize(spread.join(tiles, ["tok", "band"]), f"{name}-mixed")
+    return materialize(spread.join(tiles, ["tok", "band"]), f"{name}-mixed")
+
+
+def tried_pairs(mixed: DataFrame, tries: int = TRIES) -> DataFrame:
+    """Each member outside its group's main component with ``tries`` members of that component.
+
+    The least of several hashes choose them.  Most copies of one family link with
+    one of them, so that few members are left for the comparison with all.
+    """
+    least = [F.min(F.struct(F.xxhash64("sid", F.lit(k)).alias("h"), "sid")).alias(f"m{k}") for k in range(tries)]
+    chosen = mixed.where("label = main").groupBy("tok", "band").agg(*least)
+    chosen = chosen.select("tok", "band", F.array_distinct(F.array(*[F.col(f"m{k}.sid") for k in range(tries)])).alias("hubs"))
+    rest = mixed.where("label <> main and most >= low").select("tok", "band", "sid")
+    return rest.join(chosen, ["tok", "band"]).select("sid", F.explode("hubs").alias("hub")).select(*_ordered("sid", "hub")).distinct()
+
+
+def rest_pairs(members: DataFrame, labels: DataFrame, items: DataFrame, name: str) -> DataFrame:
+    """Possible links between different components inside large tiles, without any link tried before."""
+    return block_pairs(mixed_groups(materialize(tile_groups(members), f"{name}-groups"), labels, name), items)
+
+
+def block_pairs(mixed: DataFrame, items: DataFrame) -> DataFrame:
+    """Possible links between different components inside the groups.
+
+    In each group of tiles the members outside its main component are compared
+    by bitmap with all others, block by block; a member whose prefix position
+    rules out every size in the group is left out.
+    """
     rest = mixed.where("label <> main and most >= low")
     counts = rest.groupBy("tok", "band").agg(F.count(F.lit(1)).alias("r"))
     chunk = lambda n: F.ceil(F.col(n) / BLOCK)
@@ -337,8 +364,10 @@ def rest_pairs(members: DataFrame, labels: DataFrame, items: DataFrame, name: st
     cols = ["tok", "band", "sid", "label", "size", "most"]
     left = rest.join(counts, ["tok", "band"]).select(*cols, F.lit(0).alias("side"), own("r").alias("i"), every("n").alias("j"))
     right = mixed.join(counts, ["tok", "band"]).select(*cols, F.lit(1).alias("side"), own("n").alias("j"), every("r").alias("i"))
-    # a set's groups: no more than it has tokens, as a rule a few
-    tiles_of = members.groupBy("sid").agg(F.collect_set(F.struct("tok", "most")).alias("tiles"))
+    # a set's groups: no more than it has tokens, as a rule a few; a group that does
+    # not compare its members gives no pair, so it need not be known
+    own_groups = mixed.select("sid", "tok", "most").distinct()
+    tiles_of = own_groups.groupBy("sid").agg(F.collect_set(F.struct("tok", "most")).alias("tiles"))
     both = left.unionByName(right).join(items.select("sid", "bits"), "sid").join(tiles_of, "sid")
     return both.groupBy("tok", "band", "i", "j").applyInArrow(_block_pairs, "a long, b long").distinct()
 
@@ -362,16 +391,35 @@ def linked_components(
     first = survivors.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = materialize(verified_pairs(first, sets), f"{name}-links")
     labels = components(links, name)
-    tried = first.select("a", "b")
+    groups = materialize(tile_groups(members), f"{name}-groups")
+    tried = materialize(bounded_pairs(tried_pairs(mixed_groups(groups, labels, name)), items), f"{name}-tried")
+    labels = _with_links(labels, tried, sets, name)
+    possible = materialize(survivors.unionByName(block_pairs(mixed_groups(groups, labels, name), items)).distinct(), f"{name}-possible")
+    # one pair for each two components comes first: those that it merges need no other
+    chosen = _between(possible, labels).groupBy(F.least("la", "lb").alias("la"), F.greatest("la", "lb").alias("lb"))
+    labels = _with_links(labels, chosen.agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b"), sets, name)
+    return _with_links(labels, possible, sets, name)
+
+
+def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs of different components, ``a, b, la, lb``."""
     la, lb = (labels.select(F.col("id").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
-    left = (
-        survivors.join(tried, ["a", "b"], "left_anti")
-        .unionByName(rest_pairs(members, labels, items, name))
-        .distinct()
-        .join(la, "a", "left")
-        .join(lb, "b", "left")
-        .where(F.coalesce("la", "a") != F.coalesce("lb", "b"))
-        .select("a", "b")
-    )
-    more = materialize(verified_pairs(left, sets), f"{name}-more")
-    return components(links.unionByName(more), name)
+    named = pairs.join(la, "a", "left").join(lb, "b", "left")
+    named = named.withColumns({"la": F.coalesce("la", "a"), "lb": F.coalesce("lb", "b")})
+    return named.where("la <> lb").select("a", "b", "la", "lb")
+
+
+def _with_links(labels: DataFrame, pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+    """The labels after the verification of those pairs that lie between components."""
+    between = materialize(_between(pairs, labels).select("a", "b"), f"{name}-between")
+    ends = between.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    needed = sets.join(ends, "sid", "left_semi")
+    more = materialize(verified_pairs(between, needed), f"{name}-more")
+    if more.isEmpty():
+        return labels
+    # a component is one node: its links are not walked again
+    named = _between(more, labels).select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    merged = components(named, name).withColumnRenamed("id", "old").withColumnRenamed("label", "new")
+    old = labels.unionByName(named.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(labels, "id", "left_anti").withColumn("label", F.col("id")))
+    fresh = old.join(merged, old["label"] == merged["old"], "left").select("id", F.coalesce("new", "label").alias("label"))
+    return materialize(fresh, f"{name}-labels")

@@ -23,7 +23,7 @@ from ..functions.curation import CURATED_SCHEMA, with_sale_flags
 from ..functions.numeric import cents
 from .ranking import row_number_by_position
 
-# Fixed landing header → curated column names.
+# fixed values: landing header → curated column names
 HEADER_MAP = {
     "Invoice": "invoice_no",
     "StockCode": "stock_code",
