@@ -72,6 +72,17 @@ def rfm_scores(
     return quantile_scores(source, METRIC_COLUMNS, SCORE_COLUMNS, SCORE_INVERTED)
 
 
+# the same rules as SQL text over r_score and f_score
+SEGMENT_SQL = f"""CASE
+    WHEN r_score >= 4 AND f_score >= 4 THEN '{SEGMENT_CHAMPIONS}'
+    WHEN f_score >= 4 THEN '{SEGMENT_LOYAL}'
+    WHEN r_score >= 4 AND f_score BETWEEN 2 AND 3 THEN '{SEGMENT_POTENTIAL}'
+    WHEN r_score = 5 AND f_score = 1 THEN '{SEGMENT_NEW}'
+    WHEN r_score <= 2 AND f_score >= 3 THEN '{SEGMENT_AT_RISK}'
+    WHEN r_score <= 2 THEN '{SEGMENT_HIBERNATING}'
+    ELSE '{SEGMENT_NEEDS_ATTENTION}' END"""
+
+
 def segment_of(r: Column, f: Column) -> Column:
     return (
         F.when((r >= 4) & (f >= 4), F.lit(SEGMENT_CHAMPIONS))

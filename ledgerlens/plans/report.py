@@ -26,6 +26,15 @@ from ..session import get_session, materialize
 from .job import read_lines
 
 
+# the page's results in order; without a matching sale it shows the gated ones only
+ALL_RESULTS = [
+    "bounds", "countries", "kpis", "monthly", "markets", "segments", "segment_summary",
+    "value_distribution", "cohort_retention", "cohort_matrix", "products", "products_chart",
+    "quality", "quality_signals",
+]
+GATED_RESULTS = ["bounds", "countries", "kpis", "quality", "quality_signals"]
+
+
 def page_results(
     lines: DataFrame,
     start: DateLike | None = None,
