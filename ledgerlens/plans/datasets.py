@@ -16,7 +16,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from ..session import delete_path, path_exists, scratch_path
@@ -29,7 +29,7 @@ def write_curated(
     df: DataFrame,
     path: str,
     sort_column: str | None = "invoice_timestamp",
-    cluster: bool = False,
+    cluster: bool | Column = False,
 ) -> None:
     """Write the curated table: ZSTD Parquet, overwrite, timestamp-sorted files.
 
@@ -38,14 +38,16 @@ def write_curated(
     skip row groups.  With ``cluster`` the rows are first range-partitioned
     on that column (one shuffle at build time), so every file covers its own
     date range and filters skip whole files — worth it for a table that is
-    built once and queried many times.  Parquet sizes row groups in bytes
+    built once and queried many times.  A column as ``cluster`` comes before
+    the sort column in both.  Parquet sizes row groups in bytes
     (``parquet.block.size``), not in a fixed row count.
     """
     out = df
     if sort_column in df.columns:
-        if cluster:
-            out = out.repartitionByRange(sort_column)
-        out = out.sortWithinPartitions(sort_column)
+        keys = [sort_column] if isinstance(cluster, bool) else [cluster, sort_column]
+        if not isinstance(cluster, bool) or cluster:
+            out = out.repartitionByRange(*keys)
+        out = out.sortWithinPartitions(*keys)
     out.write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 

@@ -27,11 +27,13 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.filters import DateLike
 from ..operators.ingest import common_part, curate, first_pass, second_pass, split_checked
 from ..operators.quality import quality_summary
 from ..session import delete_path, get_session, path_exists, scratch_path
 from ..sources.landing import read_landing
 from .datasets import write_curated
+from .manifest import curve_cells, read_needed, write_manifest
 from .versions import Version, current, input_digest, publish, replace_path
 
 TABLE = "lines.parquet"  # the curated table's name inside a version
@@ -90,7 +92,10 @@ def _write_outputs(
     try:
         raw = read_landing(spark, items, fmt, options, index_dir or f"{scratch}-splits")
         staged, quarantine, counters = stage_landing(raw, scratch)  # pass 1
-        write_curated(curate(staged), paths["curated"], cluster=True)  # pass 2
+        layout = curve_cells(staged) if "manifest" in paths else True
+        write_curated(curate(staged), paths["curated"], cluster=layout)  # pass 2
+        if "manifest" in paths:
+            write_manifest(spark, paths["curated"], paths["manifest"])
         if counters.get("quarantined_rows", 0) > 0:  # pass 3
             quarantine.write.option("header", "true").csv(paths["quarantine"])
     finally:
@@ -170,7 +175,7 @@ def publish_dataset(
     name = os.path.basename(root.rstrip("/"))
 
     def build(folder: str) -> dict:
-        paths = output_paths(f"{folder}/{TABLE}")
+        paths = _version_paths(folder)
         return _write_outputs(spark, items, paths, fmt, options, source_name, name, f"{root.rstrip('/')}/splits").first().asDict()
 
     return publish(spark, root, build, digest)
@@ -181,14 +186,36 @@ def published_paths(spark: SparkSession, root: str) -> dict[str, str]:
     found = current(spark, root)
     if found is None:
         raise FileNotFoundError(f"nothing is published below {root}")
-    return output_paths(f"{found.folder}/{TABLE}")
+    return _version_paths(found.folder)
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """The curated lines at ``path``: a Parquet table, or the root of published versions."""
-    if path_exists(spark, f"{path.rstrip('/')}/commits"):
-        path = published_paths(spark, path)["curated"]
-    return spark.read.parquet(path)
+def _version_paths(folder: str) -> dict[str, str]:
+    return output_paths(f"{folder}/{TABLE}") | {"manifest": f"{folder}/files.parquet"}
+
+
+def read_lines(
+    spark: SparkSession,
+    path: str,
+    start: DateLike | None = None,
+    end: DateLike | None = None,
+    countries: Iterable[str] | None = None,
+) -> DataFrame:
+    """The curated lines at ``path``: a Parquet table, or the root of published versions.
+
+    Of published lines only the files that can hold a line of the date range and
+    countries are opened; the caller still applies the filter.
+    """
+    if not path_exists(spark, f"{path.rstrip('/')}/commits"):
+        return spark.read.parquet(path)
+    paths = published_paths(spark, path)
+    if start is None and not countries:
+        return spark.read.parquet(paths["curated"])
+    return read_needed(spark, paths["curated"], spark.read.parquet(paths["manifest"]), start, end, countries)
+
+
+def read_manifest(spark: SparkSession, root: str) -> DataFrame:
+    """The file manifest of the current version."""
+    return spark.read.parquet(published_paths(spark, root)["manifest"])
 
 
 def parse_arguments(argv: list[str] | None = None) -> argparse.Namespace:
