@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, shuffle_partitions
-from .keyfilter import wanted
+from .keyfilter import key_bitmap, wanted
 from .rows import row_key
 from .simjoin import MEMBER, POSTING, bucket_rows, linked_components, parity_bitmap, tile_table
 from .textops import U64, chunks, mix, set_id, shingle_sets
@@ -135,16 +135,19 @@ def _postings(hot: np.ndarray, rank: np.ndarray, buckets: int):
 
 
 def _sets(bitmap: np.ndarray):
+    """The sets of those documents whose row key may be wanted; only these are hashed."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen = set()
-            for _, _, data, offsets in chunks(batch.column("text")):
+            may_be = wanted(bitmap, batch.column("key").to_numpy())
+            for _, _, data, offsets in chunks(batch.column("text").filter(pa.array(may_be))):
                 sids, cells = [], []
                 for values in shingle_sets(data, offsets):
                     if not len(values):
                         continue
                     sid = set_id(values)
-                    if int(sid) not in seen and wanted(bitmap, np.array([sid]))[0]:
+                    if int(sid) not in seen:
                         seen.add(int(sid))
                         sids.append(int(sid))
                         cells.append(values.tobytes())
@@ -182,10 +185,14 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     buckets = int(max(shuffle_partitions(spark), 0.2 * shingles * POSTING.itemsize // BUCKET_BYTES))
     tiles = tile_table(texts.select("text").mapInArrow(_postings(hot, rank, buckets), "bucket int, payload binary"), buckets, "join")
     grouped = rows.where("sid is not null").groupBy("sid")
-    items = materialize(grouped.agg(F.first("size").alias("size"), F.first("bits").alias("bits"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")), "join-items")
-    labels = linked_components(
-        tiles, items, lambda bitmap: texts.select("text").mapInArrow(_sets(bitmap), "sid long, elements binary"), "join"
-    )
+    items = materialize(grouped.agg(F.first("size").alias("size"), F.first("bits").alias("bits"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.min("key").alias("key")), "join-items")
+
+    def sets_of(ends: DataFrame) -> DataFrame:
+        """Sets by one document of each, found by its row key."""
+        bitmap = key_bitmap(items.join(ends, "sid", "left_semi"), "key")
+        return texts.select("key", "text").mapInArrow(_sets(bitmap), "sid long, elements binary")
+
+    labels = linked_components(tiles, items.select("sid", "size", "bits"), sets_of, "join")
     named = items.select("sid", "least", "copies").join(labels.withColumnRenamed("id", "sid"), "sid", "left")
     named = named.withColumn("label", F.coalesce("label", "sid"))
     least = named.groupBy("label").agg(F.min("least").alias("component"))

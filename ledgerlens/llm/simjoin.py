@@ -33,17 +33,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
 from .components import components
-from .keyfilter import key_bitmap
 from .textops import U64
 
 TILE_PAIRS = 8
 BLOCK = 512
-TRIES = 6
+TRIES = 4
 UNCOUNTED = 256
 MEMBER = np.dtype([("tok", "<i8"), ("sid", "<i8"), ("size", "<i4"), ("most", "<i4"), ("rare", "<i4")])
 POSTING = np.dtype([("tok", "<u4"), ("sid", "<i8"), ("size", "<i4"), ("posted", "<u2")])
@@ -218,6 +217,11 @@ def _ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def _near_sizes(a: str, b: str) -> Column:
+    """Whether sets of these sizes can be linked."""
+    return 9 * F.least(a, b).cast("long") >= 4 * (F.col(a).cast("long") + F.col(b))
+
+
 def listed_pairs(tiles: DataFrame, members: DataFrame) -> DataFrame:
     """Pairs of the small tiles with enough common tokens in all of them.
 
@@ -237,11 +241,12 @@ def hub_pairs(members: DataFrame) -> DataFrame:
     the likeliest centre.
     """
     tiles = members.groupBy("sid").agg((-F.count(F.lit(1))).alias("tiles"))
-    hubs = members.join(tiles, "sid").groupBy("tok", "band").agg(F.min(F.struct("rare", "tiles", "sid")).alias("h"))
-    hubs = hubs.select("tok", "band", F.col("h.sid").alias("hub"))
-    next_band = hubs.select("tok", (F.col("band") + 1).alias("band"), "hub")
-    own = members.select("tok", "band", "sid")
-    return own.join(hubs.unionByName(next_band), ["tok", "band"]).where("sid <> hub").select(*_ordered("sid", "hub")).distinct()
+    hubs = members.join(tiles, "sid").groupBy("tok", "band").agg(F.min(F.struct("rare", "tiles", "sid", "size")).alias("h"))
+    hubs = hubs.select("tok", "band", F.col("h.sid").alias("hub"), F.col("h.size").alias("hub_size"))
+    next_band = hubs.select("tok", (F.col("band") + 1).alias("band"), "hub", "hub_size")
+    own = members.select("tok", "band", "sid", "size")
+    pairs = own.join(hubs.unionByName(next_band), ["tok", "band"]).where(_near_sizes("size", "hub_size"))
+    return pairs.where("sid <> hub").select(*_ordered("sid", "hub")).distinct()
 
 
 def _block_pairs(key: tuple, table: pa.Table) -> pa.Table:
@@ -337,11 +342,12 @@ def tried_pairs(mixed: DataFrame, tries: int = TRIES) -> DataFrame:
     The least of several hashes choose them.  Most copies of one family link with
     one of them, so that few members are left for the comparison with all.
     """
-    least = [F.min(F.struct(F.xxhash64("sid", F.lit(k)).alias("h"), "sid")).alias(f"m{k}") for k in range(tries)]
+    least = [F.min(F.struct(F.xxhash64("sid", F.lit(k)).alias("h"), "sid", "size")).alias(f"m{k}") for k in range(tries)]
     chosen = mixed.where("label = main").groupBy("tok", "band").agg(*least)
-    chosen = chosen.select("tok", "band", F.array_distinct(F.array(*[F.col(f"m{k}.sid") for k in range(tries)])).alias("hubs"))
-    rest = mixed.where("label <> main and most >= low").select("tok", "band", "sid")
-    return rest.join(chosen, ["tok", "band"]).select("sid", F.explode("hubs").alias("hub")).select(*_ordered("sid", "hub")).distinct()
+    chosen = chosen.select("tok", "band", F.array_distinct(F.array(*[F.struct(f"m{k}.sid", f"m{k}.size") for k in range(tries)])).alias("hubs"))
+    rest = mixed.where("label <> main and most >= low").select("tok", "band", "sid", "size")
+    pairs = rest.join(chosen, ["tok", "band"]).select("sid", "size", F.explode("hubs").alias("hub"))
+    return pairs.where(_near_sizes("size", "hub.size")).select(*_ordered("sid", "hub.sid")).distinct()
 
 
 def rest_pairs(members: DataFrame, labels: DataFrame, items: DataFrame, name: str) -> DataFrame:
@@ -357,13 +363,15 @@ def block_pairs(mixed: DataFrame, items: DataFrame) -> DataFrame:
     rules out every size in the group is left out.
     """
     rest = mixed.where("label <> main and most >= low")
-    counts = rest.groupBy("tok", "band").agg(F.count(F.lit(1)).alias("r"))
+    sizes = [F.min("size").alias("r_low"), F.max("size").alias("r_high")]
+    counts = rest.groupBy("tok", "band").agg(F.count(F.lit(1)).alias("r"), *sizes)
     chunk = lambda n: F.ceil(F.col(n) / BLOCK)
     own = lambda n: F.pmod(F.xxhash64("sid"), chunk(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), chunk(n) - 1))
     cols = ["tok", "band", "sid", "label", "size", "most"]
     left = rest.join(counts, ["tok", "band"]).select(*cols, F.lit(0).alias("side"), own("r").alias("i"), every("n").alias("j"))
-    right = mixed.join(counts, ["tok", "band"]).select(*cols, F.lit(1).alias("side"), own("n").alias("j"), every("r").alias("i"))
+    near = "5L * size >= 4L * r_low and 4L * size <= 5L * r_high"  # others fit no size of the rest
+    right = mixed.join(counts, ["tok", "band"]).where(near).select(*cols, F.lit(1).alias("side"), own("n").alias("j"), every("r").alias("i"))
     # a set's groups: no more than it has tokens, as a rule a few; a group that does
     # not compare its members gives no pair, so it need not be known
     own_groups = mixed.select("sid", "tok", "most").distinct()
@@ -373,32 +381,35 @@ def block_pairs(mixed: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def linked_components(
-    tiles: DataFrame, items: DataFrame, sets_of: Callable[[np.ndarray], DataFrame], name: str
+    tiles: DataFrame, items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], name: str
 ) -> DataFrame:
     """``(id, label)`` of the set ids that are linked with another one.
 
-    ``items``: ``sid, size, bits``, one row for each set.  ``sets_of`` takes a
-    bitmap of wanted set ids and returns ``sid, elements``, sorted, at least
-    for those; repeated rows for one set are allowed.
+    ``items``: ``sid, size, bits``, one row for each set.  ``sets_of`` takes the
+    wanted set ids, written, as ``sid`` and returns ``sid, elements``, sorted, at
+    least for those; repeated rows for one set are allowed.
     """
     members = tiles.where("kind = 1").selectExpr("a as tok", "b as sid", "band", "size", "most", "rare").distinct()
     listed = listed_pairs(tiles, members).unionByName(hub_pairs(members)).distinct()
     survivors = materialize(bounded_pairs(listed, items), f"{name}-survivors")
-    wanted = survivors.select(F.explode(F.array("a", "b")).alias("sid")).unionByName(members.select("sid")).distinct()
-    found = sets_of(key_bitmap(wanted, "sid"))
-    found = found.join(wanted, "sid", "left_semi")
-    sets = materialize(found.dropDuplicates(["sid"]), f"{name}-sets")
-    first = survivors.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = materialize(verified_pairs(first, sets), f"{name}-links")
-    labels = components(links, name)
+    first = materialize(survivors.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), f"{name}-first")
+    labels = components(_verified(first, sets_of, name), name)
     groups = materialize(tile_groups(members), f"{name}-groups")
     tried = materialize(bounded_pairs(tried_pairs(mixed_groups(groups, labels, name)), items), f"{name}-tried")
-    labels = _with_links(labels, tried, sets, name)
+    labels = _with_links(labels, tried, sets_of, name)
     possible = materialize(survivors.unionByName(block_pairs(mixed_groups(groups, labels, name), items)).distinct(), f"{name}-possible")
     # one pair for each two components comes first: those that it merges need no other
     chosen = _between(possible, labels).groupBy(F.least("la", "lb").alias("la"), F.greatest("la", "lb").alias("lb"))
-    labels = _with_links(labels, chosen.agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b"), sets, name)
-    return _with_links(labels, possible, sets, name)
+    labels = _with_links(labels, chosen.agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b"), sets_of, name)
+    return _with_links(labels, possible, sets_of, name)
+
+
+def _verified(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """The written ``pairs`` whose sets, fetched for these pairs alone, intersect far enough."""
+    ends = materialize(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), f"{name}-ends")
+    # not written: one shuffle by set id serves the removal of repeats and both joins
+    sets = sets_of(ends).join(ends, "sid", "left_semi").dropDuplicates(["sid"])
+    return materialize(verified_pairs(pairs, sets), f"{name}-links")
 
 
 def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -409,12 +420,12 @@ def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return named.where("la <> lb").select("a", "b", "la", "lb")
 
 
-def _with_links(labels: DataFrame, pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+def _with_links(labels: DataFrame, pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
     """The labels after the verification of those pairs that lie between components."""
     between = materialize(_between(pairs, labels).select("a", "b"), f"{name}-between")
-    ends = between.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    needed = sets.join(ends, "sid", "left_semi")
-    more = materialize(verified_pairs(between, needed), f"{name}-more")
+    if between.isEmpty():
+        return labels
+    more = _verified(between, sets_of, name)
     if more.isEmpty():
         return labels
     # a component is one node: its links are not walked again
