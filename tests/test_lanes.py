@@ -46,6 +46,8 @@ def _same(spark, raw):
     key = lambda r: (r.source_period, r.source_row)
     both = [sorted(df.select(VALUES).collect(), key=key) for df in (want, got.checked)]
     assert both[0] == both[1]
+    lanes = ingest.common_lane(raw).unionByName(ingest.full_lane(raw))
+    assert sorted(lanes.select(VALUES).collect(), key=key) == both[0]
     _, bad = ingest.split_checked(want)
     assert sorted(bad.collect(), key=key) == sorted(got.quarantine.collect(), key=key)
     return want, got
