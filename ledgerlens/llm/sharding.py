@@ -10,9 +10,14 @@ The map has ``SLOTS`` entries at any input size, so planning it on the driver
 is bounded.  The law is ``bytes``: shard sizes are nearly equal, as close as
 the slots (about a thousandth of a shard's bytes each) allow.
 
+Records are hashed by id and text, so rows that share an id, or have none, are
+spread by their texts.  Where copies of one row alone outweigh a mean slot, each
+copy is hashed by its place in the input as well: such rows cannot be told apart,
+so which copy goes to which slot makes no difference.  At most one such row for
+each slot can exist, so their list is bounded at any input size.
+
 All of it is DataFrame functions.  A null text has size 8 and the checksum of
-no bytes; rows with a null ``doc_id`` are hashed by their text; repeated rows
-are rows of their own.  Only the named columns are read.
+no bytes; repeated rows are rows of their own.  Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -34,8 +39,29 @@ def record_size(text: str) -> Column:
     return (F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + 8).cast("long")
 
 
-def _hash(id_col: str, text: str) -> Column:
-    return F.xxhash64(F.col(id_col), F.when(F.col(id_col).isNull(), F.col(text)))
+def _slot(hashed: Column, slots: int) -> Column:
+    return F.pmod(hashed, F.lit(slots)).cast("int")
+
+
+def spread_copies(records: DataFrame, slots: int) -> DataFrame:
+    """``records`` with ``hashed`` replaced by ``copy`` for rows whose copies outweigh a mean slot.
+
+    ``records (hashed, copy, size)`` must be written already.  Only slots over
+    twice the mean, in bytes or rows, can hold such copies; their rows are
+    counted by hash, and what comes of it has at most two rows a slot.
+    """
+    loads = records.groupBy(_slot(F.col("hashed"), slots).alias("s")).agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n")).collect()
+    most = [max(1, sum(r[k] for r in loads) // slots) for k in ("b", "n")]
+    heavy = [r.s for r in loads if r.b > 2 * most[0] or r.n > 2 * most[1]]
+    if not heavy:
+        return records
+    suspects = records.where(_slot(F.col("hashed"), slots).isin(heavy)).groupBy("hashed").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n"))
+    repeated = suspects.where((F.col("n") > 1) & ((F.col("b") > most[0]) | (F.col("n") > most[1])))
+    hot = materialize(repeated.select("hashed", F.lit(True).alias("hot")), "shard-copies")
+    if hot.isEmpty():
+        return records
+    marked = records.join(F.broadcast(hot), "hashed", "left")
+    return marked.withColumn("hashed", F.when(F.col("hot"), F.col("copy")).otherwise(F.col("hashed"))).drop("hot")
 
 
 def slot_loads(records: DataFrame) -> dict[int, int]:
@@ -114,17 +140,21 @@ def shard_documents(
     rows; no window holds a shard.
     """
     spark = docs.sparkSession
-    hashed = _hash(id_col, text_col)
-    records = materialize(
+    hashed = F.xxhash64(id_col, text_col)
+    written = materialize(
         docs.select(
             F.col(id_col).cast("long").alias("doc_id"),
             record_size(text_col).alias("size"),
             F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_crc32"),
-            F.pmod(hashed, F.lit(slots)).cast("int").alias("virtual_slot"),
-            F.shiftrightunsigned(hashed, 24).alias("spread"),
+            hashed.alias("hashed"),
+            F.xxhash64(hashed, F.monotonically_increasing_id()).alias("copy"),
         ),
         "shard-records",
     )
+    dealt = spread_copies(written, slots)
+    records = dealt.select(
+        "doc_id", "size", "text_crc32", _slot(F.col("hashed"), slots).alias("virtual_slot"), F.shiftrightunsigned("hashed", 24).alias("spread")
+    )
     loads = slot_loads(records)
     plan = plan_map(loads, shards, slots)
     spans = records.count() // (slots * ROWS_A_SPAN) + 1
