@@ -13,8 +13,16 @@ The items' q-grams go to the tasks in blocks of at most ``BLOCK_CHARS``
 characters of benchmark, one scan of the texts for each block: what is sent has
 a fixed bound however large the benchmark is.  Documents are never shuffled.
 
-Items too short for a positive bound are searched exactly.  Null texts and null
-or blank items match nothing; repeated rows are reported each.
+An item's edit budget is ``EDIT_SHARE`` of its length, or the most edits that leave
+the bound positive: 0 below 20 characters.  Items shorter than ``q`` are searched
+exactly, and where such an item begins or ends with a letter or digit, a word must
+begin or end there.  Null texts and null or blank items match nothing; repeated
+rows are reported each.
+
+Very long and repetitive texts: hits are counted in slices of ``SLICE`` pairs of a
+hit and a place in an item, so memory grows with the bands, not with such pairs.
+Where an item stands unchanged in a retained band, its exact places are taken
+first, and bands that leave no room for another place are not aligned.
 """
 
 from __future__ import annotations
@@ -34,6 +42,7 @@ EDIT_SHARE = 0.08
 BLOCK_CHARS = 1 << 20
 CHUNK_CHARS = 1 << 20
 FILTER_BITS = 22
+SLICE = 1 << 18
 _FOUND = "doc_id long, item_id long, start long, end long, distance int"
 _FOUND_ARROW = pa.schema(
     [("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("distance", pa.int32())]
@@ -67,11 +76,9 @@ class Items:
         self.ids = np.array(ids, np.int64)
         self.plain = [plain(t) for t in texts]
         length = np.array([len(p) for p in self.plain], np.int64)
-        self.edits = np.floor(length * share).astype(np.int64)
-        self.bound = length - q + 1 - self.edits * q
-        exact = self.bound <= 0
-        self.edits[exact] = 0
-        self.bound = np.maximum(1, np.where(exact, length - q + 1, self.bound))
+        most = np.maximum(0, (length - q) // q)  # the bound stays positive
+        self.edits = np.minimum(np.floor(length * share).astype(np.int64), most)
+        self.bound = np.maximum(1, length - q + 1 - self.edits * q)
         hashes = [grams(p, q) for p in self.plain]
         self.keys = np.concatenate(hashes) if hashes else np.zeros(0, U64)
         self.item = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
@@ -126,34 +133,79 @@ def _regions(x: np.ndarray, doc: np.ndarray, starts: np.ndarray, items: Items) -
     hit = np.flatnonzero(items.filter[(keys >> U64(64 - FILTER_BITS)).astype(np.int64)]) if len(keys) else np.zeros(0, np.int64)
     if not len(hit):
         return
+    hit = hit[doc[np.minimum(hit + Q - 1, len(doc) - 1)] == doc[hit]]
     low, high = np.searchsorted(items.keys, keys[hit]), np.searchsorted(items.keys, keys[hit], side="right")
-    times = high - low
-    at = np.repeat(hit, times)
-    if not len(at):
+    hit, low, times = hit[high > low], low[high > low], (high - low)[high > low]
+    if not len(hit):
         return
-    entry = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(low, times)
-    item, diagonal = items.item[entry], at - items.place[entry]
-    owner = doc[at]
-    inside = doc[np.minimum(at + Q - 1, len(doc) - 1)] == owner
-    item, diagonal, owner, at = item[inside], diagonal[inside], owner[inside], at[inside]
-    span = items.edits[item] + 1
     offset = len(x)
-    # each diagonal is in two bands of twice the span
-    band = (diagonal + offset) // span
-    for shift in (0, 1):
-        key = np.stack([owner, item, band - shift], 1)
-        order = np.lexsort((at, key[:, 2], key[:, 1], key[:, 0]))
-        key = key[order]
-        head = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)])) if len(key) else np.zeros(0, np.int64)
-        count = np.diff(np.concatenate([head, [len(key)]]))
-        for h, n in zip(head, count):
-            d, i, b = key[h]
-            if n < items.bound[i]:
-                continue
-            first = int(b * items.edits[i] + b) - offset
-            width = 2 * (int(items.edits[i]) + 1)
-            begin, stop = int(starts[d]), int(starts[d + 1])
-            yield int(d), int(i), max(begin, first - int(items.edits[i])), min(stop, first + width + int(items.length[i] + items.edits[i]))
+    bands, counts = np.zeros((0, 3), np.int64), np.zeros(0, np.int64)
+    upto = np.cumsum(times)
+    begin = 0
+    while begin < len(hit):
+        stop = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + SLICE, side="right")))
+        part = times[begin:stop]
+        at = np.repeat(hit[begin:stop], part)
+        entry = np.arange(len(at)) - np.repeat(np.cumsum(part) - part, part) + np.repeat(low[begin:stop], part)
+        item = items.item[entry]
+        # each diagonal is in two bands of twice the span
+        band = (at - items.place[entry] + offset) // (items.edits[item] + 1)
+        bands, counts = _summed(
+            np.concatenate([bands, np.stack([doc[at], item, band], 1), np.stack([doc[at], item, band - 1], 1)]),
+            np.concatenate([counts, np.ones(2 * len(at), np.int64)]),
+        )
+        begin = stop
+    for d, i, b in bands[counts >= items.bound[bands[:, 1]]].tolist():
+        edits = int(items.edits[i])
+        first = b * (edits + 1) - offset
+        yield d, i, max(int(starts[d]), first - edits), min(int(starts[d + 1]), first + 2 * (edits + 1) + int(items.length[i]) + edits)
+
+
+def _summed(bands: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows of ``bands`` in order, and the sums of their counts."""
+    order = np.lexsort((bands[:, 2], bands[:, 1], bands[:, 0]))
+    bands, counts = bands[order], counts[order]
+    head = np.flatnonzero(np.concatenate([[True], (bands[1:] != bands[:-1]).any(1)]))
+    return bands[head], np.add.reduceat(counts, head)
+
+
+def _exact_places(item: np.ndarray, x: np.ndarray, low: int, high: int) -> Iterator[tuple[int, int]]:
+    """Places of ``item`` in ``x[low:high]``, from the left, none over another."""
+    needle, hay, at = item.tobytes(), x[low:high].tobytes(), 0
+    while (at := hay.find(needle, at)) >= 0:
+        if at % 4:
+            at += 1
+            continue
+        yield low + at // 4, low + at // 4 + len(item)
+        at += len(needle)
+
+
+def _places(item: np.ndarray, edits: int, x: np.ndarray, regions: list[tuple[int, int]]) -> Iterator[tuple[int, int, int]]:
+    """(distance, begin, end) in the regions (ascending) of one item in one text."""
+    exact: list[tuple[int, int]] = []
+    for low, high in regions:
+        for place in _exact_places(item, x, max(low, exact[-1][1] if exact else low), high):
+            exact.append(place)
+            yield 0, *place
+    begins = np.array([a for a, _ in exact], np.int64)
+    ends = np.array([b for _, b in exact], np.int64)
+    for low, high in regions:
+        # the widest gap between exact places that the region has room in
+        first, last = np.searchsorted(ends, low, side="right"), np.searchsorted(begins, high)
+        left = np.concatenate([[low], ends[first:last]])
+        right = np.concatenate([begins[first:last], [high]])
+        if (right - left).max() >= len(item) - edits:
+            found = alignment(item, x[low:high], edits)
+            if found:
+                yield found[0], found[1] + low, found[2] + low
+
+
+def _stands_alone(item: np.ndarray, x: np.ndarray, at: int) -> bool:
+    """Whether no word goes on past an end of the item at ``x[at]``."""
+    end = at + len(item)
+    before = at > 0 and chr(item[0]).isalnum() and chr(x[at - 1]).isalnum()
+    after = end < len(x) and chr(item[-1]).isalnum() and chr(x[end]).isalnum()
+    return not (before or after)
 
 
 def find_items(texts: list[str | None], items: Items) -> list[tuple[int, int, int, int, int]]:
@@ -169,18 +221,19 @@ def find_items(texts: list[str | None], items: Items) -> list[tuple[int, int, in
         starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
         x = np.concatenate(parts)
         doc = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        regions: dict[tuple[int, int], list[tuple[int, int]]] = {}
         for d, i, begin, stop in sorted(set(_regions(x, doc, starts, items))):
-            found = alignment(items.plain[i], x[begin:stop], int(items.edits[i]))
-            if found:
-                distance, a, b = found
-                shift = begin - int(starts[d])
-                out.setdefault((low + d, i), []).append((distance, a + shift, b + shift))
+            regions.setdefault((d, i), []).append((begin, stop))
+        for (d, i), own in regions.items():
+            shift = int(starts[d])
+            for distance, a, b in _places(items.plain[i], int(items.edits[i]), x, own):
+                out.setdefault((low + d, i), []).append((distance, a - shift, b - shift))
         for i in items.short:
             needle = items.plain[i].tobytes()
             for d, p in enumerate(parts):
                 hay, at = p.tobytes(), -1
                 while (at := hay.find(needle, at + 1)) >= 0:
-                    if at % 4 == 0:
+                    if at % 4 == 0 and _stands_alone(items.plain[i], p, at // 4):
                         out.setdefault((low + d, i), []).append((0, at // 4, at // 4 + len(items.plain[i])))
         low = high
     result = []
