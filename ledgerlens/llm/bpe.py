@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .rows import free_name
 from .textops import U64, buffers, span_hashes
 
 CORPUS_BYTES = 4 << 20
@@ -301,8 +302,12 @@ def _typed(df: DataFrame, names: list[str]) -> str:
 
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", count_col: str = "n_tokens") -> DataFrame:
-    """Append the token count and the ids (little-endian unsigned 32-bit) to every row."""
+    """Append the token count and the ids (little-endian unsigned 32-bit) to every row.
+
+    Where ``docs`` has a column of such a name, the new one gets underscores after it.
+    """
     names = docs.columns
+    count_col, ids_col = free_name(docs, count_col), free_name(docs, ids_col)
     plain = docs.toDF(*[str(i) for i in range(len(names))])
     text = F.coalesce(F.col(f"`{names.index(text_col)}`"), F.lit("")).alias("_text")
     schema = _typed(plain, names) + f", `{len(names)}` long, `{len(names) + 1}` binary"

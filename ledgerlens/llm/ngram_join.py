@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize, shuffle_partitions
 from .keyfilter import key_bitmap, wanted
-from .rows import row_key
+from .rows import free_name, row_key
 from .simjoin import MEMBER, POSTING, bucket_rows, linked_components, parity_bitmap, tile_table
 from .textops import U64, chunks, mix, set_id, shingle_sets
 
@@ -221,9 +221,7 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     kept = named.groupBy("c", "blank").agg(least.alias("kept"))
     losers = named.join(kept, ["c", "blank"]).where("key <> kept").select("key").distinct()
     again = rows.groupBy("key").count().where("count > 1").select("key")
-    key = "_key"
-    while key in docs.columns:
-        key += "_"
+    key = free_name(docs, "_key")
     marked = docs.withColumn(key, row_key(id_col, text_col))
     losers, again = (d.withColumnRenamed("key", key) for d in (losers, again))
     left = marked.join(losers, key, "left_anti")

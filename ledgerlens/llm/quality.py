@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .rows import row_key
+from .rows import free_name, row_key
 from .textops import U64, chunks, mix, span_hashes, word_spans
 
 BUCKETS = 1 << 17
@@ -269,7 +269,5 @@ def classify(
 def accepted_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """The rows of ``docs`` that are kept, columns unchanged."""
     rejected = classify(docs, labels, id_col, text_col, host_col).where("not keep").select("key").distinct()
-    key = "_key"
-    while key in docs.columns:
-        key += "_"
+    key = free_name(docs, "_key")
     return docs.withColumn(key, row_key(id_col, text_col)).join(rejected.withColumnRenamed("key", key), key, "left_anti").drop(key)
