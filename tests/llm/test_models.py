@@ -10,6 +10,9 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
+import xxhash
+from pyspark.sql import functions as F
 
 from ledgerlens.llm import decontaminate, imatch, langid, lm, quality, sharding
 
@@ -30,6 +33,20 @@ def test_shards(docs, no_docs):
     assert sharding.shard_documents(no_docs)[0].count() == 0
 
 
+@pytest.mark.parametrize("text", ["cast(id as string)", "'one and the same'", "if(id % 6 = 0, repeat('word ', 9), concat('text ', id))"])
+@pytest.mark.parametrize("doc_id", ["if(id % 3 = 0, 7, id)", "cast(null as bigint)", "id"])
+def test_shards_are_even_whatever_repeats(spark, doc_id, text):
+    """A third of the rows, or all, on one id or none, with texts of their own or the same."""
+    docs = spark.range(20000).selectExpr(f"{doc_id} AS doc_id", f"{text} AS text")
+    placed = sharding.shard_documents(docs)[0]
+    loads = placed.groupBy("shard").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"), F.max("slot").alias("last"), F.countDistinct("slot").alias("slots")).collect()
+    sizes = [r.bytes for r in loads]
+    assert len(loads) == 24 and sum(r.n for r in loads) == 20000
+    assert max(sizes) - min(sizes) <= 0.01 * sum(sizes) / 24
+    assert all(r.last + 1 == r.slots == r.n for r in loads)
+    assert {r.law for r in placed.select("law").distinct().collect()} == {"bytes"}
+
+
 def test_rebalancing_moves_few_slots_and_evens_loads():
     rng = np.random.default_rng(0)
     loads = {s: int(x) for s, x in enumerate(rng.integers(1, 1000, 512))}
@@ -197,3 +214,161 @@ def test_contamination_equals_brute_force(spark, docs, no_docs, monkeypatch):
     assert decontaminate.clean_documents(docs, bench).schema == docs.schema
     assert decontaminate.contaminated_passages(no_docs, bench).count() == 0
     assert decontaminate.contaminated_passages(docs, bench.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("length", [20, 24, 25, 29, 30, 37, 38, 39, 40, 49])
+def test_edits_within_the_budget_of_any_length(length):
+    """The budget is the share of the length, or the most that leaves the bound positive."""
+    import random
+
+    rng = random.Random(length)
+    q = decontaminate.Q
+    budget = min(int(length * decontaminate.EDIT_SHARE), (length - q) // q)
+    assert budget >= 1
+    for _ in range(40):
+        item = "".join(rng.choice("abcdefghijklmnopqrstuvw ") for _ in range(length - 2)).join("xy")
+        text = list(item)
+        for _ in range(rng.randrange(budget + 2)):
+            text[rng.randrange(len(text))] = rng.choice(["", "z", "zz"])
+        whole = prose(rng.randrange(99), 9) + " " + "".join(text) + " " + prose(rng.randrange(99), 9)
+        want = _edit_distance(item, whole)
+        found = decontaminate.find_items([whole], decontaminate.Items([1], [item]))
+        assert [f[4] for f in found] == ([want] if want <= budget else [])
+
+
+def test_short_items_are_whole_words():
+    items = decontaminate.Items([1, 2], ["yes", "(ok)"])
+    texts = ["yesterday", "eyes", "Yes.", "oh yes", "a(ok)b", "yes yes", None, ""]
+    assert [f[:4] for f in decontaminate.find_items(texts, items)] == [
+        (2, 0, 0, 3), (3, 0, 3, 6), (4, 1, 1, 5), (5, 0, 0, 3), (5, 0, 4, 7),
+    ]
+
+
+def test_repetitive_texts_take_little_memory():
+    import tracemalloc
+
+    items = decontaminate.Items([1, 2], ["a" * 300, "ab" * 100])
+    texts = ["a" * 20000, "ab" * 3000 + "a" * 290, "a" * 299 + "b" + "a" * 299]
+    tracemalloc.start()
+    found = decontaminate.find_items(texts, items)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100_000_000
+    by_text = Counter((d, i, e) for d, i, _, _, e in found)
+    assert by_text[0, 0, 0] == 20000 // 300 and by_text[1, 1, 0] == 30
+    # runs of 290 and 299 letters are within the 24 edits of 300
+    assert {(d, i) for d, i, *_ in found} == {(0, 0), (1, 0), (1, 1), (2, 0)}
+    for d in range(3):
+        spans = sorted((a, b, i) for t, i, a, b, _ in found if t == d)
+        assert all(b <= c for (_, b, i), (c, _, j) in zip(spans, spans[1:]) if i == j)
+
+
+def _xx(parts: list[int] | str) -> int:
+    """Spark's xxhash64 of a text, or of longs in a row, as an unsigned number."""
+    if isinstance(parts, str):
+        return xxhash.xxh64_intdigest(parts.encode(), 42)
+    seed = 42
+    for p in parts:
+        seed = xxhash.xxh64_intdigest((p % 2**64).to_bytes(8, "little"), seed)
+    return seed
+
+
+def _brute_fingerprint(terms: set, band: set) -> dict[int, int]:
+    """The signature of each subset that the text meets."""
+    out = {}
+    hashes = sorted(_xx(t) for t in (terms & band or terms))
+    for subset in {h % 32 for h in hashes}:
+        levels = {}
+        for h in hashes:
+            if h % 32 == subset:
+                bits = (h >> 5) % 2**23 + 2**23
+                levels.setdefault(bits & -bits, []).append((subset << 58) + ((2**24 - (bits & -bits)) << 33) + (h >> 31))
+        thinnest = sorted(levels[max(levels)])
+        sign = _xx([thinnest[0]])
+        for v in thinnest[1:]:
+            sign = _xx([sign, v])
+        out[subset] = sign // 32 * 32 + subset
+    return out
+
+
+def test_fingerprints_equal_brute_force(spark):
+    """Band, nested subsets, hashes and likenesses; ids apart, so that the order is given."""
+    import random
+
+    rng = random.Random(6)
+    vocabulary = [f"w{k}" for k in range(6000)]
+    texts = {}
+    for i in range(300):
+        n = rng.choice([0, 3, 40, 200])
+        texts[i * 7 - 400] = " ".join(vocabulary[int(6000 * rng.random() ** 2)] for _ in range(n)) if i % 50 else None
+    texts[5000] = texts[5001] = "Only, here: Words! only"
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    terms = lambda t: {x for x in regex.split(r"[^\p{L}\p{N}]+", t.lower()) if x}
+    buckets = Counter(b for t in texts.values() for b in {_xx(w) % imatch.TERM_BUCKETS for w in terms(t or "")})
+    most = max(imatch.MIN_DOCUMENTS, int(imatch.MAX_SHARE * len(texts)))
+    band = {w for t in texts.values() for w in terms(t or "") if imatch.MIN_DOCUMENTS <= buckets[_xx(w) % imatch.TERM_BUCKETS] <= most}
+    assert 100 < len(band) < 6000
+    written = lambda f: "-".join(f"{f[k]:x}" for k in sorted(f))
+
+    def alike(a, b):
+        either = a.keys() | b.keys()
+        return sum(a.get(k) == b.get(k) for k in either) / len(either) if either else 1.0
+
+    order = sorted(texts, reverse=True)
+    found = {r.doc_id: r for r in imatch.fingerprint_documents(frame).collect()}
+    assert len(found) == len(texts)
+    for i, after in zip(order, order[1:] + order[:1]):
+        own, following = texts[i] or "", texts[after] or ""
+        tail = len(own) // 3
+        edited = own[: len(own) - tail] + following[:tail]
+        a, b, c = (_brute_fingerprint(terms(t), {w for w in terms(t) if imatch.MIN_DOCUMENTS <= buckets[_xx(w) % imatch.TERM_BUCKETS] <= most}) for t in (own, edited, following))
+        r = found[i]
+        assert (r.fingerprint, r.edited_fingerprint) == (written(a), written(b))
+        assert (r.near_edited, r.near_next) == pytest.approx((alike(a, b), alike(a, c)))
+
+
+def test_site_posteriors_equal_brute_force(spark):
+    """Hosts shrink to the global rate, paths to their host's; null hosts and sites of one document included."""
+    import random
+
+    rng = random.Random(8)
+    rows = []
+    for host, n, low in (("hot", 400, -3.0), ("bad", 60, 2.0), ("mixed", 90, 0.0), (None, 30, 1.0), ("rare", 1, 4.0)):
+        for k in range(n):
+            blank = k % 11 == 10
+            rows.append((host, f"{host}/{k % 3}", *((None, None) if blank else (low + rng.gauss(0, 1), -low + rng.gauss(0, 1)))))
+    found = {(r._host, r._path): r for r in quality._posteriors(spark.createDataFrame(rows, "host string, path string, bad double, toxic double")).collect()}
+    rate = lambda x: 1 / (1 + math.exp(-x))
+    for k, kind in enumerate(("bad", "toxic"), 2):
+        paths, hosts = {}, {}
+        for r in rows:
+            if r[k] is not None:
+                paths.setdefault((r[0], r[1]), []).append(rate(r[k]))
+                hosts.setdefault(r[0], []).append(rate(r[k]))
+        every = [x for v in hosts.values() for x in v]
+        mean = (sum(every) + 1) / (len(every) + 2)
+
+        def strength(groups):
+            spread = sum(len(g) * (sum(g) / len(g) - mean) ** 2 for g in groups)
+            between = max(1e-9, (spread - (len(groups) - 1) * mean * (1 - mean)) / len(every))
+            return min(quality.MOST_STRENGTH, max(quality.LEAST_STRENGTH, mean * (1 - mean) / between - 1))
+
+        odds = lambda p: math.log(p / (1 - p))
+        s_host, s_path = strength(list(hosts.values())), strength(list(paths.values()))
+        assert found.keys() == paths.keys()
+        for (host, path), own in paths.items():
+            above = (sum(hosts[host]) + s_host * mean) / (len(hosts[host]) + s_host)
+            want = (sum(own) + s_path * above) / (len(own) + s_path)
+            assert found[host, path][f"site_{kind}"] == pytest.approx(odds(want) - odds(mean))
+
+
+def test_quality_on_documents_whose_labels_are_hidden(spark, sf_oracle):
+    """Learn from half of the labels; of the other half few documents are judged wrong."""
+    documents, labels = (spark.read.parquet(f"{sf_oracle}/{t}.parquet") for t in ("documents", "labels"))
+    shown = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    keep = quality.classify(documents, labels.where(shown)).select("doc_id", "keep")
+    hidden = labels.where(~shown).select("doc_id", (F.expr("quality = 0 OR toxic = 1")).alias("bad")).where("bad is not null")
+    counts = {(r.bad, r.keep): r["count"] for r in hidden.join(keep, "doc_id").groupBy("bad", "keep").count().collect()}
+    bad, good = (sum(n for (b, _), n in counts.items() if b is kind) for kind in (True, False))
+    assert bad > 20 and good > 100
+    assert counts.get((False, True), 0) >= 0.97 * good and counts.get((True, False), 0) >= 0.8 * bad

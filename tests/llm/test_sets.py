@@ -8,8 +8,11 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from ledgerlens.llm import ngram_join, simjoin, substring_dedup
+from pyspark.sql import functions as F
+
+from ledgerlens.llm import bpe, decontaminate, ngram_join, quality, simjoin, substring_dedup
 from ledgerlens.llm.components import components
+from ledgerlens.llm.queries import VOCABULARY
 from ledgerlens.llm.textops import mix, word_hashes
 
 from .conftest import prose
@@ -107,6 +110,28 @@ def test_one_of_each_group_stays(docs):
     assert ids.count(None) == 2
 
 
+@pytest.mark.parametrize("taken", [["_key"], ["_KEY", "_Key_"], ["ids", "N_Tokens", "_text", "_cut", "spans"]])
+def test_columns_with_the_operators_own_names_stay(spark, docs, taken):
+    """Names are told apart as Spark does it, without case; no column is lost, doubled or changed."""
+    wide = docs.select("*", *[F.concat_ws(":", F.lit(c), "doc_id").alias(c) for c in taken])
+    bench = spark.createDataFrame([(1, prose(3, 30))], "item_id long, text string")
+    marks = spark.createDataFrame([(1, 1, 0), (4, 1, 0), (5, 1, 0)], "doc_id long, quality int, toxic int")
+    for stage in (
+        ngram_join.one_of_each_group,
+        substring_dedup.without_repeats,
+        lambda d: decontaminate.clean_documents(d, bench),
+        lambda d: quality.accepted_documents(d, marks),
+    ):
+        out = stage(wide)
+        assert out.columns == wide.columns
+        rows = out.collect()
+        assert rows and all(r[c] == (f"{c}:{r.doc_id}" if r.doc_id is not None else c) for r in rows for c in taken)
+    coded = bpe.encode(wide, VOCABULARY)
+    names = [c.lower() for c in coded.columns]
+    assert len(set(names)) == len(names) == len(wide.columns) + 2 and coded.columns[: len(wide.columns)] == wide.columns
+    assert coded.count() == wide.count()
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (None, 3), (1, 0)]
     found = {r.id: r.label for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
