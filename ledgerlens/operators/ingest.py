@@ -269,9 +269,9 @@ def curate(staged: DataFrame) -> DataFrame:
     """Typed, flagged curated lines with a dense id in source order (P1–P4).
 
     Source order is (period ordinal if present, else period name; source
-    row).  ``source_row`` is unique within a period, so the id comes from
-    value buckets of source rows (``row_number_by_position``) — never a
-    global single-partition window, no sampling, no extra write.
+    row).  ``source_row`` is unique within a period, so the id comes from a
+    small table of the source rows that occur (``row_number_by_position``) —
+    never a global single-partition window, and the lines are not sorted.
     """
     group = ORDINAL if ORDINAL in staged.columns else "source_period"
     numbered = row_number_by_position(staged, group, "source_row", name="transaction_line_id")

@@ -39,9 +39,8 @@ count of rows in earlier partitions.  Requires a total order key (ties
 between rows that differ elsewhere would be numbered arbitrarily, as in SQL).
 
 ``row_number_by_position`` is the cheaper form for an integer position that
-is unique within its group (a physical row number): fixed-width value
-buckets bound every window partition without sampling or a written
-intermediate.
+is unique within its group (a physical row number): it counts the marks of a
+small table of the positions that occur, and neither sorts nor exchanges rows.
 """
 
 from __future__ import annotations
@@ -50,7 +49,7 @@ import math
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize, shuffle_partitions
@@ -58,6 +57,11 @@ from ..session import materialize, shuffle_partitions
 SCORE_LEVELS = 5
 PARTS = 1024  # parts of a range in one step of the selection
 _LOCAL_BITS = 33  # monotonically_increasing_id = partition << 33 | row in partition
+SORT_ROWS = 400_000  # rows of one sort, some 100 MB of transaction lines
+_WORD_BITS = 6  # 64 positions are marked in a word
+_ROW_BITS = 6  # 64 words in a row of marks
+_STRETCH_BITS = 10  # 1024 rows of marks are summed up in one task
+MARK_ROWS = 1 << 18  # so many rows of marks are broadcast, some 180 MB for 1 G positions
 
 
 # --------------------------------------------------------------------------
@@ -224,6 +228,18 @@ def window_quantile_scores(
 # --------------------------------------------------------------------------
 
 
+def sort_partitions(spark: SparkSession, rows: int) -> int:
+    """So many partitions that a task sorts ``SORT_ROWS`` of ``rows`` rows, and no fewer than set for shuffles."""
+    return max(shuffle_partitions(spark), -(-rows // SORT_ROWS))
+
+
+def dealt_by_range(df: DataFrame, keys: Sequence[str | Column], rows: int | None = None) -> DataFrame:
+    """``repartitionByRange`` whose parts, of ``rows`` rows in all, are small enough to sort in memory."""
+    parts = sort_partitions(df.sparkSession, rows or 0)
+    more = [parts] if parts > shuffle_partitions(df.sparkSession) else []  # else as set, and merged when small
+    return df.repartitionByRange(*more, *keys)
+
+
 def row_number_by(
     df: DataFrame,
     order_by: Sequence[str | Column],
@@ -237,6 +253,10 @@ def row_number_by(
     Range partitioning splits even one hot group across many tasks by the
     order key.  Output keeps every input column plus ``name`` (bigint).
     For many small groups use an ordinary window instead.
+
+    The rows are exchanged, sorted and written once with all their columns, so
+    pass narrow ones and derive others from the result.  A task sorts its
+    ``num_partitions``-th part in memory: see ``sort_partitions``.
     """
     spark = df.sparkSession
     n = num_partitions or shuffle_partitions(spark)
@@ -262,11 +282,10 @@ def row_number_by(
         "_rn_first",
         F.coalesce(F.sum("_rn_rows").over(earlier), F.lit(0)).alias("_rn_before"),
     )
-    # one row per (group, range partition): at most groups + partitions rows;
-    # without groups the table is bounded by ``n`` and broadcast
-    small = offsets if partition_by else F.broadcast(offsets)
+    # one row per (group, range partition): at most groups + partitions rows, as
+    # a partition holds a range; broadcast, so that the rows stay where they are
     cond = [F.col(c).eqNullSafe(F.col(renamed[c])) for c in group_cols]
-    joined = ranged.join(small, cond, "inner")
+    joined = ranged.join(F.broadcast(offsets), cond, "inner")
     number = (
         F.col("_rn_before") + (F.col("_rn_id") - F.col("_rn_first")) + F.lit(start)
     ).cast("bigint")
@@ -283,17 +302,82 @@ def row_number_by_position(
 ) -> DataFrame:
     """``row_number() OVER (ORDER BY group, position)`` for integer positions.
 
-    ``position`` must be unique within a group (a physical row number is).
-    Rows are bucketed by value, ``bucket = position div rows_per_bucket``, so
-    a bucket never holds more than ``rows_per_bucket`` rows of a group — the
-    bound follows from uniqueness, with no sampling and no materialised
-    intermediate; re-running a task recomputes the same bucket.  One
-    window per (group, bucket) ranks rows inside it; a table with one row per
-    non-empty bucket gives the offsets (AQE broadcasts it when its runtime
-    size allows, otherwise it is a shuffle join on the same keys as the
-    window, so the data is not exchanged twice).
+    ``position`` is unique within a group (a physical row number is).  One
+    aggregate over the two key columns marks the positions that occur, 64 of
+    them in a word, a few thousand in a row of a small table that is written to
+    the shared folder.  A row's number is the count of marks before its own: the
+    rows themselves are neither sorted nor exchanged while that table, some 11
+    bits for each position, is small enough to broadcast (``MARK_ROWS``), and
+    joined to it by key beyond.  Rows without a position are left out.
+
+    Should positions repeat, rows are numbered by one window per (group, value
+    bucket of ``rows_per_bucket`` positions) instead; equal ones in any order.
     """
     g = F.col(group) if isinstance(group, str) else group
+    at = F.col(position).cast("bigint")
+    word, bit = F.shiftright(at, _WORD_BITS), at.bitwiseAND(F.lit((1 << _WORD_BITS) - 1)).cast("int")
+    marks = _position_marks(df.where(at.isNotNull()).select(g.alias("_rp_g"), word.alias("_rp_word"), bit.alias("_rp_bit")))
+    found = marks.agg(F.count(F.lit(1)).alias("n"), F.max("_rp_repeated").alias("repeated")).first()
+    if found["repeated"]:
+        return _row_number_by_window(df, g, position, name, rows_per_bucket, start)
+    marks = marks.drop("_rp_repeated")
+    joined = df.withColumns({"_rp_group": g, "_rp_row": F.shiftright(at, _WORD_BITS + _ROW_BITS)}).join(
+        F.broadcast(marks) if found["n"] <= MARK_ROWS else marks,
+        F.col("_rp_group").eqNullSafe(F.col("_rp_g")) & (F.col("_rp_row") == F.col("_rp_r")),
+    )
+    place = word.bitwiseAND(F.lit((1 << _ROW_BITS) - 1)).cast("int")
+    earlier = F.bitwise_not(F.call_function("shiftleft", F.lit(-1).cast("bigint"), bit))  # the lower bits of the word
+    number = (
+        F.col("_rp_first")
+        + F.get("_rp_before", place)
+        + F.bit_count(F.get("_rp_words", place).bitwiseAND(earlier))
+        + F.lit(start)
+    )
+    return joined.select(*df.columns, number.cast("bigint").alias(name))
+
+
+def _position_marks(keys: DataFrame) -> DataFrame:
+    """One row per group and ``2 ** (_WORD_BITS + _ROW_BITS)`` positions: marks, and marks before.
+
+    ``_rp_words`` holds a mark for each position that occurs, ``_rp_before`` how
+    many marks of the row come before each word, ``_rp_first`` how many come
+    before the row.
+    """
+    mark = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_rp_bit"))
+    words = keys.groupBy("_rp_g", "_rp_word").agg(F.count(F.lit(1)).alias("rows"), F.bit_or(mark).alias("bits"))
+    row, place = F.shiftright("_rp_word", _ROW_BITS), F.col("_rp_word").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    cells = F.map_from_entries(F.collect_list(F.struct(place.cast("int").alias("place"), F.struct("bits", "rows").alias("cell"))))
+    held = words.groupBy("_rp_g", row.alias("_rp_r")).agg(
+        F.sum("rows").alias("rows"), F.max(F.col("rows") != F.bit_count("bits")).alias("_rp_repeated"), cells.alias("cells")
+    )
+    places = F.sequence(F.lit(0), F.lit((1 << _ROW_BITS) - 1))
+    counts = F.transform(places, lambda i: F.coalesce(F.try_element_at("cells", i)["rows"], F.lit(0)).cast("int"))
+    held = materialize(
+        held.select(
+            "_rp_g", "_rp_r", "rows", "_rp_repeated",
+            F.transform(places, lambda i: F.coalesce(F.try_element_at("cells", i)["bits"], F.lit(0))).alias("_rp_words"),
+            counts.alias("counts"),
+        ),
+        "position-marks",
+    )
+    # marks before a row: inside its stretch of rows, then over the stretches
+    stretch = F.shiftright("_rp_r", _STRETCH_BITS).alias("_rp_s")
+    inside = Window.partitionBy("_rp_g", "_rp_s").orderBy("_rp_r").rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.orderBy("_rp_g2", "_rp_s2").rowsBetween(Window.unboundedPreceding, -1)
+    totals = held.groupBy(F.col("_rp_g").alias("_rp_g2"), stretch.alias("_rp_s2")).agg(F.sum("rows").alias("total"))
+    totals = totals.select("_rp_g2", "_rp_s2", F.coalesce(F.sum("total").over(over), F.lit(0)).alias("before"))
+    placed = held.select("*", stretch).withColumn("own", F.coalesce(F.sum("rows").over(inside), F.lit(0)))
+    joined = placed.join(totals, F.col("_rp_g").eqNullSafe(F.col("_rp_g2")) & (F.col("_rp_s") == F.col("_rp_s2")))
+    before = F.transform(
+        places, lambda i: F.aggregate(F.slice("counts", 1, i), F.lit(0), lambda total, n: total + n).cast("smallint")
+    )
+    return joined.select(
+        "_rp_g", "_rp_r", (F.col("before") + F.col("own")).alias("_rp_first"), "_rp_words", before.alias("_rp_before"), "_rp_repeated"
+    )
+
+
+def _row_number_by_window(df: DataFrame, g: Column, position: str, name: str, rows_per_bucket: int, start: int) -> DataFrame:
+    """The numbers of ``row_number_by_position`` where positions repeat."""
     keyed = df.withColumns(
         {
             "_rp_group": g,
