@@ -19,7 +19,8 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from ..session import delete_path, path_exists, scratch_path
+from ..operators.ranking import dealt_by_range
+from ..session import delete_path, path_exists, scratch_path, smaller_scans
 from . import versions
 
 _SESSION_BUILDS: dict[tuple[str, str, str], tuple[str, StructType]] = {}
@@ -30,6 +31,7 @@ def write_curated(
     path: str,
     sort_column: str | None = "invoice_timestamp",
     cluster: bool | Column = False,
+    rows: int | None = None,
 ) -> None:
     """Write the curated table: ZSTD Parquet, overwrite, timestamp-sorted files.
 
@@ -39,14 +41,15 @@ def write_curated(
     on that column (one shuffle at build time), so every file covers its own
     date range and filters skip whole files — worth it for a table that is
     built once and queried many times.  A column as ``cluster`` comes before
-    the sort column in both.  Parquet sizes row groups in bytes
+    the sort column in both.  ``rows``, their number if it is known, lets the
+    ranges be small enough to sort in memory.  Parquet sizes row groups in bytes
     (``parquet.block.size``), not in a fixed row count.
     """
     out = df
     if sort_column in df.columns:
         keys = [sort_column] if isinstance(cluster, bool) else [cluster, sort_column]
         if not isinstance(cluster, bool) or cluster:
-            out = out.repartitionByRange(*keys)
+            out = dealt_by_range(out, keys, rows)
         out = out.sortWithinPartitions(*keys)
     out.write.mode("overwrite").option("compression", "zstd").parquet(path)
 
@@ -95,7 +98,8 @@ def session_dataset(
     built = _SESSION_BUILDS.get(memo)
     if built is None:
         path = scratch_path(spark, name)
-        write_curated(builder(), path)
+        with smaller_scans(spark):  # each is sorted
+            write_curated(builder(), path)
         built = (path, spark.read.parquet(path).schema)
         _SESSION_BUILDS[memo] = built
     path, schema = built
