@@ -22,7 +22,7 @@ def test_stream_ingest_matches_batch_and_keeps_ids_dense(spark, tmp_path):
     q = start_ingest_stream(spark, landing, out, bad, ckpt, period=PERIOD, available_now=True)
     q.awaitTermination(120)
     first = spark.read.parquet(out).orderBy("transaction_line_id").collect()
-    assert [r["invoice_no"] for r in first] == ["536365", "C536379", "536380"]
+    assert [r["invoice_no"] for r in first] == ["700101", "C700102", "700103"]
     assert [r["transaction_line_id"] for r in first] == [1, 2, 3]
 
     _drop(landing, "b", ROWS[:3] + ROWS[5:])
@@ -30,7 +30,7 @@ def test_stream_ingest_matches_batch_and_keeps_ids_dense(spark, tmp_path):
     q.awaitTermination(120)
     lines = spark.read.parquet(out).orderBy("transaction_line_id").collect()
     assert [r["transaction_line_id"] for r in lines] == [1, 2, 3, 4, 5, 6]
-    assert [r["invoice_no"] for r in lines][3:] == ["536365", "C536379", "536380"]
+    assert [r["invoice_no"] for r in lines][3:] == ["700101", "C700102", "700103"]
     quarantined = spark.read.option("header", "true").csv(bad).collect()
     assert sorted((r["source_row"], r["error"].split(",")[0]) for r in quarantined) == [
         ("5", "Customer ID must be numeric"),
@@ -47,5 +47,5 @@ def test_stream_ingest_reads_json_lines(spark, tmp_path):
     q = start_ingest_stream(spark, landing, out, bad, ckpt, period=PERIOD, available_now=True, fmt="json")
     q.awaitTermination(120)
     lines = spark.read.parquet(out).orderBy("transaction_line_id").collect()
-    assert [r["invoice_no"] for r in lines] == ["536365", "C536379", "536380"]
+    assert [r["invoice_no"] for r in lines] == ["700101", "C700102", "700103"]
     assert spark.read.option("header", "true").csv(bad).count() == 4
