@@ -306,7 +306,7 @@ def row_number_by_position(
     aggregate over the two key columns marks the positions that occur, 64 of
     them in a word, a few thousand in a row of a small table that is written to
     the shared folder.  A row's number is the count of marks before its own: the
-    rows themselves are neither sorted nor exchanged while that table, some 11
+    rows themselves are neither sorted nor exchanged while that table, about 1.4
     bits for each position, is small enough to broadcast (``MARK_ROWS``), and
     joined to it by key beyond.  Rows without a position are left out.
 
