@@ -43,6 +43,9 @@ BLOCK_CHARS = 1 << 20
 CHUNK_CHARS = 1 << 20
 FILTER_BITS = 22
 SLICE = 1 << 18
+BATCH_CELLS = 1 << 14
+LOOK_ROWS = 16
+FAR = 1 << 28  # more than any distance, and far enough from the end of 32 bits
 _FOUND = "doc_id long, item_id long, start long, end long, distance int"
 _FOUND_ARROW = pa.schema(
     [("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("distance", pa.int32())]
@@ -91,40 +94,86 @@ class Items:
         self.length = length
 
 
+def alignments(jobs: list[tuple[np.ndarray, np.ndarray, int]]) -> list[tuple[int, int, int] | None]:
+    """:func:`alignment` of every (item, region, edits), many at a time.
+
+    They go in batches of like size, of at most ``BATCH_CELLS`` cells a row of the
+    alignment (or one alignment), whose rows are computed together.
+    """
+    out: list[tuple[int, int, int] | None] = [None] * len(jobs)
+    sizes = [(len(item), len(region) - len(item) + 2 * edits + 1, k) for k, (item, region, edits) in enumerate(jobs)]
+    batch: list[int] = []
+    widest = 0
+    for _, width, k in sorted(s for s in sizes if s[1] > 0):
+        if batch and (len(batch) + 1) * max(widest, width) > BATCH_CELLS:
+            _aligned(jobs, batch, out)
+            batch, widest = [], 0
+        batch.append(k)
+        widest = max(widest, width)
+    if batch:
+        _aligned(jobs, batch, out)
+    return out
+
+
 def alignment(item: np.ndarray, region: np.ndarray, edits: int) -> tuple[int, int, int] | None:
     """(distance, begin, end) of the best place of ``item`` in ``region``, within ``edits``.
 
     The band holds every start in the region: ``region`` spans the item and
     twice the band of diagonals.  Free ends in the region, none in the item.
     """
-    m, n = len(item), len(region)
+    return alignments([(item, region, edits)])[0]
+
+
+def _aligned(jobs: list[tuple[np.ndarray, np.ndarray, int]], batch: list[int], out: list[tuple[int, int, int] | None]) -> None:
+    """Fill in ``out`` for one batch; alignments that can no longer keep their edits are left early."""
+    which = np.array(batch)
+    m, n, edits = (np.array(v, np.int32) for v in zip(*((len(i), len(r), e) for i, r, e in (jobs[k] for k in batch))))
     width = n - m + 2 * edits + 1  # diagonals from -edits to n - m + edits
-    if width <= 0:
-        return None
-    far = m + n
-    j = np.arange(width)
-    # column of diagonal d in row i: i + d - edits
-    cost = np.where((j >= edits) & (j - edits <= n), 0, far)
-    begin = np.maximum(j - edits, 0)
-    padded = np.concatenate([np.full(edits + 1, -1, np.int64), region.astype(np.int64), np.full(edits + m + width, -1, np.int64)])
-    for i in range(1, m + 1):
-        column = i + j - edits
-        text = padded[column + edits]
-        inside = (column >= 1) & (column <= n)
-        step = np.where(inside, cost + (text != item[i - 1]), far)
-        drop = np.append(cost[1:] + 1, far)  # the item's character left out
+    wide, rows = int(width.max()), int(m.max())
+    j = np.arange(wide, dtype=np.int32)
+    # column of diagonal d in row i: i + d - edits, at place i + d here
+    column = np.arange(rows + wide + 1, dtype=np.int32) - edits[:, None]
+    text = np.full(column.shape, -1, np.int64)
+    letters = np.full((len(batch), rows), -2, np.int64)
+    for row, k in enumerate(batch):
+        item, region, own = jobs[k]
+        text[row, own + 1 : own + 1 + len(region)] = region[: max(0, column.shape[1] - own - 1)]
+        letters[row, : len(item)] = item
+    first = np.where((column >= 1) & (column <= n[:, None]), 0, FAR).astype(np.int32)
+    within, banded = (column >= 0) & (column <= n[:, None]), j < width[:, None]
+    cost = np.where(within[:, :wide] & banded, 0, FAR).astype(np.int32)
+    begin = np.maximum(j - edits[:, None], 0)
+    for i in range(1, rows + 1):
+        step = cost + (text[:, i : i + wide] != letters[:, i - 1 : i])
+        step += first[:, i : i + wide]
+        drop = np.full_like(cost, FAR)  # the item's character left out
+        np.add(cost[:, 1:], 1, out=drop[:, :-1])
         take = drop < step
         new = np.where(take, drop, step)
-        came = np.where(take, np.append(begin[1:], 0), begin)
+        came = begin.copy()
+        came[:, :-1][take[:, :-1]] = begin[:, 1:][take[:, :-1]]
         # the text's character left out: from the diagonal before, one more each
         slid = new - j
-        best = np.minimum.accumulate(slid)
-        lead = np.maximum.accumulate(np.where(slid == best, j, 0))
-        cost = np.where((column >= 0) & (column <= n), best + j, far)
-        begin = came[lead]
-    end = int(np.argmin(cost))
-    distance = int(cost[end])
-    return (distance, int(begin[end]), m + end - edits) if distance <= edits else None
+        best = np.minimum.accumulate(slid, axis=1)
+        lead = np.maximum.accumulate(np.where(slid == best, j, 0), axis=1)
+        cost = np.where(within[:, i : i + wide] & banded, best + j, FAR)
+        begin = np.take_along_axis(came, lead, axis=1)
+        done = m == i
+        if done.any():
+            for row in np.flatnonzero(done).tolist():
+                end = int(np.argmin(cost[row]))
+                distance = int(cost[row, end])
+                if distance <= edits[row]:
+                    out[which[row]] = (distance, int(begin[row, end]), i + end - int(edits[row]))
+        elif i % LOOK_ROWS:
+            continue
+        stay = ~done & (cost.min(axis=1) <= edits)
+        if not stay.all():
+            if not stay.any():
+                return
+            which, m, edits, banded, text, letters, first, within, cost, begin = (
+                v[stay] for v in (which, m, edits, banded, text, letters, first, within, cost, begin)
+            )
 
 
 def _regions(x: np.ndarray, doc: np.ndarray, starts: np.ndarray, items: Items) -> Iterator[tuple[int, int, int, int]]:
@@ -180,24 +229,22 @@ def _exact_places(item: np.ndarray, x: np.ndarray, low: int, high: int) -> Itera
         at += len(needle)
 
 
-def _places(item: np.ndarray, edits: int, x: np.ndarray, regions: list[tuple[int, int]]) -> Iterator[tuple[int, int, int]]:
-    """(distance, begin, end) in the regions (ascending) of one item in one text."""
+def _places(item: np.ndarray, edits: int, x: np.ndarray, regions: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Exact places in the regions (ascending) of one item in one text, and the regions to align."""
     exact: list[tuple[int, int]] = []
     for low, high in regions:
-        for place in _exact_places(item, x, max(low, exact[-1][1] if exact else low), high):
-            exact.append(place)
-            yield 0, *place
+        exact.extend(_exact_places(item, x, max(low, exact[-1][1] if exact else low), high))
     begins = np.array([a for a, _ in exact], np.int64)
     ends = np.array([b for _, b in exact], np.int64)
+    room = []
     for low, high in regions:
         # the widest gap between exact places that the region has room in
         first, last = np.searchsorted(ends, low, side="right"), np.searchsorted(begins, high)
         left = np.concatenate([[low], ends[first:last]])
         right = np.concatenate([begins[first:last], [high]])
         if (right - left).max() >= len(item) - edits:
-            found = alignment(item, x[low:high], edits)
-            if found:
-                yield found[0], found[1] + low, found[2] + low
+            room.append((low, high))
+    return exact, room
 
 
 def _stands_alone(item: np.ndarray, x: np.ndarray, at: int) -> bool:
@@ -224,10 +271,19 @@ def find_items(texts: list[str | None], items: Items) -> list[tuple[int, int, in
         regions: dict[tuple[int, int], list[tuple[int, int]]] = {}
         for d, i, begin, stop in sorted(set(_regions(x, doc, starts, items))):
             regions.setdefault((d, i), []).append((begin, stop))
+        waiting: list[tuple[int, int, int]] = []
+        jobs: list[tuple[np.ndarray, np.ndarray, int]] = []
         for (d, i), own in regions.items():
             shift = int(starts[d])
-            for distance, a, b in _places(items.plain[i], int(items.edits[i]), x, own):
-                out.setdefault((low + d, i), []).append((distance, a - shift, b - shift))
+            exact, room = _places(items.plain[i], int(items.edits[i]), x, own)
+            for a, b in exact:
+                out.setdefault((low + d, i), []).append((0, a - shift, b - shift))
+            for begin, stop in room:
+                waiting.append((d, i, begin - shift))
+                jobs.append((items.plain[i], x[begin:stop], int(items.edits[i])))
+        for (d, i, at), found in zip(waiting, alignments(jobs)):
+            if found:
+                out.setdefault((low + d, i), []).append((found[0], found[1] + at, found[2] + at))
         for i in items.short:
             needle = items.plain[i].tobytes()
             for d, p in enumerate(parts):

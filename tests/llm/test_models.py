@@ -236,6 +236,32 @@ def test_edits_within_the_budget_of_any_length(length):
         assert [f[4] for f in found] == ([want] if want <= budget else [])
 
 
+def test_alignments_of_a_batch_equal_brute_force(monkeypatch):
+    import random
+
+    rng = random.Random(8)
+    jobs, wanted, batches = [], [], []
+    for _ in range(120):
+        item = "".join(rng.choice("abc") for _ in range(rng.randrange(10, 40)))
+        text = list(item)
+        for _ in range(rng.randrange(5)):
+            text[rng.randrange(len(text))] = rng.choice(["", "z", "ab"])
+        edits = rng.randrange(4)
+        around = ["".join(rng.choice("abc") for _ in range(rng.randrange(edits + 1))) for _ in range(2)]
+        region = "".join(text).join(around)
+        jobs.append((decontaminate.plain(item), decontaminate.plain(region), edits))
+        wanted.append((_edit_distance(item, region), item, region))
+    real = decontaminate._aligned
+    monkeypatch.setattr(decontaminate, "_aligned", lambda *a: (batches.append(len(a[1])), real(*a))[1])
+    found = decontaminate.alignments(jobs)
+    assert len(batches) < 5
+    assert found == [decontaminate.alignment(*job) for job in jobs]
+    for (_, _, edits), (want, item, region), place in zip(jobs, wanted, found):
+        assert (place is not None) == (want <= edits)
+        if place:
+            assert place[0] == want == _edit_distance(item, region[place[1] : place[2]])
+
+
 def test_short_items_are_whole_words():
     items = decontaminate.Items([1, 2], ["yes", "(ok)"])
     texts = ["yesterday", "eyes", "Yes.", "oh yes", "a(ok)b", "yes yes", None, ""]
