@@ -1,9 +1,11 @@
 """Byte-level BPE by corpus-level merge replay.
 
 Each batch of documents is one corpus: its texts are split into pieces as the
-tokenizer's pattern does, the distinct pieces are laid out in one array of
-symbols, and an inverted index from merge rank to positions replays the merges.
-The lowest rank that any position holds is taken from a heap; in every piece
+tokenizer's pattern does.  Its distinct short pieces are the rows of matrices, by
+length: each round merges the leftmost pair of lowest rank of every row, so a piece
+of ``n`` bytes takes ``n - 1`` rounds at most.  The distinct longer pieces are laid
+out in one array of symbols, and an inverted index from merge rank to positions
+replays the merges.  The lowest rank that any position holds is taken from a heap; in every piece
 its leftmost position is merged and only the two touched neighbours get new
 ranks.  A merge may create a pair of a lower rank, which the heap then serves
 first, so each piece sees the merges in the order in which the encoder applies
@@ -30,6 +32,9 @@ from .rows import free_name
 from .textops import U64, buffers, span_hashes
 
 CORPUS_BYTES = 4 << 20
+SHORT_BYTES = 32
+ROUND_CELLS = 1 << 15
+NO_RANK = np.iinfo(np.int32).max
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 SUFFIXES = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")  # fixed by the pattern
 # fixed values: the code points of Unicode's White_Space property
@@ -138,6 +143,8 @@ class Vocabulary:
         self.first = np.cumsum(length) - length
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
         self.whole = ranks
+        one, two = np.meshgrid(self.of_byte, self.of_byte, indexing="ij")
+        self.of_two_bytes = self.rank(one, two).astype(np.int32)
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, -1 where the two do not merge."""
@@ -151,6 +158,59 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+def merge_rounds(data: np.ndarray, starts: np.ndarray, length: int, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of pieces of one length, a row of ``length`` each, and the number of ids in each row."""
+    raw = data[starts[:, None] + np.arange(length)]
+    out, size = vocab.of_byte[raw], np.full(len(starts), length)
+    rank = vocab.of_two_bytes[raw[:, :-1], raw[:, 1:]]
+    symbol, rank = out, np.where(rank < 0, NO_RANK, rank)
+    which = np.arange(len(starts))
+    for left in range(length, 1, -1):
+        at = rank.argmin(axis=1)
+        least = rank[np.arange(len(at)), at]
+        goes = least != NO_RANK
+        if not goes.all():
+            done = which[~goes]
+            out[done, :left], size[done] = symbol[~goes], left
+            which, symbol, rank, at, least = which[goes], symbol[goes], rank[goes], at[goes], least[goes]
+            if not len(which):
+                return out, size
+        row, place = np.arange(len(which)), np.arange(left - 1)
+        # the symbol after the merged one, and its pair, close up
+        symbol = np.where(place <= at[:, None], symbol[:, :-1], symbol[:, 1:])
+        symbol[row, at] = least
+        rank = np.where(place[:-1] < at[:, None], rank[:, :-1], rank[:, 1:])
+        for pair, there in ((at - 1, at > 0), (at, at < left - 2)):
+            own, pair = row[there], pair[there]
+            found = vocab.rank(symbol[own, pair], symbol[own, pair + 1])
+            rank[own, pair] = np.where(found < 0, NO_RANK, found)
+    out[which, :1], size[which] = symbol, 1
+    return out, size
+
+
+def encode_pieces(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of the pieces ``data[start : start + length]``, and their offsets."""
+    long = np.flatnonzero(lengths > SHORT_BYTES)
+    ids, at = replay(data, starts[long], lengths[long], vocab)
+    parts, which, sizes = [ids], [long], [np.diff(at)]
+    for length in range(1, SHORT_BYTES + 1):
+        own, most = np.flatnonzero(lengths == length), ROUND_CELLS // length
+        for part in (own[k : k + most] for k in range(0, len(own), most)):
+            cells, size = merge_rounds(data, starts[part], length, vocab)
+            parts.append(cells[np.arange(length) < size[:, None]])
+            which.append(part)
+            sizes.append(size)
+    flat, order, size = np.concatenate(parts), np.argsort(np.concatenate(which)), np.concatenate(sizes)
+    return gathered(flat, np.concatenate([[0], np.cumsum(size)]), order)
+
+
+def gathered(values: np.ndarray, at: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``values[at[k] : at[k + 1]]`` for each ``k`` of ``pick``, joined, and their offsets."""
+    size = np.diff(at)[pick]
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    return values[np.arange(int(offsets[-1])) + np.repeat(at[:-1][pick] - offsets[:-1], size)], offsets
+
+
 def replay(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Token ids of the pieces ``data[start : start + length]``, and their offsets."""
     total = int(lengths.sum())
@@ -227,11 +287,8 @@ def encode_corpus(data: np.ndarray, offsets: np.ndarray, vocab: Vocabulary) -> t
     ends = np.concatenate([starts[1:], [len(data)]])
     hashes = span_hashes(data, starts, ends)
     _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-    ids, at = replay(data, starts[first], (ends - starts)[first], vocab)
-    size = np.diff(at)[which]
-    lead = np.cumsum(size) - size
-    flat = ids[np.arange(int(size.sum())) + np.repeat(at[:-1][which] - lead, size)]
-    total = np.concatenate([[0], np.cumsum(size)])
+    ids, at = encode_pieces(data, starts[first], (ends - starts)[first], vocab)
+    flat, total = gathered(ids, at, which)
     return flat, total[np.searchsorted(starts, offsets)]
 
 

@@ -36,6 +36,27 @@ def test_replay_equals_the_encoder(encoder):
         assert bpe.decode(own, vocab).tobytes() == text.encode()
 
 
+def test_short_pieces_take_as_many_rounds_as_they_have_bytes(monkeypatch):
+    rng = random.Random(5)
+    pieces = {"".join(rng.choice("abcdehinorst é") for _ in range(rng.randrange(1, 45))).encode() for _ in range(3000)}
+    pieces |= {b"a" * n for n in range(1, 45)}
+    ordered = sorted(pieces)
+    data = np.frombuffer(b"".join(ordered), np.uint8)
+    lengths = np.array([len(p) for p in ordered])
+    starts = np.cumsum(lengths) - lengths
+    vocab = bpe.vocabulary(VOCABULARY)
+    ids, at = bpe.encode_pieces(data, starts, lengths, vocab)
+    want, want_at = bpe.replay(data, starts, lengths, vocab)
+    assert ids.tolist() == want.tolist() and at.tolist() == want_at.tolist()
+
+    calls = []
+    real = vocab.rank
+    monkeypatch.setattr(vocab, "rank", lambda *a: (calls.append(1), real(*a))[1])
+    words = " ".join(p.decode()[:6] for p in ordered if p.isascii())
+    bpe.encode_corpus(np.frombuffer(words.encode(), np.uint8), np.array([0, len(words)]), vocab)
+    assert len(calls) < 200
+
+
 def test_digests_of_all_rows(docs, no_docs, encoder):
     found = sorted((r.doc_id or -1, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.round_trip_digests(docs, VOCABULARY).collect())
     want = []
