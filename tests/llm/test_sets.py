@@ -10,7 +10,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, decontaminate, ngram_join, quality, simjoin, substring_dedup
+from ledgerlens.llm import bpe, decontaminate, ngram_join, quality, simjoin, substring_dedup, textops
 from ledgerlens.llm.components import components
 from ledgerlens.llm.queries import VOCABULARY
 from ledgerlens.llm.textops import mix, word_hashes
@@ -165,6 +165,30 @@ def test_repeated_passages_are_found_and_cut(docs):
     assert cut[8].text is None and cut[9].text == "" and substring_dedup.without_repeats(docs).schema == docs.schema
 
 
+def test_lines_are_hashed_once_and_short_ones_never(monkeypatch):
+    import pyarrow as pa
+
+    long = [" ".join(f"w{i}x{j}" for j in range(n)) for i, n in enumerate((20, 21, 40, 20))]
+    texts = ["two words\n" + long[0] + "\none two three four five six", long[1] + "\n" + long[0], "", "\n\n", long[2] + " \n a\n" + long[3]]
+    hashed = []
+    real = substring_dedup.shingle_hashes
+    monkeypatch.setattr(substring_dedup, "shingle_hashes", lambda words, at: (hashed.extend(np.diff(at).tolist()), real(words, at))[1])
+    column = pa.array(texts)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(range(5)), column], names=["key", "doc_id", "text"])
+    lines = next(substring_dedup._occurrences(iter([batch])))
+    assert hashed == [20, 21, 20, 40, 20]
+    assert lines.column("doc_id").to_pylist() == [0, 1, 1, 4, 4]
+    sids, bits, bands = (lines.column(c).to_pylist() for c in ("sid", "bits", "bands"))
+    assert sids[0] == sids[2] and bits[2] is None and bands[2] is None
+    for p, text in ((0, long[0]), (1, long[1]), (3, long[2]), (4, long[3])):
+        (values,) = textops.shingle_sets(*textops.buffers(pa.array([text])))
+        assert sids[p] == textops.set_id(values) and bits[p] == simjoin.parity_bitmap(values)
+        assert bands[p] == substring_dedup.band_keys(values, np.array([0, len(values)])).tobytes()
+    posted = list(substring_dedup._postings(1)(iter([lines.filter(pa.array([b is not None for b in bands]))])))
+    rows = np.frombuffer(posted[0].column("payload")[0].as_py(), simjoin.POSTING)
+    assert hashed == [20, 21, 20, 40, 20] and len(rows) == 4 * substring_dedup.BANDS and set(rows["sid"].tolist()) == set(sids)
+
+
 def test_short_phrases_of_many_documents_are_no_passage(spark):
     vocabulary = [f"w{k}" for k in range(500)]
     data = np.frombuffer(" ".join(vocabulary).encode(), np.uint8)
