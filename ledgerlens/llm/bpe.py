@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from .rows import free_name
 from .textops import U64, buffers, span_hashes
+from .workers import released
 
 CORPUS_BYTES = 4 << 20
 SHORT_BYTES = 32
@@ -368,7 +369,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
     plain = docs.toDF(*[str(i) for i in range(len(names))])
     text = F.coalesce(F.col(f"`{names.index(text_col)}`"), F.lit("")).alias("_text")
     schema = _typed(plain, names) + f", `{len(names)}` long, `{len(names) + 1}` binary"
-    return plain.select("*", text).mapInArrow(_encoded(path), schema).toDF(*names, count_col, ids_col)
+    return plain.select("*", text).mapInArrow(released(_encoded(path)), schema).toDF(*names, count_col, ids_col)
 
 
 def decode_column(rows: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:

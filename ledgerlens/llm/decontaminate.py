@@ -36,11 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textops import U64, mix
+from .workers import released
 
 Q = 10
 EDIT_SHARE = 0.08
 BLOCK_CHARS = 1 << 20
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 18
+ROWS = 1 << 9  # texts that are taken out of Arrow at a time
 FILTER_BITS = 22
 SLICE = 1 << 18
 BATCH_CELLS = 1 << 14
@@ -306,9 +308,10 @@ def _scan(ids: list[int], texts: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(ids, texts)
         for batch in batches:
-            docs = batch.column("doc_id").to_pylist()
-            found = find_items(batch.column("text").to_pylist(), items)
-            rows = [(docs[d], int(items.ids[i]), a, b, e) for d, i, a, b, e in found]
+            docs, rows = batch.column("doc_id").to_pylist(), []
+            for low in range(0, batch.num_rows, ROWS):
+                found = find_items(batch.column("text").slice(low, ROWS).to_pylist(), items)
+                rows += [(docs[low + d], int(items.ids[i]), a, b, e) for d, i, a, b, e in found]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_FOUND_ARROW)], schema=_FOUND_ARROW)
 
     return run
@@ -340,7 +343,7 @@ def contaminated_passages(
 ) -> DataFrame:
     """``doc_id, item_id, start, end, distance``: places of benchmark items in the texts, in characters."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
-    scans = [texts.mapInArrow(_scan(*block), _FOUND) for block in item_blocks(benchmark, item_col, item_text)]
+    scans = [texts.mapInArrow(released(_scan(*block)), _FOUND) for block in item_blocks(benchmark, item_col, item_text)]
     if not scans:
         return docs.sparkSession.createDataFrame([], _FOUND)
     return reduce(DataFrame.unionByName, scans)
@@ -349,22 +352,21 @@ def contaminated_passages(
 def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` in which no benchmark item is found, columns unchanged."""
     names = docs.columns
-    numbered = docs.toDF(*[str(i) for i in range(len(names))])
-    text = F.col(f"`{names.index(text_col)}`").alias("_text")
-    out = numbered.select("*", text)
-    schema = ", ".join(f"`{i}` {f.dataType.simpleString()}" for i, f in enumerate(numbered.schema.fields))
+    out = docs.toDF(*[str(i) for i in range(len(names))])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields)
     for ids, texts in item_blocks(benchmark, "item_id", "text"):
-        out = out.mapInArrow(_drop_hit(ids, texts), schema + ", `_text` string")
-    return out.drop("_text").toDF(*names)
+        out = out.mapInArrow(released(_drop_hit(ids, texts, names.index(text_col))), schema)
+    return out.toDF(*names)
 
 
-def _drop_hit(ids: list[int], texts: list[str]):
+def _drop_hit(ids: list[int], texts: list[str], text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(ids, texts)
         for batch in batches:
             hit = np.zeros(batch.num_rows, bool)
-            for found in find_items(batch.column("_text").to_pylist(), items):
-                hit[found[0]] = True
+            for low in range(0, batch.num_rows, ROWS):
+                for found in find_items(batch.column(text_at).slice(low, ROWS).to_pylist(), items):
+                    hit[low + found[0]] = True
             yield batch.filter(pa.array(~hit))
 
     return run

@@ -30,6 +30,7 @@ from .keyfilter import key_bitmap, wanted
 from .rows import free_name, row_key
 from .simjoin import MEMBER, POSTING, bucket_rows, linked_components, parity_bitmap, tile_table
 from .textops import U64, chunks, mix, set_id, shingle_sets
+from .workers import released
 
 HOT_ELEMENTS = 1 << 18
 HOT_IN_BATCH = 4
@@ -166,7 +167,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     key = row_key(id_col, text_col).alias("key")
     texts = docs.select(key, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    profile = materialize(texts.mapInArrow(_profiles, "kind int, key long, doc_id long, sid long, size int, bits binary"), "join-profile")
+    profile = materialize(texts.mapInArrow(released(_profiles), "kind int, key long, doc_id long, sid long, size int, bits binary"), "join-profile")
     rows = profile.where("kind = 0")
     shingles = rows.agg(F.sum("size").alias("n")).first().n or 0
     frequent = (
@@ -183,14 +184,14 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     order = np.argsort(hot)
     hot, rank = hot[order], rank[order]
     buckets = int(max(shuffle_partitions(spark), 0.2 * shingles * POSTING.itemsize // BUCKET_BYTES))
-    tiles = tile_table(texts.select("text").mapInArrow(_postings(hot, rank, buckets), "bucket int, payload binary"), buckets, "join")
+    tiles = tile_table(texts.select("text").mapInArrow(released(_postings(hot, rank, buckets)), "bucket int, payload binary"), buckets, "join")
     grouped = rows.where("sid is not null").groupBy("sid")
     items = materialize(grouped.agg(F.first("size").alias("size"), F.first("bits").alias("bits"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.min("key").alias("key")), "join-items")
 
     def sets_of(ends: DataFrame) -> DataFrame:
         """Sets by one document of each, found by its row key."""
         bitmap = key_bitmap(items.join(ends, "sid", "left_semi"), "key")
-        return texts.select("key", "text").mapInArrow(_sets(bitmap), "sid long, elements binary")
+        return texts.select("key", "text").mapInArrow(released(_sets(bitmap)), "sid long, elements binary")
 
     labels = linked_components(tiles, items.select("sid", "size", "bits"), sets_of, "join")
     named = items.select("sid", "least", "copies").join(labels.withColumnRenamed("id", "sid"), "sid", "left")

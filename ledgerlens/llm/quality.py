@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .rows import free_name, row_key
 from .textops import U64, chunks, mix, span_hashes, word_spans
+from .workers import released
 
 BUCKETS = 1 << 17
 SHAPES = 9
@@ -201,7 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, docume
     # about `documents` rows: their number is the parameter's bound, whatever the input
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("key"))
     found = rows.where("text is not null").join(F.broadcast(marks), "_id").select("key", "text", "bad", "toxic")
-    table = found.mapInArrow(_sample, "key long, bad double, toxic double, ids binary, shape binary").toArrow()
+    table = found.mapInArrow(released(_sample), "key long, bad double, toxic double, ids binary, shape binary").toArrow()
     listed = sorted(table.to_pylist(), key=lambda r: (r["key"], r["ids"]))
     return fit([(np.frombuffer(r["ids"], "<u4").astype(np.int64), np.frombuffer(r["shape"]), r["bad"], r["toxic"]) for r in listed])
 
@@ -258,7 +259,7 @@ def classify(
         row_key(id_col, text_col).alias("key"), F.col(id_col).cast("long").alias("doc_id"), host.alias("host"), path.alias("path"), F.col(text_col).alias("text")
     )
     schema = "key long, doc_id long, host string, path string, bad double, toxic double"
-    scored = materialize(rows.mapInArrow(_evidence(model), schema), "quality-scored")
+    scored = materialize(rows.mapInArrow(released(_evidence(model)), schema), "quality-scored")
     sites = _posteriors(scored)
     joined = scored.join(sites, F.col("host").eqNullSafe(F.col("_host")) & F.col("path").eqNullSafe(F.col("_path")), "left")
     odds = lambda k: F.coalesce(k, F.lit(float(model.bias[0 if k == "bad" else 1]))) + SITE_WEIGHT * F.coalesce(f"site_{k}", F.lit(0.0))
