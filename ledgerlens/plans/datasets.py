@@ -41,16 +41,19 @@ def write_curated(
     on that column (one shuffle at build time), so every file covers its own
     date range and filters skip whole files — worth it for a table that is
     built once and queried many times.  A column as ``cluster`` comes before
-    the sort column in both.  ``rows``, their number if it is known, lets the
+    the sort column in both; it is computed once for each row, as a sort would
+    compute it anew in every comparison.  ``rows``, their number if it is known, lets the
     ranges be small enough to sort in memory.  Parquet sizes row groups in bytes
     (``parquet.block.size``), not in a fixed row count.
     """
     out = df
     if sort_column in df.columns:
-        keys = [sort_column] if isinstance(cluster, bool) else [cluster, sort_column]
+        keys = [sort_column]
+        if not isinstance(cluster, bool):
+            out, keys = out.withColumn("_cluster", cluster), ["_cluster", sort_column]
         if not isinstance(cluster, bool) or cluster:
             out = dealt_by_range(out, keys, rows)
-        out = out.sortWithinPartitions(*keys)
+        out = out.sortWithinPartitions(*keys).select(*df.columns)
     out.write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.operators import sales
 from ledgerlens.operators.ingest import RAW_HEADERS
-from ledgerlens.plans import job, manifest
+from ledgerlens.plans import datasets, job, manifest
 
 
 @pytest.fixture(scope="module")
@@ -88,3 +88,16 @@ def test_many_countries_are_dealt_by_hash(spark, monkeypatch):
 def test_no_lines(spark, root):
     none = job.read_lines(spark, root).where("false")
     assert none.select(manifest.curve_cells(none)).count() == 0
+
+
+def test_the_layout_is_computed_once_for_each_line(spark, tmp_path, monkeypatch):
+    lines = spark.createDataFrame([(f"c{i % 9}", f"2011-01-{1 + i % 28:02d}") for i in range(300)], "country string, d string")
+    lines = lines.select("country", F.col("d").cast("timestamp_ntz").alias("invoice_timestamp"))
+    sorts = []
+    real = datasets.dealt_by_range
+    monkeypatch.setattr(datasets, "dealt_by_range", lambda df, keys, rows=None: (sorts.append((df.columns, keys)), real(df, keys, rows))[1])
+    datasets.write_curated(lines, str(tmp_path / "t"), cluster=manifest.curve_cells(lines))
+    (columns, keys), = sorts
+    assert all(isinstance(k, str) and k in columns for k in keys)  # a sort compares columns, not expressions
+    back = spark.read.parquet(str(tmp_path / "t"))
+    assert back.columns == lines.columns and back.exceptAll(lines).count() == 0 and back.count() == 300
