@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .rows import free_name, row_key
 from .textops import U64, chunks, mix, span_hashes, word_spans
-from .workers import released
+from .workers import give_back, released
 
 BUCKETS = 1 << 17
 SHAPES = 9
@@ -204,7 +204,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, docume
     found = rows.where("text is not null").join(F.broadcast(marks), "_id").select("key", "text", "bad", "toxic")
     table = found.mapInArrow(released(_sample), "key long, bad double, toxic double, ids binary, shape binary").toArrow()
     listed = sorted(table.to_pylist(), key=lambda r: (r["key"], r["ids"]))
-    return fit([(np.frombuffer(r["ids"], "<u4").astype(np.int64), np.frombuffer(r["shape"]), r["bad"], r["toxic"]) for r in listed])
+    del table
+    rows = [(np.frombuffer(r["ids"], "<u4").astype(np.int64), np.frombuffer(r["shape"]), r["bad"], r["toxic"]) for r in listed]
+    del listed
+    return fit(rows)
 
 
 def _log_odds(p: Column) -> Column:
@@ -253,6 +256,7 @@ def classify(
     ``bad`` and ``toxic`` are the documents' own log odds; ``key`` is ``row_key``.
     """
     model = train(docs, labels, id_col, text_col)
+    give_back()  # the driver's part of the sample
     host = F.col(host_col).cast("string")
     path = F.col(path_col).cast("string") if path_col else F.concat_ws("/", host, "lang") if "lang" in docs.columns else host
     rows = docs.select(
