@@ -265,16 +265,17 @@ def split_checked(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     return staged, quarantine
 
 
-def curate(staged: DataFrame) -> DataFrame:
+def curate(staged: DataFrame, folder: str | None = None) -> DataFrame:
     """Typed, flagged curated lines with a dense id in source order (P1–P4).
 
     Source order is (period ordinal if present, else period name; source
     row).  ``source_row`` is unique within a period, so the id comes from a
     small table of the source rows that occur (``row_number_by_position``) —
-    never a global single-partition window, and the lines are not sorted.
+    never a global single-partition window, and the lines are not sorted.  That
+    table is written below ``folder``, if one is given.
     """
     group = ORDINAL if ORDINAL in staged.columns else "source_period"
-    numbered = row_number_by_position(staged, group, "source_row", name="transaction_line_id")
+    numbered = row_number_by_position(staged, group, "source_row", name="transaction_line_id", folder=folder)
     flagged = with_sale_flags(numbered)
     return flagged.select(*[f.name for f in CURATED_SCHEMA.fields])
 

@@ -299,13 +299,14 @@ def row_number_by_position(
     name: str = "row_number",
     rows_per_bucket: int = 1 << 22,
     start: int = 1,
+    folder: str | None = None,
 ) -> DataFrame:
     """``row_number() OVER (ORDER BY group, position)`` for integer positions.
 
     ``position`` is unique within a group (a physical row number is).  One
     aggregate over the two key columns marks the positions that occur, 64 of
     them in a word, a few thousand in a row of a small table that is written to
-    the shared folder.  A row's number is the count of marks before its own: the
+    ``folder`` or the shared folder.  A row's number is the count of marks before its own: the
     rows themselves are neither sorted nor exchanged while that table, about 1.4
     bits for each position, is small enough to broadcast (``MARK_ROWS``), and
     joined to it by key beyond.  Rows without a position are left out.
@@ -316,7 +317,7 @@ def row_number_by_position(
     g = F.col(group) if isinstance(group, str) else group
     at = F.col(position).cast("bigint")
     word, bit = F.shiftright(at, _WORD_BITS), at.bitwiseAND(F.lit((1 << _WORD_BITS) - 1)).cast("int")
-    marks = _position_marks(df.where(at.isNotNull()).select(g.alias("_rp_g"), word.alias("_rp_word"), bit.alias("_rp_bit")))
+    marks = _position_marks(df.where(at.isNotNull()).select(g.alias("_rp_g"), word.alias("_rp_word"), bit.alias("_rp_bit")), folder)
     found = marks.agg(F.count(F.lit(1)).alias("n"), F.max("_rp_repeated").alias("repeated")).first()
     if found["repeated"]:
         return _row_number_by_window(df, g, position, name, rows_per_bucket, start)
@@ -336,7 +337,7 @@ def row_number_by_position(
     return joined.select(*df.columns, number.cast("bigint").alias(name))
 
 
-def _position_marks(keys: DataFrame) -> DataFrame:
+def _position_marks(keys: DataFrame, folder: str | None = None) -> DataFrame:
     """One row per group and ``2 ** (_WORD_BITS + _ROW_BITS)`` positions: marks, and marks before.
 
     ``_rp_words`` holds a mark for each position that occurs, ``_rp_before`` how
@@ -359,6 +360,7 @@ def _position_marks(keys: DataFrame) -> DataFrame:
             counts.alias("counts"),
         ),
         "position-marks",
+        folder,
     )
     # marks before a row: inside its stretch of rows, then over the stretches
     stretch = F.shiftright("_rp_r", _STRETCH_BITS).alias("_rp_s")

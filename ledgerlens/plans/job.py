@@ -93,7 +93,7 @@ def _write_outputs(
         raw = read_landing(spark, items, fmt, options, index_dir or f"{scratch}-splits")
         staged, quarantine, counters = stage_landing(raw, scratch)  # pass 1
         layout = curve_cells(staged) if "manifest" in paths else True
-        write_curated(curate(staged), paths["curated"], cluster=layout, rows=counters["staged_rows"])  # pass 2
+        write_curated(curate(staged, scratch), paths["curated"], cluster=layout, rows=counters["staged_rows"])  # pass 2
         if "manifest" in paths:
             write_manifest(spark, paths["curated"], paths["manifest"])
         if counters.get("quarantined_rows", 0) > 0:  # pass 3

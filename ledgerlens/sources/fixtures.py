@@ -179,7 +179,8 @@ def raw_lines(spark: SparkSession, base: str) -> DataFrame:
 def landing_files(spark: SparkSession, rows: DataFrame) -> dict[str, str]:
     """``raw_lines`` rows as CSV files in the shared folder: period → its folder.
 
-    Files follow one another by row number.  Every second period lists its
+    Files follow one another by row number, and are compressed: their text is the
+    largest thing that the job would write.  Every second period lists its
     columns in reverse; empty cells are missing ones when read again.
     """
     path = scratch_path(spark, "landing-files")
@@ -189,5 +190,5 @@ def landing_files(spark: SparkSession, rows: DataFrame) -> dict[str, str]:
         own = dealt_by_range(own, ["source_period", "source_row"], own.count()).sortWithinPartitions("source_period", "source_row")
         out = own.select("source_period", *[F.col(f"`{h}`") for h in headers]).write.partitionBy("source_period").mode("append")
         # cells as they are, blanks around them too
-        out.options(header="true", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(path)
+        out.options(header="true", compression="gzip", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(path)
     return {p: f"{path}/source_period={p}" for p in periods}

@@ -5,10 +5,13 @@ from __future__ import annotations
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerlens.operators.ingest import RAW_HEADERS
 from ledgerlens.plans.datasets import ensure_dataset
 from ledgerlens.plans.job import build_dataset, output_paths
+from ledgerlens.sources import landing
+from ledgerlens.sources.fixtures import landing_files
 from ledgerlens.sources.landing import read_landing
 from ledgerlens.streaming.ingest import start_ingest_stream
 
@@ -74,3 +77,21 @@ def test_an_unfinished_folder_is_built_anew(spark, tmp_path):
     os.remove(f"{path}/_SUCCESS")
     assert ensure_dataset(spark, path, lambda: spark.range(100)).count() == 100
     assert ensure_dataset(spark, path, lambda: spark.range(7)).count() == 100
+
+
+def test_the_split_index_sorts_no_lines(spark, tmp_path):
+    tagged = landing.tag_rows(spark.read.text(str(_folder(tmp_path))))
+    index = landing.split_index(tagged, headers=True)
+    assert "SortAggregate" not in index._jdf.queryExecution().executedPlan().toString()
+    rows = sorted((r._ln_f.rsplit("/", 1)[1], r._ln_rows, r._ln_before, r._ln_header) for r in index.collect())
+    assert rows == [("a.csv", 4, 0, ",".join(RAW_HEADERS)), ("b.csv", 2, 3, ",".join(RAW_HEADERS[::-1]))]
+
+
+def test_the_fixture_files_are_compressed_and_read_back_whole(spark, tmp_path):
+    cells = [F.concat(F.lit(f"{h} "), "id").alias(h) for h in RAW_HEADERS]
+    rows = spark.range(500).select(F.concat(F.lit("Year "), F.col("id") % 3).alias("source_period"), (F.col("id") / 3).cast("long").alias("n"), "id", *cells)
+    rows = rows.select("source_period", (F.col("n") + 2).alias("source_row"), *RAW_HEADERS)
+    files = landing_files(spark, rows)
+    assert all(n.endswith(".gz") for p in files.values() for n in os.listdir(p.removeprefix("file:")) if n.startswith("part-"))
+    back = read_landing(spark, files).select(*rows.columns)
+    assert back.count() == 500 and back.exceptAll(rows).count() == 0
