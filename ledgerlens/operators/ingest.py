@@ -13,6 +13,7 @@ three sale flags.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Observation
@@ -116,13 +117,13 @@ def first_pass(raw: DataFrame) -> DataFrame:
     keys, cells, typed = _layout(raw)
     values = _common_row()
     common = F.col("_common")
-    kind = (lambda h: F.col(f"`{KIND_PREFIX}{h}`")) if typed else (lambda h: F.lit("text"))
+    kinds = [F.col(f"`{KIND_PREFIX}{h}`") for h in cells] if typed else []  # else all are texts
     return raw.withColumn("_common", _is_common()).select(
         *keys,
         "_common",
         *[F.when(common, values[v]).alias(v) for v in VALUES],
         *[F.when(~common, _cell(h)).alias(f"{RAW_PREFIX}{h}") for h in cells],
-        *[F.when(~common, kind(h)).alias(f"{KIND_PREFIX}{h}") for h in cells],
+        *[F.when(~common, k).alias(f"{KIND_PREFIX}{h}") for h, k in zip(cells, kinds)],
     )
 
 
@@ -133,16 +134,17 @@ def second_pass(first: DataFrame) -> DataFrame:
     raw = first.where("not _common").select(
         *keys,
         *[F.col(f"`{RAW_PREFIX}{h}`").alias(h) for h in cells],
-        *[F.col(f"`{KIND_PREFIX}{h}`") for h in cells],
+        *[F.col(f"`{c}`") for c in first.columns if c.startswith(KIND_PREFIX)],
     )
     return full_lane(raw, only_uncommon=False)
 
 
 def common_part(first: DataFrame) -> DataFrame:
     """The checked rows of ``first_pass`` in common form."""
-    cells = [c for c in first.columns if c.startswith((RAW_PREFIX, KIND_PREFIX))]
+    cells = [c[len(RAW_PREFIX):] for c in first.columns if c.startswith(RAW_PREFIX)]
+    carried = [f"{p}{h}" for p in (RAW_PREFIX, KIND_PREFIX) for h in cells]
     keys = [c for c in (ORDINAL, "source_period", "source_row") if c in first.columns]
-    return first.where("_common").select(*keys, *VALUES, _nothing("error"), *[_nothing(c) for c in cells])
+    return first.where("_common").select(*keys, *VALUES, _nothing("error"), *[_nothing(c) for c in carried])
 
 
 def normalise(raw: DataFrame) -> Normalised:
@@ -265,19 +267,22 @@ def split_checked(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     return staged, quarantine
 
 
-def curate(staged: DataFrame, folder: str | None = None) -> DataFrame:
+def curate(staged: DataFrame, folder: str | None = None, deal: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Typed, flagged curated lines with a dense id in source order (P1–P4).
 
     Source order is (period ordinal if present, else period name; source
     row).  ``source_row`` is unique within a period, so the id comes from a
     small table of the source rows that occur (``row_number_by_position``) —
     never a global single-partition window, and the lines are not sorted.  That
-    table is written below ``folder``, if one is given.
+    table is written below ``folder``, if one is given.  ``deal`` deals the rows out
+    for the caller's sort, before the id and the flags are added if it can; a column
+    that it adds comes last.
     """
     group = ORDINAL if ORDINAL in staged.columns else "source_period"
-    numbered = row_number_by_position(staged, group, "source_row", name="transaction_line_id", folder=folder)
+    numbered = row_number_by_position(staged, group, "source_row", name="transaction_line_id", folder=folder, deal=deal)
     flagged = with_sale_flags(numbered)
-    return flagged.select(*[f.name for f in CURATED_SCHEMA.fields])
+    added = [c for c in numbered.columns if c not in (*staged.columns, "transaction_line_id")]
+    return flagged.select(*[f.name for f in CURATED_SCHEMA.fields], *added)
 
 
 def error_counts(quarantine: DataFrame) -> DataFrame:

@@ -46,7 +46,7 @@ small table of the positions that occur, and neither sorts nor exchanges rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -300,6 +300,7 @@ def row_number_by_position(
     rows_per_bucket: int = 1 << 22,
     start: int = 1,
     folder: str | None = None,
+    deal: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """``row_number() OVER (ORDER BY group, position)`` for integer positions.
 
@@ -313,17 +314,24 @@ def row_number_by_position(
 
     Should positions repeat, rows are numbered by one window per (group, value
     bucket of ``rows_per_bucket`` positions) instead; equal ones in any order.
+
+    ``deal`` deals the rows out anew, and may add columns.  It is called before the
+    numbers are added where they leave the rows in place, so that what is derived
+    from them is neither exchanged nor computed for the bounds of ranges.
     """
+    deal = deal or (lambda rows: rows)
     g = F.col(group) if isinstance(group, str) else group
     at = F.col(position).cast("bigint")
     word, bit = F.shiftright(at, _WORD_BITS), at.bitwiseAND(F.lit((1 << _WORD_BITS) - 1)).cast("int")
     marks = _position_marks(df.where(at.isNotNull()).select(g.alias("_rp_g"), word.alias("_rp_word"), bit.alias("_rp_bit")), folder)
     found = marks.agg(F.count(F.lit(1)).alias("n"), F.max("_rp_repeated").alias("repeated")).first()
     if found["repeated"]:
-        return _row_number_by_window(df, g, position, name, rows_per_bucket, start)
+        return deal(_row_number_by_window(df, g, position, name, rows_per_bucket, start))
     marks = marks.drop("_rp_repeated")
-    joined = df.withColumns({"_rp_group": g, "_rp_row": F.shiftright(at, _WORD_BITS + _ROW_BITS)}).join(
-        F.broadcast(marks) if found["n"] <= MARK_ROWS else marks,
+    small = found["n"] <= MARK_ROWS
+    rows = deal(df.where(at.isNotNull())) if small else df
+    joined = rows.withColumns({"_rp_group": g, "_rp_row": F.shiftright(at, _WORD_BITS + _ROW_BITS)}).join(
+        F.broadcast(marks) if small else marks,
         F.col("_rp_group").eqNullSafe(F.col("_rp_g")) & (F.col("_rp_row") == F.col("_rp_r")),
     )
     place = word.bitwiseAND(F.lit((1 << _ROW_BITS) - 1)).cast("int")
@@ -334,7 +342,8 @@ def row_number_by_position(
         + F.bit_count(F.get("_rp_words", place).bitwiseAND(earlier))
         + F.lit(start)
     )
-    return joined.select(*df.columns, number.cast("bigint").alias(name))
+    numbered = joined.select(*rows.columns, number.cast("bigint").alias(name))
+    return numbered if small else deal(numbered)
 
 
 def _position_marks(keys: DataFrame, folder: str | None = None) -> DataFrame:

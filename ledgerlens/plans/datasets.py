@@ -26,6 +26,16 @@ from . import versions
 _SESSION_BUILDS: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 
 
+CLUSTER = "_cluster"  # the column that comes before the sort column; it is not written
+
+
+def dealt_for_write(df: DataFrame, cluster: bool | Column = True, sort_column: str = "invoice_timestamp", rows: int | None = None) -> DataFrame:
+    """The rows range-partitioned as ``write_curated`` does with ``cluster``, for lines that are completed afterwards."""
+    if isinstance(cluster, bool):
+        return dealt_by_range(df, [sort_column], rows)
+    return dealt_by_range(df.withColumn(CLUSTER, cluster), [CLUSTER, sort_column], rows)
+
+
 def write_curated(
     df: DataFrame,
     path: str,
@@ -43,17 +53,16 @@ def write_curated(
     built once and queried many times.  A column as ``cluster`` comes before
     the sort column in both; it is computed once for each row, as a sort would
     compute it anew in every comparison.  ``rows``, their number if it is known, lets the
-    ranges be small enough to sort in memory.  Parquet sizes row groups in bytes
+    ranges be small enough to sort in memory.  Rows of ``dealt_for_write`` need no
+    ``cluster``.  Parquet sizes row groups in bytes
     (``parquet.block.size``), not in a fixed row count.
     """
     out = df
     if sort_column in df.columns:
-        keys = [sort_column]
-        if not isinstance(cluster, bool):
-            out, keys = out.withColumn("_cluster", cluster), ["_cluster", sort_column]
         if not isinstance(cluster, bool) or cluster:
-            out = dealt_by_range(out, keys, rows)
-        out = out.sortWithinPartitions(*keys).select(*df.columns)
+            out = dealt_for_write(df, cluster, sort_column, rows)
+        keys = [c for c in (CLUSTER, sort_column) if c in out.columns]
+        out = out.sortWithinPartitions(*keys).select(*[c for c in df.columns if c != CLUSTER])
     out.write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 

@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from ..functions.filters import DateLike
 from ..operators.ingest import common_part, curate, first_pass, second_pass, split_checked
 from ..operators.quality import quality_summary
-from ..session import delete_path, get_session, path_exists, scratch_path
+from ..session import delete_path, get_session, path_exists, scratch_path, smaller_methods
 from ..sources.landing import read_landing
-from .datasets import write_curated
+from .datasets import dealt_for_write, write_curated
 from .manifest import curve_cells, read_needed, write_manifest
 from .versions import Version, current, input_digest, publish, replace_path
 
@@ -65,7 +65,8 @@ def stage_landing(raw: DataFrame, path: str | None = None) -> tuple[DataFrame, D
     path = path or scratch_path(spark, "checked")
     first_pass(raw).write.mode("overwrite").parquet(f"{path}/first")
     first = spark.read.parquet(f"{path}/first")
-    second_pass(first).write.mode("overwrite").parquet(f"{path}/second")
+    with smaller_methods(spark):
+        second_pass(first).write.mode("overwrite").parquet(f"{path}/second")
     checked = common_part(first).unionByName(spark.read.parquet(f"{path}/second"))
     staged, quarantine = split_checked(checked)
     bad = F.col("error").isNotNull()
@@ -93,11 +94,13 @@ def _write_outputs(
         raw = read_landing(spark, items, fmt, options, index_dir or f"{scratch}-splits")
         staged, quarantine, counters = stage_landing(raw, scratch)  # pass 1
         layout = curve_cells(staged) if "manifest" in paths else True
-        write_curated(curate(staged, scratch), paths["curated"], cluster=layout, rows=counters["staged_rows"])  # pass 2
+        lines = curate(staged, scratch, lambda rows: dealt_for_write(rows, layout, rows=counters["staged_rows"]))
+        write_curated(lines, paths["curated"])  # pass 2
         if "manifest" in paths:
             write_manifest(spark, paths["curated"], paths["manifest"])
         if counters.get("quarantined_rows", 0) > 0:  # pass 3
-            quarantine.write.option("header", "true").csv(paths["quarantine"])
+            with smaller_methods(spark):
+                quarantine.write.option("header", "true").csv(paths["quarantine"])
     finally:
         delete_path(spark, scratch)
         delete_path(spark, f"{scratch}-splits")

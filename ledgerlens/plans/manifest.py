@@ -30,9 +30,11 @@ def curve_cells(lines: DataFrame) -> Column:
     ``lines`` find their bounds, which decide the layout only, never a result.
     """
     parts = 1 << CELL_BITS
-    day = F.unix_date(F.to_date("invoice_timestamp"))
+    at = F.col("invoice_timestamp")
     shares = [i / parts for i in range(1, parts)]
-    days = lines.agg(F.percentile_approx(day, shares, 1000).alias("days")).first()["days"] or []
+    found = lines.agg(F.percentile_approx(at, shares, 1000).alias("times")).first()["times"] or []
+    # whole days, as bounds of the timestamp: a row's own date would be slower to find
+    days = [F.lit(dt.datetime.combine(t.date(), dt.time.min).isoformat(sep=" ")).cast("timestamp_ntz") for t in found]
     counts = lines.groupBy("country").count().orderBy("country").limit(MOST_COUNTRIES + 1).collect()
     if len(counts) > MOST_COUNTRIES:
         country_part = F.pmod(F.xxhash64("country"), F.lit(parts)).cast("int")
@@ -43,7 +45,7 @@ def curve_cells(lines: DataFrame) -> Column:
                 starts += [r["country"]] * (seen * parts // total - len(starts))
             seen += r["count"]
         country_part = _part_after(F.col("country"), starts)
-    date_part = _part_after(day, days)
+    date_part = _part_after(at, days)
     cell = F.lit(0)
     for bit in range(CELL_BITS):
         for own, place in ((date_part, 2 * bit + 1), (country_part, 2 * bit)):

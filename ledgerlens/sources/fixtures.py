@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.curation import with_sale_flags
 from ..operators.ingest import RAW_HEADERS
-from ..operators.ranking import dealt_by_range, row_number_by, sort_partitions
+from ..operators.ranking import SORT_ROWS, row_number_by, sort_partitions
 from ..session import scratch_path, shuffle_partitions
 from .tables import read_table
 
@@ -184,10 +184,21 @@ def landing_files(spark: SparkSession, rows: DataFrame) -> dict[str, str]:
     columns in reverse; empty cells are missing ones when read again.
     """
     path = scratch_path(spark, "landing-files")
-    periods = [r[0] for r in rows.select("source_period").distinct().orderBy("source_period").collect()]  # calendar years
+    row = F.col("source_row")
+    found = rows.groupBy("source_period").agg(F.count(F.lit(1)).alias("n"), F.min(row).alias("first"), F.max(row).alias("last"))
+    stats = found.orderBy("source_period").collect()  # calendar years
+    periods = [r.source_period for r in stats]
     for i, headers in enumerate((RAW_HEADERS, RAW_HEADERS[::-1])):
+        # rows are numbered without gaps, so equal stretches of numbers hold equally many: no bounds to look for
+        part, parts = F.lit(None).cast("int"), 0
+        for r in stats[i::2]:
+            pieces = -(-r.n // SORT_ROWS)
+            if r["first"] is not None:
+                at = F.floor((row - F.lit(r["first"])) / F.lit(r["last"] - r["first"] + 1) * F.lit(pieces)).cast("int")
+                part = F.when(F.col("source_period") == F.lit(r.source_period), F.least(at, F.lit(pieces - 1)) + F.lit(parts)).otherwise(part)
+            parts += pieces
         own = rows.where(F.col("source_period").isin(periods[i::2]))
-        own = dealt_by_range(own, ["source_period", "source_row"], own.count()).sortWithinPartitions("source_period", "source_row")
+        own = own.repartitionById(max(parts, 1), part).sortWithinPartitions("source_period", "source_row")
         out = own.select("source_period", *[F.col(f"`{h}`") for h in headers]).write.partitionBy("source_period").mode("append")
         # cells as they are, blanks around them too
         out.options(header="true", compression="gzip", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(path)
